@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, word_bpe
+from . import license_scan, ngram_join, packing, token_counts, url_filters, word_bpe
 from .common import table
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -21,5 +29,22 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_bpe_encode_decode, op8_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scans,
+        op2_ngram_jaccard_join,
+        op4_token_counts,
+        op7_bpe_encode_decode,
+        op8_best_fit_packing,
+        op9_url_filters,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_license_scans": license_scan.oracle_sql(),
+    "op9_url_filters": url_filters.oracle_sql(),
+}
