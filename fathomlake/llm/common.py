@@ -58,7 +58,7 @@ class BoundedCache(dict):
         if len(self) + len(new) > self.limit:
             self.clear()
             new = keys
-        return sorted(new)
+        return list(new)
 
 
 def sliced(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[pd.DataFrame]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, mapped, saved, sliced
 from .token_counts import tokenizer
-from .word_bpe import runs
+from .word_bpe import LATIN, runs
 
 END = 0
 CACHE_LIMIT = 1 << 19
@@ -35,18 +36,33 @@ WEIGHTS = (1.0, 1e-3, 1e-3)
 _caches: dict[str, BoundedCache] = {}
 
 
+def packed_ids(library, chunks: list[str]) -> list[bytes]:
+    """Ids of white-space-free chunks as 32-bit words. Spellings that differ in case or in a closing mark share their word's encoding."""
+    plan, words = [], {}
+    for chunk in chunks:
+        low = chunk.lower() if max(chunk) <= LATIN else chunk
+        stem, mark = (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else (low, "")
+        if not stem.isalpha():
+            stem, mark = chunk, ""
+        plan.append((stem, mark))
+        words[stem] = words[mark or stem] = b""
+    encoded = library.encode_batch(list(words), add_special_tokens=False)
+    words = {w: array("I", e.ids).tobytes() for w, e in zip(words, encoded)}
+    words[""] = b""
+    return [words[stem] + words[mark] for stem, mark in plan]
+
+
 def pieces(docs: DataFrame, path: str, length: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of at most `length` tokens; null and empty texts are END alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         library = tokenizer(path)[0]
         cache = _caches.setdefault(path, BoundedCache(CACHE_LIMIT))
-        end = np.array([END], "<u4").tobytes()
+        end = array("I", [END]).tobytes()
         for batch in sliced(batches):
             chunks = [runs(text) for text in batch["text"]]
             if missing := cache.missing(set().union(*chunks)):
-                for chunk, e in zip(missing, library.encode_batch(missing, add_special_tokens=False)):
-                    cache[chunk] = np.array(e.ids, "<u4").tobytes()
+                cache.update(zip(missing, packed_ids(library, missing)))
             rows = []
             for doc_id, own in zip(batch["doc_id"], chunks):
                 ids = b"".join(map(cache.__getitem__, own)) + end
