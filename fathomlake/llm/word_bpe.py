@@ -27,7 +27,9 @@ RUN = re.compile(f"[^{SPACE}]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Up to here characters have no decompositions to put together and lower-case alike in every version of Unicode.
 LATIN = "\xff"
-CACHE_LIMIT = 1 << 18
+CACHE_LIMIT = 1 << 19
+INNER, FINAL = 0, 1
+NONE: dict[str, bool] = {}
 PAIR_LIMIT = 1 << 20
 
 
@@ -51,7 +53,7 @@ class WordBpe:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.bytes = byte_symbols()
-        self.inner, self.final = self.spans(False), self.spans(True)
+        self.root = self.token_trie()
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.whole: dict[str, bool] = {}
@@ -64,14 +66,16 @@ class WordBpe:
             return (*body[:-1], body[-1] + self.suffix)
         return tuple(token)
 
-    def spans(self, final: bool) -> dict[str, int]:
-        """The length of the longest token that ends in these two characters, within a word or at its end."""
-        found: dict[str, int] = {}
+    def token_trie(self) -> dict:
+        """The vocabulary by characters; a node's INNER and FINAL are its tokens within a word and at its end."""
+        root: dict = {}
         for token in self.vocab:
-            if self.suffix and token.endswith(self.suffix) == final:
-                body = token[: -len(self.suffix)] if final else token
-                found[body[-2:]] = max(found.get(body[-2:], 1), len(body))
-        return found
+            final = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
+            node = root
+            for c in token[: -len(self.suffix)] if final else token:
+                node = node.setdefault(c, {})
+            node[FINAL if final else INNER] = token
+        return root
 
     def merged(self, symbols: Iterable[str]) -> list[str]:
         """Merges by rank, the leftmost first: what the trie's states have to agree with."""
@@ -99,12 +103,26 @@ class WordBpe:
         known = self.whole[token] = self.merged(self.symbols(token)) == [token]
         return known
 
+    def ending(self, open_tokens: list[tuple[int, dict]], kind: int, last: list[str]) -> tuple[str, int] | None:
+        """The last token of a prefix, and where it begins: the longest that may follow what stands before it."""
+        for start, node in open_tokens:
+            token = node.get(kind)
+            if token is None or not (self.whole[token] if token in self.whole else self.reachable(token)):
+                continue
+            if not start:
+                return token, start
+            fits = self.pairs.get(last[start], NONE).get(token)
+            if self.may_follow(last[start], token) if fits is None else fits:
+                return token, start
+        return None
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
         """Tokens of byte-level words. Sorted words are the trie in depth-first order; states are kept along the path."""
         found: dict[str, list[str]] = {}
-        pairs, whole, inner, final, suffix = self.pairs, self.whole, self.inner, self.final, self.suffix
-        none: dict[str, bool] = {}
-        last, begin = [""], [0]  # of each prefix of the path: its last token, and where that begins
+        root, suffix, ending = self.root, self.suffix, self.ending
+        # Of each prefix of the path: the places where a token may have begun that goes on, the last token, its begin.
+        going: list[list[tuple[int, dict]]] = [[]]
+        last, begin = [""], [0]
         before = ""
         for word in sorted(words):
             shared = 0
@@ -112,38 +130,34 @@ class WordBpe:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], begin[shared + 1 :]
+            del going[shared + 1 :], last[shared + 1 :], begin[shared + 1 :]
             n = len(word)
-            for end in (*range(len(last), n), n):
-                close, span = ("", inner) if end < n else (suffix, final)
-                tail = word[end - 2 : end] if end > 1 else word[0]
-                for start in range(max(0, end - span.get(tail, 1)), end):
-                    token = word[start:end] + close
-                    fits = whole.get(token)
-                    if fits is None:
-                        fits = self.reachable(token)
-                    if fits:
-                        if not start:
-                            break
-                        left = last[start]
-                        fits = pairs.get(left, none).get(token)
-                        if self.may_follow(left, token) if fits is None else fits:
-                            break
-                else:
-                    token, start = word[end - 1 : end] + close, end - 1  # a symbol that the vocabulary doesn't have
-                if end < n:
-                    last.append(token)
-                    begin.append(start)
+            for end in range(len(going), n + 1):
+                c = word[end - 1]
+                now = [(start, node[c]) for start, node in going[-1] if c in node]
+                if c in root:
+                    now.append((end - 1, root[c]))
+                going.append(now)
+                token, start = ending(now, INNER, last) or (c, end - 1)  # a symbol that the vocabulary doesn't have
+                last.append(token)
+                begin.append(start)
+            token, start = ending(going[n], FINAL, last) or (word[n - 1] + suffix, n - 1)
             tokens = [token]
             while start:
                 tokens.append(last[start])
                 start = begin[start]
             found[word] = tokens[::-1]
-            before = word[:-1]
+            before = word
         return found
 
     def words(self, chunk: str) -> list[str]:
         """The byte-level words of a chunk without white space; a special string stands for itself."""
+        if chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha() and low[-1] in ".,":
+                return [low[:-1], low[-1]]
         if "<|" in chunk and self.cut.search(chunk):
             parts, at = [], 0
             for m in self.cut.finditer(chunk):
