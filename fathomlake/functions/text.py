@@ -63,7 +63,7 @@ def plain_quotes(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Collapsed sentences: cut behind . ! or ? (and a citation that follows) before a space."""
-    return F.filter(F.split(collapsed(text), "(?<=[.!?])\\s+(?!\\[\\d+\\])"), lambda s: s != "")
+    return F.filter(F.split(collapsed(text), "(?<=[.!?]|[.!?]\\s?\\[\\d{1,3}\\])\\s+(?!\\[\\d+\\])"), lambda s: s != "")
 
 
 def html_title(html: Column) -> Column:

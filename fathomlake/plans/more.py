@@ -73,7 +73,7 @@ def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
 def semi_join_cited(spark: SparkSession, d: str) -> DataFrame:
     answer = F.concat(F.lit("so it is ["), 1 + F.col("o_custkey") % 7, F.lit("] and ["), 1 + F.col("o_orderkey") % 4, F.lit("]."))
     numbers = passages.cited(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), answer.alias("answer")), "l_orderkey", "answer").withColumnRenamed("n", "l_linenumber")
-    return table(spark, d, "lineitem").join(numbers, ["l_orderkey", "l_linenumber"], "left_semi").select("l_orderkey", "l_linenumber")
+    return table(spark, d, "lineitem").join(numbers, ["l_orderkey", "l_linenumber"], "left_semi").select("l_orderkey", "l_linenumber").distinct()
 
 
 FIGURES_SQL = "figures AS (SELECT o_custkey AS key, unnest(['money', 'percent', 'clock']) AS unit, unnest([o_totalprice, CAST(o_orderkey % 40 AS DOUBLE), (o_orderkey % 24) * 60.0::DOUBLE + o_custkey % 60]) AS amount, o_orderkey FROM orders)"
