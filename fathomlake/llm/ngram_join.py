@@ -13,7 +13,8 @@
    n-grams, only the class with the smallest id there. Links found so far give components. Then only classes of
    different components meet: under each n-gram, those outside its most frequent component meet the others. What the
    second round leaves out joins classes that are in one component already, so components are exact.
-6. Each distinct pair is verified once, on whole sets.
+6. Each distinct pair is verified once: first the suffix filter again, on parities of four buckets a member, then on
+   whole sets, which only pairs that are nearly certain get as far as.
 
 A document without words is linked with nothing. A row without doc_id can't be named: it keeps its n_shingles, is
 linked with nothing, and its component_id is null. Rows with the same doc_id are one document; if their texts differ,
@@ -35,10 +36,12 @@ from .common import saved, texts
 from .components import components
 from .shingles import sets_of
 
-#: An n-gram counts as frequent from this share of a task's documents, and of all documents, on; the rest by hash.
-FREQUENT_SHARE = 1 / 2000
-#: Most entries of the broadcast order (16 bytes each); beyond it the less frequent are ordered by hash.
-FREQUENT_LIMIT = 1 << 18
+#: Most entries of the broadcast order (16 bytes each): the n-grams with the highest counts; all others go by hash.
+FREQUENT_LIMIT = 1 << 19
+#: Counts that are told apart when the least count of that many n-grams is looked for.
+TOLD_COUNTS = 4096
+#: Members of sets that a task counts at once.
+COUNT_BLOCK = 1_000_000
 #: Up to so many ids of documents to verify (8 bytes each) are broadcast; beyond, their texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 BUCKETS = 512
@@ -48,24 +51,48 @@ def _ids(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
-def frequent_ngrams(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and document counts of the n-grams that are frequent over all documents."""
+def frequent_ngrams(docs: DataFrame, k: int, limit: int = FREQUENT_LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and document counts of the n-grams that most documents have, counted over all documents.
+
+    A task leaves out what it saw in one document only, so counts are from below and its rows are few; as an order of
+    n-grams, any counts are exact enough.
+    """
+
+    def merged(hashes: np.ndarray, counts: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        u, c = np.unique(np.concatenate(sets), return_counts=True)
+        u, c = np.concatenate([hashes, u]), np.concatenate([counts, c])
+        order = np.argsort(u, kind="stable")
+        u, c = u[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+        return u[first], np.add.reduceat(c, first) if len(u) else c
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts, docs_here = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            docs_here += len(batch)
-            u, c = np.unique(np.concatenate([s for _, s in sets_of(batch, k)]), return_counts=True)
-            u, c = np.concatenate([hashes, u[c > 1]]), np.concatenate([counts, c[c > 1]])
-            hashes, at = np.unique(u, return_inverse=True)
-            counts = np.bincount(at, c, len(hashes)).astype(np.int64)
-        few = counts >= max(2, FREQUENT_SHARE * docs_here)
-        yield pd.DataFrame({"h": hashes[few].view(np.int64), "n": counts[few]})
-
-    total = docs.count()
-    found = _ids(docs).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.where(F.col("n") >= max(2, FREQUENT_SHARE * total)).orderBy(F.desc("n"), "h").limit(FREQUENT_LIMIT).toPandas()
-    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+            for _, s in sets_of(batch, k):
+                waiting.append(s)
+                size += len(s)
+                if size >= COUNT_BLOCK:
+                    hashes, counts = merged(hashes, counts, waiting)
+                    waiting, size = [], 0
+                    if len(hashes) > COUNT_BLOCK:  # what was seen once so far is forgotten
+                        hashes, counts = hashes[counts > 1], counts[counts > 1]
+        if waiting:
+            hashes, counts = merged(hashes, counts, waiting)
+        hashes, counts = hashes[counts > 1], counts[counts > 1]
+        for i in range(0, len(hashes), 50_000):
+            yield pd.DataFrame({"h": hashes[i : i + 50_000].view(np.int64), "n": counts[i : i + 50_000]})
+
+    found = saved(_ids(docs).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2"), "ngram-counts")
+    tally = {r["n"]: r["count"] for r in found.groupBy(F.least("n", F.lit(TOLD_COUNTS)).alias("n")).count().collect()}  # TOLD_COUNTS rows at most
+    least, kept = TOLD_COUNTS + 1, 0
+    for n in sorted(tally, reverse=True):
+        if kept + tally[n] > limit:
+            break
+        least, kept = n, kept + tally[n]
+    top = found.where(F.col("n") >= least).toArrow()
+    hashes, counts = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
@@ -83,58 +110,93 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parities(members: np.ndarray, buckets: int) -> np.ndarray:
+    """For each bucket, a bit: whether an odd number of the members fall there. Buckets are a power of two."""
+    at = ((members >> np.uint64(20)) & np.uint64(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=buckets) & 1).astype(np.uint8), bitorder="little")
+
+
+def fine_buckets(n: int) -> int:
+    return max(BUCKETS, 1 << (4 * n - 1).bit_length())
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many buckets two parities differ; the one of more buckets is folded to the other's, which keeps them parities."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def described(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id (string), n, cls (digest of the set), parity (array of BUCKETS / 64 longs), prefix (array of hashes, rare first)."""
+    """doc_id (string), n, cls (digest of the set), parity (array of longs), fine (parities of more buckets), prefix (rare first)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
+    names = ["doc_id", "n", "cls", "parity", "fine", "prefix"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, s in sets_of(batch, k):
                 n = len(s)
-                bits = np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS) & 1).astype(np.uint8))
                 prefix = rare_first(s, *shared.value)[: prefix_size(n, percent)] if n else s
-                rows.append((doc_id, n, blake2b(s.tobytes(), digest_size=16).digest(), bits.view(np.int64), prefix.view(np.int64)))
-                if len(rows) == 1000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "n", "cls", "parity", "prefix"])
+                rows.append((doc_id, n, blake2b(s.tobytes(), digest_size=16).digest(), parities(s, BUCKETS).view(np.int64), parities(s, fine_buckets(n)).tobytes(), prefix.view(np.int64)))
+                if len(rows) == 300:
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "cls", "parity", "prefix"])
+            yield pd.DataFrame(rows, columns=names)
 
-    return _ids(docs).mapInPandas(run, "doc_id string, n long, cls binary, parity array<long>, prefix array<long>")
+    return _ids(docs).mapInPandas(run, "doc_id string, n long, cls binary, parity array<long>, fine binary, prefix array<long>")
 
 
 def may_link(percent: int) -> Column:
-    """The length, positional and suffix filters between postings a and b of one n-gram."""
+    """The length and positional filters between postings a and b of one n-gram."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    both = a("n") + b("n")
     length = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
-    most = 1 + F.least(a("pos"), b("pos")) + F.least(a("n") - a("pos"), b("n") - b("pos")) - 1
-    positional = (100 + percent) * most >= percent * both
-    differ = reduce(lambda x, y: x + y, (F.bit_count(a("parity")[i].bitwiseXOR(b("parity")[i])) for i in range(BUCKETS // 64)))
-    return length & positional & ((100 + percent) * differ <= (100 - percent) * both)
+    most = F.least(a("pos"), b("pos")) + F.least(a("n") - a("pos"), b("n") - b("pos"))
+    return length & ((100 + percent) * most >= percent * (a("n") + b("n")))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) of representatives whose whole sets are similar enough."""
-    pairs = saved(pairs.distinct(), "pairs")
+def similar_suffix(percent: int) -> Column:
+    """The suffix filter between a and b: sets that link differ in at most (100 - percent) / (100 + percent) of both sizes."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(BUCKETS // 64)))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+
+
+def _of(pairs: DataFrame) -> DataFrame:
+    """The distinct ids in pairs (a, b), broadcast if there are few."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if pairs.limit(BROADCAST_IDS).count() < BROADCAST_IDS:  # at most twice as many ids
-        ids = F.broadcast(ids)
+    return F.broadcast(ids) if pairs.limit(BROADCAST_IDS).count() < BROADCAST_IDS else ids  # at most twice as many ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of representatives whose whole sets are similar enough."""
+    pairs = saved(pairs.distinct(), "pairs")
+    fine = known.select("id", "n", "fine").join(_of(pairs), "id", "left_semi")
+    sides = pairs.join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b")
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            differ = np.array([differing(x, y) for x, y in zip(batch["fine_a"], batch["fine_b"])], np.int64)
+            keep = (100 + percent) * differ <= (100 - percent) * (batch["n_a"] + batch["n_b"]).to_numpy()
+            yield batch.loc[keep, ["a", "b"]]
+
+    pairs = saved(sides.mapInPandas(close, "a long, b long").distinct(), "close-pairs")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                rows = [(doc_id, s.view(np.int64)) for doc_id, s in sets_of(batch.iloc[i : i + 500], k)]
+            for i in range(0, len(batch), 100):
+                rows = [(doc_id, s.view(np.int64)) for doc_id, s in sets_of(batch.iloc[i : i + 100], k)]
                 yield pd.DataFrame(rows, columns=["id", "members"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "id", "left_semi")
-    sets = own.select(F.col("id").cast("string").alias("doc_id"), "text").mapInPandas(run, "id string, members array<long>")
-    sets = saved(sets.select(F.col("id").cast("long").alias("id"), "members"), "sets")
-    a, b = sets.select(F.col("id").alias("a"), F.col("members").alias("of_a")), sets.select(F.col("id").alias("b"), F.col("members").alias("of_b"))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(_of(pairs), "id", "left_semi")
+    whole = own.select(F.col("id").cast("string").alias("doc_id"), "text").mapInPandas(sets, "id string, members array<long>")
+    whole = saved(whole.select(F.col("id").cast("long").alias("id"), "members"), "sets")
+    both = pairs.join(whole.toDF("a", "of_a"), "a").join(whole.toDF("b", "of_b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - F.col("shared")
-    found = pairs.join(a, "a").join(b, "b").withColumn("shared", shared).where(100 * F.col("shared") >= percent * union)
-    return found.select("a", "b").distinct()
+    both = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("sizes"), shared.alias("shared"))
+    return saved(both.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -144,31 +206,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     usable = known.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = saved(usable.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
 
-    own = usable.join(classes.withColumn("id", F.col("rep")), ["cls", "id"]).select("id", "n", "parity", "prefix")
-    own = saved(own, "representatives")
+    own = usable.join(classes.withColumn("id", F.col("rep")), ["cls", "id"])
     postings = own.select("id", "n", F.posexplode("prefix").alias("pos", "h"))
-    common = postings.groupBy("h").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    postings = saved(postings.join(common.select("h", "hub"), "h"), "postings")
+    common = postings.groupBy("h").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("h", "hub")
+    postings = saved(postings.join(common, "h"), "postings")
+    parity = known.select("id", "n", "parity").where(F.col("id").isNotNull()).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
 
-    with_parity = postings.join(own.select("id", "n", "parity").distinct(), ["id", "n"])
-    postings = saved(with_parity, "postings-parity")
     hubs, rest = postings.where("id = hub").alias("a"), postings.where("id > hub").alias("b")
     first = hubs.join(rest, (F.col("a.h") == F.col("b.h")) & may_link(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    links = verified(first, docs, k, percent)
+    links = verified(first, known, docs, k, percent)
     groups = components(links)
 
-    placed = postings.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("hub")
-    placed = saved(placed, "placed")
+    placed = postings.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("h", "component").count()
-    main = sizes.groupBy("h").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("n_components")).where("n_components > 1").drop("n_components")
-    mixed = placed.join(main, "h")
-    outside = mixed.where(F.col("component") != F.col("main")).alias("a")
-    every = mixed.alias("b")
+    main = sizes.groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n_components")).where("n_components > 1").drop("n_components")
+    mixed = saved(placed.join(main, "h").join(parity, ["id", "n"]), "placed")
+    outside, every = mixed.where("component <> main").alias("a"), mixed.alias("b")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-    second = outside.join(every, (F.col("a.h") == F.col("b.h")) & apart & may_link(percent))
+    second = outside.join(every, (F.col("a.h") == F.col("b.h")) & apart & may_link(percent) & similar_suffix(percent))
     second = second.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-    links = verified(second, docs, k, percent).union(links)
-    groups = components(links)
+    groups = components(verified(second, known, docs, k, percent).union(links))
 
     of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     out = known.select("doc_id", "id", "n", "cls").join(of_class, "cls", "left")
@@ -181,3 +238,21 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = near_duplicates(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def oracle_sql(k: int, percent: int) -> str:
+    """The same rows in DuckDB: all pairs that share a shingle, and what links reach."""
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), lambda i: {shingle}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, e.b FROM reach JOIN both_ways e ON reach.b = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)"""

@@ -66,5 +66,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_license_scans": license_scan.oracle_sql(),
+    "op2_ngram_jaccard_join": ngram_join.oracle_sql(3, 90),
     "op9_url_filters": url_filters.oracle_sql(),
 }

@@ -12,7 +12,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Characters of text that are hashed at once.
-BLOCK = 1_000_000
+BLOCK = 400_000
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -20,7 +20,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64 for i below n at least; kept by the worker."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * BLOCK)
+        size = max(n, 3 * BLOCK)
         for name, b in (("up", int(BASE)), ("down", pow(int(BASE), -1, 1 << 64))):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1

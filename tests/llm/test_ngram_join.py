@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from fathomlake.llm import ngram_join
@@ -85,3 +86,13 @@ def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_small_table_equals_its_oracle(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{path}'")
+    want = sorted(con.sql(ngram_join.oracle_sql(3, 90)).fetchall())
+    got = ngram_join.near_duplicates(spark.read.parquet(path), 3, 90)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+    assert any(d != c for d, _, c in want)
