@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomlake.operators import figures, fusion, passages, personal, ranking
+from fathomlake.operators import cards, figures, fusion, passages, personal, ranking
 from fathomlake.plans.catalogue import HITS_SQL, asks, query, result_lists, table
+from fathomlake.sources import feeds
 
 FLAT = r"trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))"
 SENTENCES_SQL = f"""cut AS (SELECT doc_id, string_split(regexp_replace({FLAT}, '([.!?]) +', '\\1' || chr(10), 'g'), chr(10)) AS s FROM documents),
@@ -181,3 +182,51 @@ def idea_lanes(spark: SparkSession, d: str) -> DataFrame:
 def image_once(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("image"))
     return ranking.top_k(o, "image", 1, "o_orderkey").select("o_orderkey", "image")
+
+
+# Landed payloads, composed from the tables so that what the parsers have to find is known.
+def brand_lists(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
+    return table(spark, d, "part").groupBy("p_brand").agg(rows.alias("rows"))
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, role AS event, CAST(turn AS VARCHAR) AS data FROM conversations")
+def source_sse(spark: SparkSession, d: str) -> DataFrame:
+    frame = F.struct("turn", F.concat(F.lit("event: "), "role", F.lit("\r\ndata: "), F.col("turn").cast("string"), F.lit("\r\n\r\n")).alias("frame"))
+    streams = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(frame)), lambda f: f["frame"]), "").alias("body"))
+    return feeds.sse_frames(streams.withColumn("body", F.concat("body", F.lit("event: cut"))), "conv_id", "body")
+
+
+@query("""WITH f AS (SELECT p_brand, p_name AS suggestion, min(p_partkey) AS k FROM part GROUP BY 1, 2) SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY k) - 1 AS INTEGER) AS position, suggestion FROM f QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY k) <= 6""")
+def source_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    names = F.to_json(F.transform("rows", lambda r: r["p_name"]))
+    bodies = brand_lists(spark, d).select("p_brand", F.concat(F.lit('["no such", '), names, F.lit("]")).alias("body"), F.lit("no such").alias("prefix"))
+    return feeds.suggestions(bodies, "p_brand", "body", "prefix")
+
+
+@query("SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS position, p_name AS title, p_partkey AS page_id, 'about ' || p_name || ' & more' AS snippet FROM part")
+def source_wiki(spark: SparkSession, d: str) -> DataFrame:
+    hits = F.transform("rows", lambda r: F.struct(r["p_name"].alias("title"), r["p_partkey"].alias("pageid"), F.concat(F.lit("about <b>"), r["p_name"], F.lit("</b> &amp; more")).alias("snippet")))
+    body = F.to_json(F.struct(F.struct(hits.alias("search")).alias("query")))
+    return feeds.wiki_hits(brand_lists(spark, d).select("p_brand", body.alias("body")), "p_brand", "body")
+
+
+@query("SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS position, p_name || ' & co' AS title FROM part")
+def source_rss(spark: SparkSession, d: str) -> DataFrame:
+    items = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("<item><title>"), r["p_name"], F.lit(" &amp; co</title></item>"))), "\n")
+    return feeds.rss_titles(brand_lists(spark, d).select("p_brand", F.concat(F.lit("<rss><title>feed</title>"), items, F.lit("</rss>")).alias("body")), "p_brand", "body")
+
+
+@query("SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, substr(string_agg('w' || l_suppkey, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey), 1, 400) AS abstract FROM lineitem GROUP BY 1")
+def source_abstracts(spark: SparkSession, d: str) -> DataFrame:
+    placed = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("w"), "l_suppkey").alias("word"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("at"))
+    words = placed.groupBy("l_orderkey", "word").agg(F.collect_list("at").alias("at")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    return feeds.abstracts(words, "l_orderkey", "index")
+
+
+@query()
+def card_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Threads as nested cards, flattened again."""
+    node = F.struct("turn", F.struct(F.col("role").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.length("text").alias("size"))).alias("children")).alias("node"))
+    bodies = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(node)), lambda n: n["node"])).alias("body"))
+    return cards.flatten_nodes(bodies, "conv_id", "body")
