@@ -36,3 +36,16 @@ def ttl_seconds(tier: Column) -> Column:
 
 def month_label(date: Column) -> Column:
     return F.date_format(date, "MMM yyyy")
+
+
+def parsed_date(text: Column, as_of: Column) -> Column:
+    """The day that "3 weeks ago", "Oct 7, 2026" or an ISO date (with or without a time) means; null for anything else."""
+    low = F.lower(F.trim(text))
+    n = F.regexp_extract(low, "^(\\d{1,4}) +(minute|hour|day|week|month|year)s? +ago$", 1).try_cast("int")
+    unit = F.regexp_extract(low, "^(\\d{1,4}) +(minute|hour|day|week|month|year)s? +ago$", 2)
+    day = F.to_date(as_of)
+    back = F.when(unit.isin("minute", "hour"), day).when(unit == "day", F.date_sub(day, n)).when(unit == "week", F.date_sub(day, n * 7))
+    back = back.when(unit == "month", F.add_months(day, -n)).when(unit == "year", F.add_months(day, -12 * n))
+    named = F.to_date(F.try_to_timestamp(F.trim(text), F.lit("MMM d, yyyy")))
+    iso = F.regexp_extract(text, "^\\s*(\\d{4}-\\d{2}-\\d{2})", 1).try_cast("date")
+    return F.coalesce(back, named, iso)

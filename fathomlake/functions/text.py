@@ -124,3 +124,19 @@ def answer_key(text: pd.Series) -> pd.Series:
         return t
 
     return text.map(key)
+
+
+def deletions(word: Column) -> Column:
+    """A word and what it is without each of its characters: words one edit apart have at least one of these in common."""
+    n = F.length(word)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
+    return F.array_distinct(F.concat(F.array(word), cut))
+
+
+def clean_markdown(text: Column, most: int = 6000) -> Column:
+    """Readable lines of Markdown: images and marks go, links keep their label, short lines without figure or end mark go."""
+    bare = F.regexp_replace(text, "!\\[[^\\]]*\\]\\([^)]*\\)", "")
+    bare = F.regexp_replace(bare, "\\[([^\\]]*)\\]\\([^)]*\\)", "$1")
+    lines = F.transform(F.split(bare, "\n"), lambda line: F.trim(F.regexp_replace(line, "^[ \\t]*(#{1,6}|[-*+>])[ \\t]+|[*_`]{1,3}", "")))
+    kept = F.filter(lines, lambda line: (F.length(line) >= 40) | line.rlike("\\d") | line.rlike("[.!?]$"))
+    return F.substring(F.array_join(kept, "\n"), 1, most)

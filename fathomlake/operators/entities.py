@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomlake.functions.text import deletions, within_one_edit
+
 
 def clusters(signals: DataFrame, scope: str, row: str, signal: str, rounds: int = 30) -> DataFrame:
     """(scope, row, cluster): rows of a scope joined by chains of shared signals; a cluster is named by its smallest row.
@@ -41,3 +44,56 @@ def drop_covered(names: DataFrame, scope: str, name: str, position: str) -> Data
     b = w.select(F.col(scope).alias("scope_b"), F.col("words_").alias("words_b"), F.explode("words_").alias("word_b")).alias("b")
     covered = a.join(b, (F.col(f"a.{scope}") == F.col("scope_b")) & (F.col("word_") == F.col("word_b")) & (F.size("words_b") > F.size("words_")) & (F.size(F.array_except("words_", "words_b")) == 0), "left_semi")
     return names.join(covered.select(scope, position), [scope, position], "left_anti")
+
+
+def nearest_spelling(typed: DataFrame, words: DataFrame, word: str, count: str) -> DataFrame:
+    """Per typed word the most frequent known word exactly one edit away (the first by name on ties).
+
+    Both sides are filed under their deletions of one character, so only words that share one are compared.
+    """
+    keyed = typed.select("typed", F.explode(deletions(F.col("typed"))).alias("key_")).distinct()
+    known = words.select(word, count, F.explode(deletions(F.col(word))).alias("key_")).distinct()
+    pairs = keyed.join(known, "key_").select("typed", word, count).distinct().where(within_one_edit(F.col("typed"), F.col(word)))
+    w = Window.partitionBy("typed").orderBy(F.desc(count), word)
+    return pairs.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").drop("nth_")
+
+
+def longer_forms(names: DataFrame, scope: str, name: str) -> DataFrame:
+    """(scope, name, alias): names of a scope that begin with all of a shorter name's words; joined on the first word."""
+    words = F.filter(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    w = names.select(scope, name, words.alias("words_")).distinct().withColumn("first_", F.get("words_", F.lit(0)))
+    a, b = w.alias("a"), w.alias("b")
+    same = (F.col(f"a.{scope}") == F.col(f"b.{scope}")) & (F.col("a.first_") == F.col("b.first_"))
+    longer = (F.size("b.words_") > F.size("a.words_")) & (F.slice("b.words_", F.lit(1), F.size("a.words_")) == F.col("a.words_"))
+    return a.join(b, same & longer).select(F.col(f"a.{scope}").alias(scope), F.col(f"a.{name}").alias(name), F.col(f"b.{name}").alias("alias"))
+
+
+def merged_records(rows: DataFrame, scope: str, position: str, keys: tuple[str, str], fields: list[str], largest: str) -> DataFrame:
+    """Records of a scope folded in order: one that has a kept record's first or, failing that, second key joins it.
+
+    A record that would bridge two kept ones joins the one that its first key finds, and keys that a merge brings along
+    find nothing; empty fields are filled from later records, `largest` keeps its maximum. The fold depends on the order,
+    so a scope (the hits of one question) is folded in Python.
+    """
+    schema = rows.select(scope, position, *keys, *fields, largest).schema
+    names = schema.names
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(position, ignore_index=True).astype(object)
+        own = own.where(own.notna(), None)
+        kept: list[dict] = []
+        by: tuple[dict, dict] = ({}, {})
+        for r in own[names].to_dict("records"):
+            into = next((b[r[k]] for b, k in zip(by, keys) if r[k] is not None and r[k] in b), None)
+            if into is None:
+                kept.append(r)
+                for b, k in zip(by, keys):
+                    if r[k] is not None:
+                        b.setdefault(r[k], r)
+                continue
+            for f in (*keys, *fields):
+                into[f] = r[f] if into[f] is None else into[f]
+            into[largest] = max((x for x in (into[largest], r[largest]) if x is not None), default=None)
+        return pd.DataFrame(kept, columns=names)
+
+    return rows.select(*names).groupBy(scope).applyInPandas(run, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomlake.operators import cards, figures, fusion, passages, personal, ranking
+from fathomlake.functions import money, text
+from fathomlake.operators import cards, entities, figures, fusion, passages, personal, ranking
 from fathomlake.plans.catalogue import HITS_SQL, asks, query, result_lists, table
 from fathomlake.sources import feeds
 
@@ -230,3 +231,45 @@ def card_nodes(spark: SparkSession, d: str) -> DataFrame:
     node = F.struct("turn", F.struct(F.col("role").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.length("text").alias("size"))).alias("children")).alias("node"))
     bodies = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(node)), lambda n: n["node"])).alias("body"))
     return cards.flatten_nodes(bodies, "conv_id", "body")
+
+
+@query("""WITH t AS (SELECT o_orderkey, CAST(o_orderkey % 50 AS INTEGER) AS n, o_orderkey % 5 AS kind, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT o_orderkey, CAST(CASE kind WHEN 0 THEN DATE '2001-08-31' - n WHEN 1 THEN DATE '2001-08-31' - 7 * n WHEN 2 THEN DATE '2001-08-31' - to_months(n) WHEN 3 THEN day END AS DATE) AS day FROM t""")
+def relative_date(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("o_orderkey") % 5, (F.col("o_orderkey") % 50).cast("string")
+    words = F.when(k == 0, F.concat(n, F.lit(" days ago"))).when(k == 1, F.concat(n, F.lit(" weeks ago"))).when(k == 2, F.concat(n, F.lit(" months ago")))
+    words = words.when((k == 3) & (F.col("o_orderkey") % 2 == 0), F.date_format("o_orderdate", "MMM d, yyyy")).when(k == 3, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm")).otherwise("some day")
+    return table(spark, d, "orders").select("o_orderkey", money.parsed_date(words, F.lit("2001-08-31").cast("date")).alias("day"))
+
+
+@query("""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) GROUP BY 1), t AS (SELECT DISTINCT substr(word, 2, 1) || substr(word, 1, 1) || substr(word, 3) AS typed FROM w WHERE length(word) > 3)
+SELECT typed, word, n FROM t JOIN w ON damerau_levenshtein(typed, word) = 1 QUALIFY row_number() OVER (PARTITION BY typed ORDER BY n DESC, word) = 1""")
+def spelling(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    typed = words.where(F.length("word") > 3).select(F.concat(F.substring("word", 2, 1), F.substring("word", 1, 1), F.substring("word", 3, 1000)).alias("typed")).distinct()
+    return entities.nearest_spelling(typed, words, "word", "n")
+
+
+@query(r"""WITH n AS (SELECT DISTINCT p_size AS scope, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' ' || p_brand END AS name FROM part), w AS (SELECT *, list_filter(string_split_regex(lower(name), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM n)
+SELECT a.scope, a.name, b.name AS alias FROM w a JOIN w b ON a.scope = b.scope AND len(b.w) > len(a.w) AND b.w[1:len(a.w)] = a.w""")
+def aliases(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_size").alias("scope"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_brand")).alias("name"))
+    return entities.longer_forms(p, "scope", "name")
+
+
+@query("SELECT l_orderkey, round(product(1 + l_tax), 6) AS factor FROM lineitem GROUP BY l_orderkey")
+def product_agg(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.product(1 + F.col("l_tax")), 6).alias("factor"))
+
+
+@query()
+def merge_works(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order stand for catalogue records: the part for a DOI (one in three has none), the supplier for a preprint id."""
+    li = table(spark, d, "lineitem")
+    rows = li.select((F.col("l_orderkey") % 200).alias("scope"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("position"), F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("doi"), F.col("l_partkey") % 40)).alias("doi"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("pre"), F.col("l_suppkey"))).alias("preprint"), F.col("l_returnflag").alias("title"), F.col("l_quantity").alias("citations"))
+    return entities.merged_records(rows, "scope", "position", ("doi", "preprint"), ["title"], "citations")
+
+
+@query()
+def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.clean_markdown(F.concat(F.lit("# "), "text")).alias("lines"))

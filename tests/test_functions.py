@@ -92,3 +92,17 @@ def test_clusters_follow_chains(spark):
     rows = [(1, i, f"s{i // 2}") for i in range(12)] + [(1, i, f"t{(i + 1) // 2}") for i in range(8)] + [(2, 5, None)]
     got = {(r.scope, r.row): r.cluster for r in entities.clusters(spark.createDataFrame(rows, "scope int, row int, signal string"), "scope", "row", "signal").collect()}
     assert got == {(1, i): 0 if i < 8 else i // 2 * 2 for i in range(12)} | {(2, 5): 5}
+
+
+def test_merged_records(spark):
+    rows = [(1, 1, "d1", None, None, 3), (1, 2, None, "p1", "t", 5), (1, 3, "d1", "p1", "u", 9), (1, 4, None, "p1", "v", 1), (2, 1, "d1", None, "w", None), (2, 2, None, None, "x", 2), (2, 3, None, None, None, 2)]
+    df = spark.createDataFrame(rows, "scope int, position int, doi string, pre string, title string, cites int")
+    got = sorted(tuple(r) for r in entities.merged_records(df, "scope", "position", ("doi", "pre"), ["title"], "cites").collect())
+    assert got == [(1, 1, "d1", "p1", "u", 9), (1, 2, None, "p1", "t", 5), (2, 1, "d1", None, "w", None), (2, 2, None, None, "x", 2), (2, 3, None, None, None, 2)]
+
+
+def test_markdown_and_dates(spark):
+    md = "# A title that is long enough to be kept in the text\n![x](y) nav\n- [See this](http://a) costs 5\n**Done.**"
+    assert column(spark, [md], text.clean_markdown) == ["A title that is long enough to be kept in the text\nSee this costs 5\nDone."]
+    day = lambda v: money.parsed_date(v, F.lit("2024-03-31").cast("date"))
+    assert column(spark, ["1 month ago", "2 Days ago", "Oct 7, 2026", "2024-02-03T10:00Z", "5 hours ago", "soon", None], day) == [datetime.date(2024, 2, 29), datetime.date(2024, 3, 29), datetime.date(2026, 10, 7), datetime.date(2024, 2, 3), datetime.date(2024, 3, 31), None, None]
