@@ -142,6 +142,8 @@ def rebuilt(stored: DataFrame, foreign: DataFrame) -> DataFrame:
     """`stored` with a column of all chunks that a row needs: its own, and those fetched by digest."""
     complete = stored.where("n_foreign = 0").withColumn("chunks", F.col("own"))
     shared = foreign.select("digest").distinct()
+    if foreign.limit(BROADCAST_REFERENCES + 1).count() <= BROADCAST_REFERENCES:
+        shared = F.broadcast(shared)  # so that the bytes of chunks that nobody refers to stay where they are
     bytes_of = stored.select(F.explode("own").alias("c")).select("c.digest", "c.bytes").join(shared, "digest", "left_semi").dropDuplicates(["digest"])
     fetched = foreign.join(bytes_of, "digest").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
     partial = stored.where("n_foreign > 0").join(fetched, "doc_id", "left").withColumn("chunks", F.concat("own", F.coalesce("fetched", F.array().cast("array<struct<digest:binary,bytes:binary>>")))).drop("fetched")
