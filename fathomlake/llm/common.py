@@ -54,11 +54,11 @@ class BoundedCache(dict):
 
     def missing(self, keys: set) -> list:
         """Those of `keys` that are to be computed; the cache has room for them afterwards."""
-        new = keys.difference(self)
+        new = [k for k in keys if k not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = keys
-        return list(new)
+            new = list(keys)
+        return new
 
 
 def sliced(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[pd.DataFrame]:

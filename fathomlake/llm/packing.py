@@ -1,6 +1,9 @@
 """Documents as pieces of token ids, packed into sequences by vector best-fit.
 
-Tokenizing: white-space runs are encoded once per worker by the library and kept as packed 32-bit ids. A document's
+Tokenizing: white-space runs are encoded once per worker and kept as packed 32-bit ids. Plain words go to a byte-level
+encoder built from the same file: a word's end is a byte MARK whose merges with the byte before it come first, all
+others keep their ranks. It merges any two tokens whose joined bytes are a token, which is the file's own result, as
+each of its tokens is what its own characters merge to (tests check that). The rest goes to the library. A document's
 ids, closed by END, are cut only where they exceed the sequence length.
 
 Packing: pieces are dealt evenly, by a hash of a row number, into groups of about GROUP_ROWS pieces, as many groups as
@@ -14,6 +17,7 @@ against one sequence for each residual, not against all.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import zlib
 from array import array
@@ -21,35 +25,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, mapped, saved, sliced
 from .token_counts import tokenizer
-from .word_bpe import LATIN, runs
+from .word_bpe import LATIN, byte_symbols, runs
 
 END = 0
+MARK = "\0"
 CACHE_LIMIT = 1 << 19
 GROUP_ROWS = 50_000
 WEIGHTS = (1.0, 1e-3, 1e-3)
 
 _caches: dict[str, BoundedCache] = {}
+_encoders: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
 
-def packed_ids(library, chunks: list[str]) -> list[bytes]:
+def word_encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The encoder of marked words, and for each id whether it ends a word; once for each worker."""
+    if path not in _encoders:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix, byte = model["end_of_word_suffix"], {c: b for b, c in enumerate(byte_symbols())}
+        ranks, ends = {}, np.zeros(max(model["vocab"].values()) + 1, bool)
+        for token, i in model["vocab"].items():
+            ends[i] = token.endswith(suffix)
+            ranks[bytes(byte[c] for c in token.removesuffix(suffix)) + MARK.encode() * int(ends[i])] = i
+        _encoders[path] = (tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}), ends)
+    return _encoders[path]
+
+
+def encoded_words(words: list[str], path: str) -> list[bytes]:
+    """Packed ids of words without white space or MARK, as they stand."""
+    encoder, ends = word_encoder(path)
+    ids = np.array(encoder.encode_ordinary(" ".join([w + MARK for w in words])), np.uint32)
+    data, cuts = ids.tobytes(), [0, *(4 * (np.flatnonzero(ends[ids]) + 1)).tolist()]
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def packed_ids(library, path: str, chunks: list[str]) -> list[bytes]:
     """Ids of white-space-free chunks as 32-bit words. Spellings that differ in case or in a closing mark share their word's encoding."""
-    plan, words = [], {}
+    plan, plain, other = [], {}, {}
     for chunk in chunks:
-        low = chunk.lower() if max(chunk) <= LATIN else chunk
-        stem, mark = (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else (low, "")
-        if not stem.isalpha():
+        stem, mark = chunk.lower(), ""
+        if not stem.isalpha() and stem[-1] in ".,":
+            stem, mark = stem[:-1], stem[-1]
+        if stem.isalpha() and (chunk.isascii() or max(chunk) <= LATIN):
+            plain[stem] = plain[mark or stem] = b""
+        else:
             stem, mark = chunk, ""
+            other[stem] = b""
         plan.append((stem, mark))
-        words[stem] = words[mark or stem] = b""
-    encoded = library.encode_batch(list(words), add_special_tokens=False)
-    words = {w: array("I", e.ids).tobytes() for w, e in zip(words, encoded)}
-    words[""] = b""
-    return [words[stem] + words[mark] for stem, mark in plan]
+    found = dict(zip(plain, encoded_words(list(plain), path))) if plain else {}
+    found |= {c: array("I", e.ids).tobytes() for c, e in zip(other, library.encode_batch(list(other), add_special_tokens=False))}
+    found[""] = b""
+    return [found[stem] + found[mark] for stem, mark in plan]
 
 
 def pieces(docs: DataFrame, path: str, length: int = 2048) -> DataFrame:
@@ -62,7 +94,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048) -> DataFrame:
         for batch in sliced(batches):
             chunks = [runs(text) for text in batch["text"]]
             if missing := cache.missing(set().union(*chunks)):
-                cache.update(zip(missing, packed_ids(library, missing)))
+                cache.update(zip(missing, packed_ids(library, path, missing)))
             rows = []
             for doc_id, own in zip(batch["doc_id"], chunks):
                 ids = b"".join(map(cache.__getitem__, own)) + end

@@ -73,3 +73,14 @@ def test_pieces_are_packed_whole(spark, limits):
     if not limits:
         assert len(bins) <= 1.05 * sum(w[3] for w in want) / 64 + 1
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+def test_marked_words_encode_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    bpe, library = word_bpe.WordBpe(path), Tokenizer.from_file(path)
+    assert all(bpe.reachable(t) for t in bpe.vocab if t not in bpe.special)
+    rng = random.Random(8)
+    pieces = [t.removesuffix(bpe.suffix) for t in bpe.vocab if t.isascii() and t.removesuffix(bpe.suffix).isalpha() and t.islower()]
+    words = sorted({"".join(rng.choice(pieces) for _ in range(rng.randint(1, 3))) for _ in range(20_000)} | {"été", "größe", "ñandú", "x", "."})
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(words, add_special_tokens=False)]
+    assert packing.encoded_words(words, path) == want
