@@ -225,14 +225,14 @@ class Toxicity:
                 for text, y in zip(batch["text"], batch["toxic"]):
                     for f, n in counted(Counter(WORD.findall(text.lower()))).items():
                         by[y].update(leveled(f, n))
-            both = by[0] + by[1]
-            names = [t for t, n in both.items() if n > 1]
+            names = list(by[0] | by[1])
             for a in range(0, len(names), 10_000):
                 own = names[a : a + 10_000]
                 yield pd.DataFrame({"term": own, "toxic": [by[1][t] for t in own], "clean": [by[0][t] for t in own]})
 
         sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         counts = rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+        counts = counts.where(F.col("t") + F.col("c") > 1)  # of all tasks' texts: a task alone can't tell a rare term
         t, c, base = F.col("t"), F.col("c"), sizes.get(1, 0) / max(1, sum(sizes.values()))
         if 0 < base < 1:
             part = lambda x, p: F.when(x > 0, x * F.log(x / ((t + c) * p))).otherwise(0.0)

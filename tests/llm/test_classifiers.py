@@ -58,6 +58,15 @@ def test_filters_keep_columns_and_clean_rows(spark):
     assert len({k[0] for k in known if k[1]} - ids) <= 6 and len({k[0] for k in known if not k[1]} & ids) <= 6
 
 
+def test_terms_do_not_depend_on_partitions(spark):
+    docs, labels, _, n = corpus(spark)
+    docs = docs.where(f"doc_id < {n}").distinct()
+    one, many = (toxicity.Toxicity.fit(docs.repartition(k, "doc_id"), labels) for k in (1, 100))
+    assert len(one.terms.voter) > sum(map(len, toxicity.LEXICONS))
+    assert many.terms == one.terms
+    assert np.allclose(many.weights, one.weights) and np.isclose(many.intercept, one.intercept)
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_no_rows_or_no_labels(spark, module):
     docs, labels, _, n = corpus(spark, n=30)
