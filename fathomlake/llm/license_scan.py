@@ -6,6 +6,11 @@ coefficient is 2c / (a + b). It can reach the threshold t only where a t / (2 -
 are filed under each unit size that they can match; a unit fetches the candidates of its own size and no others, and a
 unit of a size that no template can match is dropped before its bigrams are made. Templates are a fixed list and
 travel as a literal map; nothing is joined or shuffled.
+
+A notice that shares its line with other words is found by windows over the words of the whole text. The best window of
+a template begins and ends with a bigram of it (any other could be cut off for a higher score), so only those are tried.
+Of a template's distinct bigrams a window must have so many that it can't lack all that a few words (its keys) stand in:
+texts without a key are passed over. A window inside a unit that has matched the same licence is that unit's.
 """
 
 from __future__ import annotations
@@ -19,25 +24,49 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.8
 
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"
+)
+
 #: Usual wordings of notices and of the grants themselves, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
     ),
-    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License."),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License.", f"{BSD}."),
+    "BSD-3-Clause": (
+        "Released under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        f"{BSD}. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "EPL-2.0": (
+        "Released under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "MIT": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
@@ -63,6 +92,71 @@ def sizes(n: int, threshold: float) -> range:
     return range(max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9)), math.floor(n * (2 - threshold) / threshold + 1e-9) + 1)
 
 
+#: Words that stand in most texts, and are keys only if nothing else is left.
+COMMON = frozenset("a above all an and any are as at be by can for form forms free from in is it its list may must not of on or other public published released that the this to under use used version which with without work you your 0 1 2 3 4".split())
+
+
+def least_shared(n: int, threshold: float) -> int:
+    """Distinct bigrams that a window has at least in common with a template of n to reach the threshold."""
+    return math.ceil(threshold * (n + sizes(n, threshold)[0]) / 2 - 1e-9)
+
+
+def keys(bigrams: list[str], threshold: float) -> list[str]:
+    """Words of which every window that reaches the threshold has one: it can't do without all bigrams they stand in."""
+    left, need = set(bigrams), least_shared(len(bigrams), threshold)
+    chosen = []
+    while len(left) >= need:
+        words = {w for b in left for w in b.split()}
+        chosen.append(min(words, key=lambda w: (w in COMMON, -sum(w in b.split() for b in left), w)))
+        left = {b for b in left if chosen[-1] not in b.split()}
+    return chosen
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: what a lambda reads from outside is else computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def windows(text: Column, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """array<struct<score, licence, unit>>: of each template that some window reaches the threshold with, the best (then first, then shortest) window."""
+    rows = []
+    for licence, bigrams in template_rows(templates):
+        own = sizes(len(bigrams), threshold)
+        if len(set(bigrams)) >= (least := least_shared(len(bigrams), threshold)):
+            numbers = {"n": len(bigrams), "low": own[0], "high": own[-1], "least": least}
+            arrays = {"keys": [f" {k} " for k in keys(bigrams, threshold)], "bigrams": sorted(set(bigrams))}
+            rows.append(F.struct(F.lit(licence).alias("licence"), *(F.lit(v).alias(k) for k, v in numbers.items()), *(F.array(*map(F.lit, v)).alias(k) for k, v in arrays.items())))
+    table = F.array(*rows)
+
+    def best(words: Column, bigrams: Column, t: Column) -> Column:
+        hits = F.filter(F.transform(bigrams, lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda x: F.array_contains(t["bigrams"], x["b"]))
+
+        def of(hits: Column) -> Column:
+            at = lambda k: F.get(hits, k)["i"]
+            starts = F.filter(F.sequence(F.lit(0), F.size(hits) - t["least"]), lambda k: at(k + t["least"] - 1) - at(k) < t["high"])
+
+            def ending(k: Column) -> Column:
+                ends = F.filter(F.sequence(k + t["least"] - 1, F.least(F.size(hits), k + t["high"]) - 1), lambda e: (at(e) - at(k) + 1).between(t["low"], t["high"]))
+                shared = lambda e: F.size(F.array_distinct(F.transform(F.slice(hits, k + 1, e - k + 1), lambda x: x["b"])))
+                return F.transform(ends, lambda e: F.struct((F.lit(-2.0) * shared(e) / (at(e) - at(k) + 1 + t["n"])).alias("minus"), at(k).alias("start"), (at(e) - at(k) + 2).alias("n")))
+
+            found = F.array_min(F.flatten(F.transform(starts, ending)))
+            return F.when(F.size(hits) >= t["least"], let(found, lambda w: F.when(w["minus"] <= -threshold, F.struct((-w["minus"]).alias("score"), t["licence"].alias("licence"), F.array_join(F.slice(words, w["start"] + 1, w["n"]), " ").alias("unit")))))
+
+        return let(hits, of)
+
+    def among(unit: Column) -> Column:
+        keyed = F.filter(table, lambda t: F.exists(t["keys"], lambda k: F.contains(F.concat(F.lit(" "), unit, F.lit(" ")), k)))
+        pairs = lambda words: F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+        inside = lambda words: let(pairs(words), lambda bigrams: F.filter(F.transform(keyed, lambda t: best(words, bigrams, t)), lambda w: w.isNotNull()))
+        return let(F.split(unit, " "), lambda words: F.when(F.size(words) > 1, inside(words)))
+
+    # Texts are lower-cased and searched for keys before they are normalised.
+    every = sorted({k for _, b in template_rows(templates) for k in keys(b, threshold)})
+    some = lambda lowered: F.exists(F.array(*map(F.lit, every)), lambda k: F.contains(lowered, k))
+    return let(F.translate(text, UPPER, LOWER), lambda lowered: F.when(some(lowered), let(normalised(lowered), among)))
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
 
@@ -96,23 +190,32 @@ def notices(text: Column, templates: dict[str, tuple[str, ...]] = TEMPLATES, thr
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """For every row: doc_id, licences (distinct, sorted, comma-joined), n_notices, best_licence, best_score.
 
-    n_notices counts distinct units that reach the threshold with some template. The best has the highest score, the
+    n_notices counts distinct units that reach the threshold with some template, and distinct windows, the best of each
+    template, that stand in none of those and in no longer window. The best has the highest score, the
     first licence by name among equals. Null and empty texts, and texts without a notice: '', 0, null, null.
     """
-    found = docs.select("doc_id", notices(F.coalesce("text", F.lit("")), templates, threshold).alias("found"))
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", notices(text, templates, threshold).alias("units"), windows(text, templates, threshold).alias("windows"))
+    within = lambda w, u: F.contains(F.concat(F.lit(" "), u, F.lit(" ")), F.concat(F.lit(" "), w, F.lit(" ")))
+    fresh = F.filter("windows", lambda w: ~F.exists("units", lambda u: (u["licence"] == w["licence"]) & within(w["unit"], u["unit"])))
+    found = found.select("doc_id", "units", F.coalesce(fresh, F.expr("slice(units, 1, 0)")).alias("windows"))
+    found = found.select("doc_id", "units", "windows", F.concat("units", "windows").alias("found"))
+    whole = F.array_distinct(F.transform("units", lambda u: u["unit"]))
+    # Windows of several templates over the same words are one notice, that of the longest.
+    alone = F.filter("windows", lambda w: ~F.exists("found", lambda o: (o["unit"] != w["unit"]) & within(w["unit"], o["unit"])))
     best = F.reduce("found", F.struct(F.lit(0.0).alias("score"), F.lit("").alias("licence")), lambda b, r: F.when((r["score"] > b["score"]) | ((r["score"] == b["score"]) & (r["licence"] < b["licence"])), F.struct(r["score"].alias("score"), r["licence"].alias("licence"))).otherwise(b))
     some = F.size("found") > 0
     return found.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda r: r["licence"]))), ",").alias("licences"),
-        F.size(F.array_distinct(F.transform("found", lambda r: r["unit"]))).cast("long").alias("n_notices"),
+        F.size(F.array_union(whole, F.transform(alone, lambda w: w["unit"]))).cast("long").alias("n_notices"),
         F.when(some, best["licence"]).alias("best_licence"),
         F.when(some, F.round(best["score"], 6)).alias("best_score"),
     )
 
 
 def oracle_sql(templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same rows in DuckDB, every template tried on every unit."""
+    """The same rows in DuckDB, every template tried on every unit; it tries no windows, so notices inside prose are not in it."""
     rows = ", ".join(f"('{licence}', {len(b)}, {sorted(set(b))!r})" for licence, b in template_rows(templates))
     return f"""
 WITH templates(licence, n, bigrams) AS (VALUES {rows}),

@@ -1,5 +1,7 @@
 """Licence scans and URL filters against their DuckDB oracles, on edge cases and on the small tables."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -44,6 +46,40 @@ def test_licence_scan_on_documents(spark):
     compare(spark, license_scan.scan(spark.read.parquet(f"{SF}/documents.parquet")), license_scan.oracle_sql(), documents=duckdb.sql(f"FROM '{SF}/documents.parquet'").df())
 
 
+def brute_windows(text):
+    """licence: the best score of all windows of all admitted sizes."""
+    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    grams, best = [f"{a} {b}" for a, b in zip(words, words[1:])], {}
+    for licence, own in license_scan.template_rows():
+        for size in license_scan.sizes(len(own), license_scan.THRESHOLD):
+            for i in range(len(grams) - size + 1):
+                score = 2 * len(set(grams[i : i + size]) & set(own)) / (size + len(own))
+                if score >= license_scan.THRESHOLD:
+                    best[licence] = max(score, best.get(licence, 0))
+    return best
+
+
+PROSE = {
+    "Copyright 2020 Jane Doe. Released under the MIT License.": "MIT",
+    "We met in May; it is (released under the ISC-License), they said, and left.": "ISC",
+    "old text " * 30 + "Licensed under CC BY-SA 4.0. " + "new text " * 30: "CC-BY-SA-4.0",
+    "Ann wrote: " * 30 + license_scan.TEMPLATES["GPL-2.0"][1].replace("modify", "change") + " So be it.": "GPL-2.0",
+    "x " * 50 + license_scan.BSD + ". THIS SOFTWARE IS PROVIDED AS IS": "BSD-2-Clause",
+    "Note that " * 30 + license_scan.TEMPLATES["EPL-2.0"][1] + " and no more of it": "EPL-2.0",
+    "A licence, a license; the GNU General of the public is under the MIT roof.": None,
+}
+
+
+def test_licence_inside_prose(spark):
+    docs = spark.createDataFrame(list(enumerate(PROSE)), "doc_id int, text string")
+    for r in license_scan.scan(docs).collect():
+        text = list(PROSE)[r.doc_id]
+        want = brute_windows(text)
+        assert r.best_licence == PROSE[text] and (r.n_notices >= 1) == bool(want)
+        assert set(r.licences.split(",")) - {""} == set(want)
+        assert not want or abs(r.best_score - max(want.values())) < 1e-6
+
+
 URLS = [
     None, "", "no scheme", "http://", "HTTP://A.NET/x", "http://example.net/en/a?b#c", "https://sub.Example.NET/en", "http://notexample.com/de/", "http://a.example.com/de/x://y",
     "https://x.org/fr/?q", "https://org/fr/z", "http://a.net", "http://www.casino-win.example.org/de/1.html", "http://www.casino-win.example.org/fr/1.html", "https://ADS.example.fr/banner", "https://x.fr/sponsored/1",
