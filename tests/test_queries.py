@@ -41,3 +41,11 @@ def test_query(spark, duck, name):
         quoted = ", ".join(f'"{n}"' for n in names)
         assert sorted(duck.sql(catalogue.ORACLES[name]).columns) == names
         assert got == sorted(tuple(plain(v) for v in r) for r in duck.sql(f"SELECT {quoted} FROM ({catalogue.ORACLES[name]})").fetchall())
+
+
+def test_word_subset_drop_whole(spark, duck):
+    names = duck.sql("SELECT p_size, p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' plus' ELSE '' END FROM part").fetchall()
+    words = [(scope, set(name.lower().split())) for scope, _, name in names]
+    want = {row for row, (scope, own) in zip(names, words) if not any(s == scope and own < other for s, other in words)}
+    got = [tuple(r) for r in catalogue.QUERIES["word_subset_drop_whole"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want and max(got)[0] > 10
