@@ -148,8 +148,8 @@ def windows(text: Column, templates: dict[str, tuple[str, ...]] = TEMPLATES, thr
     def among(unit: Column) -> Column:
         keyed = F.filter(table, lambda t: F.exists(t["keys"], lambda k: F.contains(F.concat(F.lit(" "), unit, F.lit(" ")), k)))
         pairs = lambda words: F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-        inside = lambda words: let(pairs(words), lambda bigrams: F.filter(F.transform(keyed, lambda t: best(words, bigrams, t)), lambda w: w.isNotNull()))
-        return let(F.split(unit, " "), lambda words: F.when(F.size(words) > 1, inside(words)))
+        inside = lambda words, some: let(pairs(words), lambda bigrams: F.filter(F.transform(some, lambda t: best(words, bigrams, t)), lambda w: w.isNotNull()))
+        return let(keyed, lambda some: F.when(F.size(some) > 0, let(F.split(unit, " "), lambda words: F.when(F.size(words) > 1, inside(words, some)))))
 
     # Texts are lower-cased and searched for keys before they are normalised.
     every = sorted({k for _, b in template_rows(templates) for k in keys(b, threshold)})
