@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no spark.checkpoint.dir, as in tests on one machine.
+#: Only used where the session names no spark.checkpoint.dir and runs on one machine, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints/fathomlake"
 
 
@@ -18,17 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or the local default if unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session may do without, a cluster may not."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or DEFAULT_SHARED).rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """One folder for all tables that this application saves."""
+    return f"{shared_dir(spark)}/fathomlake-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has saved; results that were not written elsewhere can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that nothing before it is computed again.
 
-    The table outlives the lazy result that reads it; whoever owns spark.checkpoint.dir clears that folder.
+    The table outlives the lazy result that reads it; clear() removes all of an application's.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,20 +1,26 @@
 """Near-duplicate groups by an exact Jaccard join on word n-gram sets.
 
-1. Order. n-grams are ordered rare-first: those that are frequent over all documents (a bounded summary, counted in
-   every task and summed) last and by their count, all others before them by hash. Any fixed order gives the same
-   links; this one keeps what many documents share out of the prefixes.
+1. Order. n-grams are ordered rare-first: by the number of documents that have one, counted over all documents in a
+   table of 2 ** SLOT_BITS counters that n-grams share by hash, then by hash. Any fixed order gives the same links;
+   this one keeps what many documents share out of the prefixes. Each task fills a table of its own and tables are
+   summed, so the counts don't depend on how documents are dealt to tasks, and their size is fixed.
 2. Classes. Documents with the same set are one class, represented by its smallest doc_id.
 3. Prefixes. Two sets with similarity t share an n-gram among the first n - ceil(t n) + 1 of each. Postings (n-gram,
    class, position) are counted by n-gram; those that only one class has are dropped.
 4. Candidates pass, before they leave the join, the length filter, the positional filter (what can still be shared
-   before and after a common n-gram) and the suffix filter in its Hamming form: the parities of how many members of a
-   set fall in each of 512 buckets differ in no more buckets than the sets differ in members.
+   before and after a common n-gram) and the suffix filter: of the members behind the common n-gram the parities of how
+   many fall in each of BUCKETS buckets are known; these differ in no more buckets than the suffixes differ in members,
+   and before the n-gram the sets differ in as many members at least as its positions differ.
 5. Two rounds keep groups of near copies from becoming all pairs. First each class meets, under each of its prefix
    n-grams, only the class with the smallest id there. Links found so far give components. Then only classes of
-   different components meet: under each n-gram, those outside its most frequent component meet the others. What the
-   second round leaves out joins classes that are in one component already, so components are exact.
-6. Each distinct pair is verified once: first the suffix filter again, on parities of four buckets a member, then on
-   whole sets, which only pairs that are nearly certain get as far as.
+   different components meet: under each n-gram and length class (sets that link are of the same or of neighbouring
+   ones), those outside its most frequent component meet the others. Pairs tried in the first round are not tried
+   again. What the second round leaves out joins classes that are in one component already, so components are exact.
+6. Each distinct pair is verified once: by parities of the whole sets, of four buckets a member, then on the sets
+   themselves, which only pairs that are nearly certain get as far as.
+
+near_duplicates() needs no link inside a component but those that hold it together. links() gives all links between
+classes, each verified once; their number grows with the square of a group of near copies, and so does its work.
 
 A document without words is linked with nothing. A row without doc_id can't be named: it keeps its n_shingles, is
 linked with nothing, and its component_id is null. Rows with the same doc_id are one document; if their texts differ,
@@ -23,12 +29,14 @@ it has the links of each of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,74 +44,66 @@ from .common import saved, texts
 from .components import components
 from .shingles import sets_of
 
-#: Most entries of the broadcast order (16 bytes each): the n-grams with the highest counts; all others go by hash.
-FREQUENT_LIMIT = 1 << 19
-#: Counts that are told apart when the least count of that many n-grams is looked for.
-TOLD_COUNTS = 4096
+#: The broadcast order is this many counters of 4 bytes: 8 MB, whatever the input.
+SLOT_BITS = 21
+#: Counters are summed over tasks in blocks of this many; so many tasks at most sum them.
+SLOT_BLOCK, SUMMING_TASKS = 1 << 14, 64
 #: Members of sets that a task counts at once.
 COUNT_BLOCK = 1_000_000
 #: Up to so many ids of documents to verify (8 bytes each) are broadcast; beyond, their texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-BUCKETS = 512
+#: Of the parities of suffixes (4 longs a posting), and the least of those of whole sets.
+BUCKETS = 256
 
 
 def _ids(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
-def frequent_ngrams(docs: DataFrame, k: int, limit: int = FREQUENT_LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and document counts of the n-grams that most documents have, counted over all documents.
+def slots(members: np.ndarray, bits: int) -> np.ndarray:
+    return (members >> np.uint64(64 - bits)).astype(np.int64)
 
-    A task leaves out what it saw in one document only, so counts are from below and its rows are few; as an order of
-    n-grams, any counts are exact enough.
-    """
 
-    def merged(hashes: np.ndarray, counts: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        u, c = np.unique(np.concatenate(sets), return_counts=True)
-        u, c = np.concatenate([hashes, u]), np.concatenate([counts, c])
-        order = np.argsort(u, kind="stable")
-        u, c = u[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
-        return u[first], np.add.reduceat(c, first) if len(u) else c
+def document_counts(docs: DataFrame, k: int, bits: int = SLOT_BITS) -> np.ndarray:
+    """Of each counter: how many documents have one of its n-grams, each n-gram of a document counted."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         waiting, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
             for _, s in sets_of(batch, k):
                 waiting.append(s)
                 size += len(s)
                 if size >= COUNT_BLOCK:
-                    hashes, counts = merged(hashes, counts, waiting)
-                    waiting, size = [], 0
-                    if len(hashes) > COUNT_BLOCK:  # what was seen once so far is forgotten
-                        hashes, counts = hashes[counts > 1], counts[counts > 1]
-        if waiting:
-            hashes, counts = merged(hashes, counts, waiting)
-        hashes, counts = hashes[counts > 1], counts[counts > 1]
-        for i in range(0, len(hashes), 50_000):
-            yield pd.DataFrame({"h": hashes[i : i + 50_000].view(np.int64), "n": counts[i : i + 50_000]})
-
-    found = saved(_ids(docs).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2"), "ngram-counts")
-    tally = {r["n"]: r["count"] for r in found.groupBy(F.least("n", F.lit(TOLD_COUNTS)).alias("n")).count().collect()}  # TOLD_COUNTS rows at most
-    least, kept = TOLD_COUNTS + 1, 0
-    for n in sorted(tally, reverse=True):
-        if kept + tally[n] > limit:
-            break
-        least, kept = n, kept + tally[n]
-    top = found.where(F.col("n") >= least).toArrow()
-    hashes, counts = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def rare_first(members: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Members of a set, the rare first: by their count in the summary (0 if absent), then by hash."""
-    if not len(hashes):
-        return members
-    at = np.minimum(np.searchsorted(hashes, members), len(hashes) - 1)
-    rank = np.where(hashes[at] == members, counts[at], 0)
-    return members[np.lexsort((members, rank))]
+                    counts += np.bincount(slots(np.concatenate(waiting), bits), minlength=1 << bits)
+                    waiting, size = [np.zeros(0, np.uint64)], 0
+        counts += np.bincount(slots(np.concatenate(waiting), bits), minlength=1 << bits)
+        compress = zstandard.ZstdCompressor(level=1).compress
+        blocks = [(i // SLOT_BLOCK, compress(own.tobytes())) for i in range(0, len(counts), SLOT_BLOCK) if (own := counts[i : i + SLOT_BLOCK]).any()]
+        yield pd.DataFrame(blocks, columns=["block", "counts"])
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for block, data in zip(batch["block"], batch["counts"]):
+                own = np.frombuffer(unpack(data), np.int64)
+                sums[block] = sums[block] + own if block in sums else own
+        yield pd.DataFrame([(b, c.tobytes()) for b, c in sums.items()], columns=["block", "counts"])
+
+    parts = _ids(docs).mapInPandas(count, "block int, counts binary")
+    blocks = -(-(1 << bits) // SLOT_BLOCK)
+    summed = parts.repartition(min(blocks, SUMMING_TASKS), "block").mapInPandas(total, "block int, counts binary")
+    counts = np.zeros(1 << bits, np.int64)
+    for r in summed.collect():  # 2 ** bits counters
+        own = np.frombuffer(r["counts"], np.int64)
+        counts[r["block"] * SLOT_BLOCK :][: len(own)] = own
+    return np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+
+
+def rare_first(members: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Members of a set, the rare first: by their counters, then by hash."""
+    return members[np.lexsort((members, counts[slots(members, len(counts).bit_length() - 1)]))]
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -130,38 +130,71 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def described(docs: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id (string), n, cls (digest of the set), parity (array of longs), fine (parities of more buckets), prefix (rare first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
-    names = ["doc_id", "n", "cls", "parity", "fine", "prefix"]
+def described(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """doc_id (string), n, cls (digest of the set), fine and parity (parities of the set), prefix (rare first)."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    names = ["doc_id", "n", "cls", "fine", "parity", "prefix"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, s in sets_of(batch, k):
                 n = len(s)
-                prefix = rare_first(s, *shared.value)[: prefix_size(n, percent)] if n else s
-                rows.append((doc_id, n, blake2b(s.tobytes(), digest_size=16).digest(), parities(s, BUCKETS).view(np.int64), parities(s, fine_buckets(n)).tobytes(), prefix.view(np.int64)))
+                prefix = rare_first(s, shared.value)[: prefix_size(n, percent)] if n else s
+                rows.append((doc_id, n, blake2b(s.tobytes(), digest_size=16).digest(), parities(s, fine_buckets(n)).tobytes(), parities(s, BUCKETS).tobytes(), prefix.view(np.int64)))
                 if len(rows) == 300:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    return _ids(docs).mapInPandas(run, "doc_id string, n long, cls binary, parity array<long>, fine binary, prefix array<long>")
+    return _ids(docs).mapInPandas(run, "doc_id string, n long, cls binary, fine binary, parity binary, prefix array<long>")
+
+
+def with_suffixes(postings: DataFrame, own: DataFrame) -> DataFrame:
+    """postings (id, pos, h, hub) with n and the parities s0 to s3 of the members behind each position.
+
+    Where two rows of `own` have an id in common, each takes the postings that are its own.
+    """
+    words = BUCKETS // 64
+    e = lambda name: F.transform("e", lambda x: x[name]).alias(name)
+    lists = postings.groupBy("id").agg(F.collect_list(F.struct("pos", "h", "hub")).alias("e")).select("id", e("pos"), e("h"), e("hub"))
+    names = ["id", "n", "pos", "h", "hub", *(f"s{i}" for i in range(words))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                at = ((r.prefix.view(np.uint64) >> np.uint64(20)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+                before = np.zeros((len(at), words), np.uint64)
+                before[np.arange(len(at)), at >> 6] = np.uint64(1) << (at & 63).astype(np.uint64)
+                before = np.bitwise_xor.accumulate(before, axis=0)
+                pos = r.pos[r.pos < len(at)]
+                mine = r.prefix[pos] == r.h[r.pos < len(at)]
+                pos, hub = pos[mine], r.hub[r.pos < len(at)][mine]
+                behind = np.frombuffer(r.parity, np.uint64) ^ before[pos]
+                rows.append(np.column_stack([np.full((len(pos), 2), (r.id, r.n)), pos, r.prefix[pos], hub, behind.view(np.int64)]))
+                if len(rows) == 2_000:
+                    yield pd.DataFrame(np.concatenate(rows), columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(np.concatenate(rows), columns=names)
+
+    return own.join(lists, "id").mapInPandas(run, ", ".join(f"{c} long" for c in names))
 
 
 def may_link(percent: int) -> Column:
-    """The length and positional filters between postings a and b of one n-gram."""
+    """The length, positional and suffix filters between postings a and b of one n-gram."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     length = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
     most = F.least(a("pos"), b("pos")) + F.least(a("n") - a("pos"), b("n") - b("pos"))
-    return length & ((100 + percent) * most >= percent * (a("n") + b("n")))
+    positional = (100 + percent) * most >= percent * (a("n") + b("n"))
+    behind = reduce(lambda x, y: x + y, (F.bit_count(a(f"s{i}").bitwiseXOR(b(f"s{i}"))) for i in range(BUCKETS // 64)))
+    return length & positional & ((100 + percent) * (behind + F.abs(a("pos") - b("pos"))) <= (100 - percent) * (a("n") + b("n")))
 
 
-def similar_suffix(percent: int) -> Column:
-    """The suffix filter between a and b: sets that link differ in at most (100 - percent) / (100 + percent) of both sizes."""
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(BUCKETS // 64)))
-    return (100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+def length_class(n: Column, percent: int) -> Column:
+    """Sets whose sizes pass the length filter are of the same class or of neighbouring ones."""
+    return F.floor(F.log(n) / (1.001 * max(math.log(100 / percent), 1e-6)))
 
 
 def _of(pairs: DataFrame) -> DataFrame:
@@ -171,8 +204,7 @@ def _of(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of representatives whose whole sets are similar enough."""
-    pairs = saved(pairs.distinct(), "pairs")
+    """Those of the saved, distinct pairs (a, b) of representatives whose whole sets are similar enough."""
     fine = known.select("id", "n", "fine").join(_of(pairs), "id", "left_semi")
     sides = pairs.join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b")
 
@@ -199,33 +231,72 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, percen
     return saved(both.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: groups by Jaccard similarity of at least percent / 100."""
-    kind = docs.schema["doc_id"].dataType
-    known = saved(described(docs, k, percent, frequent_ngrams(docs, k)).withColumn("id", F.col("doc_id").cast("long")), "described")
+def prepared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved tables: what is known of each row, the classes (cls, rep), and the postings that several classes share."""
+    known = saved(described(docs, k, percent, document_counts(docs, k)).withColumn("id", F.col("doc_id").cast("long")), "described")
     usable = known.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = saved(usable.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
-
-    own = usable.join(classes.withColumn("id", F.col("rep")), ["cls", "id"])
-    postings = own.select("id", "n", F.posexplode("prefix").alias("pos", "h"))
+    own = saved(usable.join(classes.withColumn("id", F.col("rep")), ["cls", "id"]).select("id", "n", "parity", "prefix"), "representatives")
+    postings = own.select("id", F.posexplode("prefix").alias("pos", "h"))
     common = postings.groupBy("h").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("h", "hub")
-    postings = saved(postings.join(common, "h"), "postings")
-    parity = known.select("id", "n", "parity").where(F.col("id").isNotNull()).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
+    return known, classes, saved(with_suffixes(postings.join(common, "h"), own), "postings")
 
-    hubs, rest = postings.where("id = hub").alias("a"), postings.where("id > hub").alias("b")
-    first = hubs.join(rest, (F.col("a.h") == F.col("b.h")) & may_link(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    links = verified(first, known, docs, k, percent)
-    groups = components(links)
+
+def _within_lengths(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows under their own length class and the two beside it, and under their own only: joined, each pair meets once."""
+    own = length_class(F.col("n"), percent)
+    return rows.withColumn("size", F.explode(F.array(own - 1, own, own + 1))), rows.withColumn("size", own)
+
+
+def _pairs(a: DataFrame, b: DataFrame, on: list[str], also: Column, percent: int) -> DataFrame:
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on))
+    found = a.alias("a").join(b.alias("b"), same & also & may_link(percent))
+    return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b), a < b, between representatives of different sets, and the members (doc_id, rep) of each class.
+
+    Each pair that shares a prefix n-gram and passes the filters is verified once. Documents of one class are linked
+    with one another too; they aren't expanded into pairs.
+    """
+    kind = docs.schema["doc_id"].dataType
+    known, classes, postings = prepared(docs, k, percent)
+    around, own = _within_lengths(postings, percent)
+    pairs = saved(_pairs(around, own, ["h", "size"], F.col("a.id") < F.col("b.id"), percent), "pairs")
+    members = known.where("id IS NOT NULL AND n > 0").join(classes, "cls").select(F.col("doc_id").cast(kind).alias("doc_id"), "rep")
+    return verified(pairs, known, docs, k, percent), members
+
+
+def with_link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_links for every distinct doc_id with words: the documents that it is linked with, exact copies included.
+
+    Of a doc_id that stands in several rows, each text counts as a document.
+    """
+    found, members = links(docs, k, percent)
+    sizes = saved(members.groupBy("rep").count(), "class-sizes")
+    beside = found.select("a", "b").union(found.select("b", "a")).join(sizes.select(F.col("rep").alias("b"), "count"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("count").alias("others"))
+    of_class = sizes.join(beside, "rep", "left").select("rep", (F.col("count") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(of_class, "rep").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: groups by Jaccard similarity of at least percent / 100."""
+    kind = docs.schema["doc_id"].dataType
+    known, classes, postings = prepared(docs, k, percent)
+    hubs, rest = postings.where("id = hub"), postings.where("id > hub")
+    tried = saved(_pairs(hubs, rest, ["h"], F.lit(True), percent), "pairs")
+    found = verified(tried, known, docs, k, percent)
+    groups = components(found)
 
     placed = postings.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("h", "component").count()
     main = sizes.groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n_components")).where("n_components > 1").drop("n_components")
-    mixed = saved(placed.join(main, "h").join(parity, ["id", "n"]), "placed")
-    outside, every = mixed.where("component <> main").alias("a"), mixed.alias("b")
+    mixed = saved(placed.join(main, "h"), "placed")
+    outside, every = _within_lengths(mixed.where("component <> main"), percent)[0], _within_lengths(mixed, percent)[1]
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-    second = outside.join(every, (F.col("a.h") == F.col("b.h")) & apart & may_link(percent) & similar_suffix(percent))
-    second = second.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-    groups = components(verified(second, known, docs, k, percent).union(links))
+    second = saved(_pairs(outside, every, ["h", "size"], apart, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    groups = components(verified(second, known, docs, k, percent).union(found))
 
     of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     out = known.select("doc_id", "id", "n", "cls").join(of_class, "cls", "left")
@@ -234,10 +305,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group: the one with the smallest doc_id. Rows without doc_id, and without words, stay."""
+    """`docs` with one document of each group: the one with the smallest doc_id. Rows without doc_id, and without words, stay.
+
+    Rows that repeat the kept doc_id are one document and the first by text stays, a null text last; of rows that are
+    equal in all but other columns, any.
+    """
     kept = near_duplicates(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    named = named.groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text")).alias("row")).select("row.*")
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def oracle_sql(k: int, percent: int) -> str:
