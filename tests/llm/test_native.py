@@ -47,15 +47,19 @@ def test_licence_scan_on_documents(spark):
 
 
 def brute_windows(text):
-    """licence: the best score of all windows of all admitted sizes."""
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
-    grams, best = [f"{a} {b}" for a, b in zip(words, words[1:])], {}
-    for licence, own in license_scan.template_rows():
-        for size in license_scan.sizes(len(own), license_scan.THRESHOLD):
-            for i in range(len(grams) - size + 1):
-                score = 2 * len(set(grams[i : i + size]) & set(own)) / (size + len(own))
-                if score >= license_scan.THRESHOLD:
-                    best[licence] = max(score, best.get(licence, 0))
+    """licence: the best score of all lines, paragraphs and the whole text; where none reaches the threshold, of all windows of a template's size."""
+    split = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
+    pairs = lambda words: [f"{a} {b}" for a, b in zip(words, words[1:])]
+    grams, best = pairs(split(text)), {}
+    units = [pairs(split(u)) for u in [*text.split("\n"), *re.split("\n[ \t\r]*\n", text), text]]
+    for of_units in (True, False):
+        found = {}
+        for licence, own in license_scan.template_rows():
+            for part in units if of_units else [grams[i : i + len(own)] for i in range(len(grams))]:
+                score = 2 * len(set(part) & set(own)) / (len(set(part)) + len(own))
+                if score >= license_scan.THRESHOLD and licence not in best:
+                    found[licence] = max(score, found.get(licence, 0))
+        best |= found
     return best
 
 
@@ -67,9 +71,25 @@ PROSE = {
     "x " * 50 + license_scan.BSD + ". THIS SOFTWARE IS PROVIDED AS IS": "BSD-2-Clause",
     "Note that " * 30 + license_scan.TEMPLATES["EPL-2.0"][1] + " and no more of it": "EPL-2.0",
     "A licence, a license; the GNU General of the public is under the MIT roof.": None,
+    "/* " + license_scan.MIT + "\n * " + license_scan.MIT_REST + " */\nint main() {}": "MIT",
+    "Released under the MIT License. " * 3: "MIT",
 }
 
 
+def test_copies_of_templates_score_one(spark):
+    rows = [(n, t) for n, texts in license_scan.TEMPLATES.items() for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for r in license_scan.scan(docs).collect():
+        assert r.best_score == 1 and r.doc_id in r.licences.split(",")
+
+
+def test_keys_stand_in_whatever_reaches_the_threshold():
+    for _, own in license_scan.template_rows():
+        keys = license_scan.keys(own, license_scan.THRESHOLD)
+        without = [b for b in own if not any(k == b or k in b.split() for k in keys)]
+        assert len(without) < license_scan.least_shared(len(own), license_scan.THRESHOLD)
+
+
 def test_licence_inside_prose(spark):
     docs = spark.createDataFrame(list(enumerate(PROSE)), "doc_id int, text string")
     for r in license_scan.scan(docs).collect():
