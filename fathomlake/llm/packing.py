@@ -8,15 +8,16 @@ ids, closed by END, are cut only where they exceed the sequence length.
 
 Packing: pieces are dealt evenly, by a hash of a row number, into groups of about GROUP_ROWS pieces, as many groups as
 the input needs; a group is packed in one task. Each open sequence has three residual capacities: tokens, documents and
-attention cost (the sum of squared lengths). A piece, the longest first, goes to the sequence where, under every
-constraint, the weighted norm of what would remain is least ("norm") or the weighted dot product of its demand with
-what is there is greatest ("dot"). Sequences with the same residual tokens wait in one heap, so a piece is scored
-against one sequence for each residual, not against all.
+attention cost. Cost is counted in attention tiles: a piece attends to itself in blocks of a SIDE-th of the sequence,
+and its last, partly filled block costs as much as a full one, so many short pieces can use up this capacity before
+the tokens are used up. A piece, the longest first, goes to the sequence where, under
+every constraint, the weighted norm of what would remain is least ("norm") or the weighted dot product of its demand
+with what is there is greatest ("dot"). Sequences with the same three residuals are interchangeable and scored once;
+all distinct residuals are scored for each piece.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
 import zlib
@@ -38,6 +39,10 @@ MARK = "\0"
 CACHE_LIMIT = 1 << 19
 GROUP_ROWS = 50_000
 WEIGHTS = (1.0, 1e-3, 1e-3)
+#: A sequence's length is this many attention tiles; a full piece costs the square of it.
+SIDE = 16
+#: What a sequence may hold unless told otherwise: a document for so many tokens, and the tiles of this many full pieces.
+TOKENS_A_DOCUMENT, FULL_PIECES = 8, 1.25
 
 _caches: dict[str, BoundedCache] = {}
 _encoders: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
@@ -106,49 +111,75 @@ def pieces(docs: DataFrame, path: str, length: int = 2048) -> DataFrame:
     return mapped(docs, run, "piece int, start long, length long, ids_crc32 long")
 
 
+def tiles(n: int, length: int) -> int:
+    """Attention cost of a piece of n tokens in a sequence of `length`."""
+    return (-(-n // max(1, length // SIDE))) ** 2
+
+
 def best_fit(lengths: list[int], tokens: int, documents: int, cost: int, rule: str = "norm", weights: tuple = WEIGHTS) -> list[tuple[int, int]]:
-    """(sequence, offset) of each piece."""
-    left = np.arange(tokens + 1, dtype=float)
-    heads = np.full((2, tokens + 1), -1.0)  # residual documents and attention cost of the first sequence of each heap
-    heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(tokens + 1)]
-    wt, wd, wc = (w / c for w, c in zip(weights, (tokens, documents, cost)))
+    """(sequence, offset) of each piece; ties go to the smallest residuals."""
+    state = np.zeros((3, 64), np.int64)  # of each distinct residual: tokens, documents, cost
+    open_there: list[list[int]] = []  # the sequences that have it
+    where: dict[tuple[int, int, int], int] = {}
+    scale = np.array(weights) / (tokens, documents, cost)
     placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
     opened = 0
 
-    def head(r: int) -> None:
-        heads[:, r] = (-heaps[r][0][0], -heaps[r][0][1]) if heaps[r] else (-1, -1)
+    def take(k: int) -> tuple[tuple[int, int, int], int]:
+        """A sequence of the k-th residual; the last residual moves to its place once it has no other."""
+        own = tuple(state[:, k].tolist())
+        sequence = open_there[k].pop()
+        if not open_there[k]:
+            del where[own]
+            last = len(open_there) - 1
+            if k < last:
+                state[:, k], open_there[k] = state[:, last], open_there[last]
+                where[tuple(state[:, k].tolist())] = k
+            open_there.pop()
+        return own, sequence
+
+    def put(own: tuple[int, int, int], sequence: int) -> None:
+        nonlocal state
+        if own not in where:
+            k = where[own] = len(open_there)
+            open_there.append([])
+            if k == state.shape[1]:
+                state = np.concatenate([state, np.zeros_like(state)], axis=1)
+            state[:, k] = own
+        open_there[where[own]].append(sequence)
 
     for i in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
         n = lengths[i]
-        d, c = heads[:, n:]
-        fits = (d >= 1) & (c >= n * n)
-        if fits.any():
+        demand = np.array([n, 1, tiles(n, tokens)])
+        left = state[:, : len(open_there)]
+        fits = np.flatnonzero((left >= demand[:, None]).all(axis=0))
+        if len(fits):
             if rule == "norm":
-                score = (wt * (left[n:] - n)) ** 2 + (wd * (d - 1)) ** 2 + (wc * (c - n * n)) ** 2
+                score = (((left[:, fits] - demand[:, None]) * scale[:, None]) ** 2).sum(axis=0)
             else:
-                score = -(wt * wt * left[n:] * n + wd * wd * d + wc * wc * c * n * n)
-            r = n + int(np.where(fits, score, np.inf).argmin())
-            docs_left, cost_left, sequence = heapq.heappop(heaps[r])
-            head(r)
+                score = -((left[:, fits] * (demand * scale**2)[:, None]).sum(axis=0))
+            best = fits[score == score.min()]
+            best = min(best, key=lambda k: tuple(state[:, k])) if len(best) > 1 else best[0]
+            own, sequence = take(int(best))
         else:
-            r, docs_left, cost_left, sequence = tokens, -documents, -cost, opened
+            own, sequence = (tokens, documents, cost), opened
             opened += 1
-        placed[i] = (sequence, tokens - r)
-        docs_left, cost_left = docs_left + 1, cost_left + n * n
-        if r > n and docs_left < 0 and cost_left < 0:
-            heapq.heappush(heaps[r - n], (docs_left, cost_left, sequence))
-            head(r - n)
+        placed[i] = (sequence, tokens - own[0])
+        rest = tuple((np.array(own) - demand).tolist())
+        if min(rest) > 0:
+            put(rest, sequence)
     return placed
 
 
 def pack(parts: DataFrame, length: int = 2048, documents: int | None = None, cost: int | None = None, rule: str = "norm", group_rows: int = GROUP_ROWS) -> DataFrame:
     """`parts` (of pieces()) with sequence_id and offset; every piece is in exactly one sequence, without gaps.
 
-    `documents` and `cost` (sum of squared lengths) bound a sequence beside `length`; unset, they don't bind. A cost
-    below length * length would make a full piece infeasible and is refused. An empty table gives an empty result.
+    `documents` and `cost` (attention tiles) bound a sequence beside `length`; unset, a sequence may hold a document for
+    each TOKENS_A_DOCUMENT tokens and the tiles of FULL_PIECES full pieces. A cost that is too low for a full
+    piece would make it infeasible and is refused. An empty table gives an empty result.
     """
-    documents, cost = documents or length, cost or length * length
-    if cost < length * length:
+    documents, cost = documents or max(1, length // TOKENS_A_DOCUMENT), cost or int(FULL_PIECES * tiles(length, length))
+    if cost < tiles(length, length):
         raise ValueError("cost must allow a full piece")
     kind = parts.schema["doc_id"].dataType
     parts = saved(parts.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("row_", F.monotonically_increasing_id()), "pieces")

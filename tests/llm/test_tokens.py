@@ -50,7 +50,7 @@ def test_encode_and_decode_equal_the_library(spark):
     assert word_bpe.encode_decode(docs.limit(0), path).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{}, {"documents": 3}, {"rule": "dot"}, {"group_rows": 40, "cost": 70 * 64}])
+@pytest.mark.parametrize("limits", [{}, {"documents": 3}, {"rule": "dot", "documents": 16}, {"group_rows": 40, "cost": 260}])
 def test_pieces_are_packed_whole(spark, limits):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows, docs = documents(spark)
@@ -69,9 +69,9 @@ def test_pieces_are_packed_whole(spark, limits):
         for offset, n in sorted(own):
             assert offset == at
             at += n
-        assert at <= 64 and len(own) <= limits.get("documents", 64) and sum(n * n for _, n in own) <= limits.get("cost", 4096)
+        assert at <= 64 and len(own) <= limits.get("documents", 8) and sum(packing.tiles(n, 64) for _, n in own) <= limits.get("cost", 320)
     if not limits:
-        assert len(bins) <= 1.05 * sum(w[3] for w in want) / 64 + 1
+        assert len(bins) <= 1.05 * max(sum(w[3] for w in want) / 64, len(want) / 8) + 1
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
@@ -84,3 +84,42 @@ def test_marked_words_encode_as_the_library_does():
     words = sorted({"".join(rng.choice(pieces) for _ in range(rng.randint(1, 3))) for _ in range(20_000)} | {"été", "größe", "ñandú", "x", "."})
     want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(words, add_special_tokens=False)]
     assert packing.encoded_words(words, path) == want
+
+
+def plain_best_fit(lengths, tokens, documents, cost, rule, weights=packing.WEIGHTS):
+    """Every open sequence scored for every piece."""
+    bins, placed = [], {}
+    scale = np.array(weights) / (tokens, documents, cost)
+    for i in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        demand = np.array([lengths[i], 1, packing.tiles(lengths[i], tokens)])
+        best = None
+        for k, left in enumerate(bins):
+            if (left >= demand).all():
+                score = (((left - demand) * scale) ** 2).sum() if rule == "norm" else -(left * (demand * scale**2)).sum()
+                if best is None or (score, tuple(left)) < best[:2]:
+                    best = (score, tuple(left), k)
+        if best is None:
+            bins.append(np.array([tokens, documents, cost]))
+            best = (0, (), len(bins) - 1)
+        placed[i] = tuple(bins[best[2]])
+        bins[best[2]] = bins[best[2]] - demand
+    return placed, sorted(map(tuple, bins))
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize(("documents", "cost"), [(1000, 10_000), (6, 10_000), (1000, 256), (9, 280)])
+def test_best_fit_equals_a_plain_scan_under_capacities_that_bind(rule, documents, cost):
+    rng = random.Random(documents + cost)
+    lengths = [rng.choice([rng.randint(1, 9), rng.randint(100, 300), rng.randint(1, 1024)]) for _ in range(500)]
+    got = packing.best_fit(lengths, 1024, documents, cost, rule, (1.0, 0.4, 0.3))
+    want, left = plain_best_fit(lengths, 1024, documents, cost, rule, (1.0, 0.4, 0.3))
+    bins = {}
+    for i, (sequence, offset) in enumerate(got):
+        assert offset == 1024 - want[i][0]
+        bins.setdefault(sequence, []).append(lengths[i])
+    have = sorted((1024 - sum(b), documents - len(b), cost - sum(packing.tiles(n, 1024) for n in b)) for b in bins.values())
+    assert have == left
+    if documents < 1000:
+        assert any(d == 0 and t > 0 for t, d, _ in have)
+    if cost == 256:
+        assert any(c == 0 and t > 0 for t, _, c in have)
