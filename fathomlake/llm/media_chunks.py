@@ -5,10 +5,12 @@ A text's payload is its UTF-8, padded with zero bytes to a positive multiple of
 so equal passages give equal chunks wherever they stand.
 
 1. Manifests: each row's chunk digests and sizes, without bytes.
-2. Owners: by a join on digests, each chunk belongs to the smallest doc_id that has it; the others refer to it.
+2. Owners: by a join on digests, each chunk belongs to the smallest doc_id that has it; the others refer to it. Digests
+   that more than one in HOT_SHARES of all references have are at most HOT_SHARES; they are joined by broadcast, so
+   that no task gets all documents that share a passage.
 3. Store: each row again, with the bytes (compressed) of the chunks that it owns and no others.
-4. Rebuilding: rows that own all their chunks need no join. For the others, chunks are fetched by digest, and the
-   ordered list puts them together. Every rebuilt media is checked against its manifest's digest.
+4. Rebuilding: rows that own all their chunks need no join. For the others, chunks are fetched by digest (the hot ones
+   once a worker, by broadcast), and the ordered list puts them together. Every rebuilt media is checked against its manifest's digest.
 
 A row without doc_id can't be referred to: it owns whatever it has. Null and empty texts have 64 zero bytes. Repeated
 rows are stored and rebuilt each; rows with the same doc_id and other texts share ownership.
@@ -33,6 +35,8 @@ MIN_CHUNK, MAX_CHUNK, CUT_BITS = 1024, 16384, 12
 RATE = 8000
 #: Up to so many references (of some 30 bytes) are broadcast to the rows; beyond, they are joined by shuffle.
 BROADCAST_REFERENCES = 1_000_000
+#: Bound of the hot digests; their chunks, of MAX_CHUNK bytes each at most, come to 32 MB.
+HOT_SHARES = 2_000
 
 
 def gear_table() -> np.ndarray:
@@ -110,9 +114,13 @@ def references(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "digests": [sorted(set(d)) for _, _, d in chunked(batch)]})
 
     chunks = _rows(docs).where("doc_id IS NOT NULL").mapInPandas(manifest, "doc_id string, digests array<binary>")
-    chunks = saved(chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("digests").alias("digest")), "chunk-refs")
-    owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    return saved(chunks.distinct().join(owners, "digest").where("doc_id <> owner"), "chunk-owners")
+    chunks = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("digests").alias("digest"))
+    chunks = saved(chunks.distinct(), "chunk-refs")
+    owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    hot = F.broadcast(owners.where(F.col("n") > chunks.count() / HOT_SHARES).select("digest", "owner"))
+    cold = owners.where(F.col("n") <= chunks.count() / HOT_SHARES).select("digest", "owner")
+    owned = chunks.join(hot, "digest").unionByName(chunks.join(hot, "digest", "left_anti").join(cold, "digest"))
+    return saved(owned.where("doc_id <> owner"), "chunk-owners")
 
 
 def store(docs: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -138,27 +146,33 @@ def store(docs: DataFrame, foreign: DataFrame) -> DataFrame:
     return saved(rows.mapInPandas(write, kinds), "chunk-store")
 
 
-def rebuilt(stored: DataFrame, foreign: DataFrame) -> DataFrame:
-    """`stored` with a column of all chunks that a row needs: its own, and those fetched by digest."""
+def rebuilt(stored: DataFrame, foreign: DataFrame) -> tuple[DataFrame, dict[bytes, bytes]]:
+    """`stored` with a column of all chunks that a row needs, its own and those fetched by digest; and the hot chunks, which no row carries."""
+    counts = saved(foreign.groupBy("digest").count(), "digest-counts")
+    hot = F.broadcast(counts.where(F.col("count") > foreign.count() / HOT_SHARES).select("digest"))
     complete = stored.where("n_foreign = 0").withColumn("chunks", F.col("own"))
-    shared = foreign.select("digest").distinct()
-    if foreign.limit(BROADCAST_REFERENCES + 1).count() <= BROADCAST_REFERENCES:
+    shared = counts.select("digest")
+    if shared.limit(BROADCAST_REFERENCES + 1).count() <= BROADCAST_REFERENCES:
         shared = F.broadcast(shared)  # so that the bytes of chunks that nobody refers to stay where they are
     bytes_of = stored.select(F.explode("own").alias("c")).select("c.digest", "c.bytes").join(shared, "digest", "left_semi").dropDuplicates(["digest"])
-    fetched = foreign.join(bytes_of, "digest").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
+    bytes_of = saved(bytes_of, "shared-chunks")
+    common = {bytes(r["digest"]): bytes(r["bytes"]) for r in bytes_of.join(hot, "digest", "left_semi").collect()}  # HOT_SHARES rows at most
+    cold = foreign.join(hot, "digest", "left_anti").join(bytes_of, "digest")
+    fetched = cold.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
     partial = stored.where("n_foreign > 0").join(fetched, "doc_id", "left").withColumn("chunks", F.concat("own", F.coalesce("fetched", F.array().cast("array<struct<digest:binary,bytes:binary>>")))).drop("fetched")
-    return complete.unionByName(partial)
+    return complete.unionByName(partial), common
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks, n_own.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks.
 
     Everything but n_bytes and n_chunks is computed from media rebuilt from the store; a media whose digest is not its
     manifest's stops the job.
     """
     kind = docs.schema["doc_id"].dataType
     foreign = references(docs)
-    stored = store(docs, foreign)
+    rows, common = rebuilt(store(docs, foreign), foreign)
+    hot = docs.sparkSession.sparkContext.broadcast(common)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -166,14 +180,14 @@ def media_features(docs: DataFrame) -> DataFrame:
             out = []
             for r in batch.itertuples(index=False):
                 by_digest = {bytes(c["digest"]): c["bytes"] for c in r.chunks}
-                media = wav_header(r.payload_bytes) + b"".join(unpack(by_digest[bytes(d)]) for d in r.digests)
+                media = wav_header(r.payload_bytes) + b"".join(unpack(by_digest.get(bytes(d)) or hot.value[bytes(d)]) for d in r.digests)
                 sha = hashlib.sha256(media).hexdigest()
                 if sha != r.media_sha256:
                     raise ValueError(f"media of document {r.doc_id} is not what was stored: {sha}")
                 p = media[44:]
-                out.append((r.doc_id, r.n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), sha, feature(np.frombuffer(p, np.uint8)), len(r.digests), len(r.own)))
+                out.append((r.doc_id, r.n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), sha, feature(np.frombuffer(p, np.uint8)), len(r.digests)))
             yield pd.DataFrame(out, columns=names)
 
-    kinds = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long, n_own long"
+    kinds = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
     names = [c.split()[0] for c in kinds.split(", ")]
-    return rebuilt(stored, foreign).mapInPandas(read, kinds).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return rows.mapInPandas(read, kinds).withColumn("doc_id", F.col("doc_id").cast(kind))

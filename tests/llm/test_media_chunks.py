@@ -7,11 +7,14 @@ import zlib
 from io import BytesIO
 
 import numpy as np
+import pytest
 
 from fathomlake.llm import media_chunks as m
 
 
-def test_round_trip_and_sharing(spark):
+@pytest.mark.parametrize("shares", [1, 4, 2_000])  # no digest is hot, some are, all are
+def test_round_trip_and_sharing(spark, monkeypatch, shares):
+    monkeypatch.setattr(m, "HOT_SHARES", shares)
     rng = random.Random(4)
     passage = " ".join(rng.choice(["alpha", "béta", "gamma", "delta"]) + str(rng.randint(0, 9999)) for _ in range(6000))
     rows = [None, "", "a", "é" * 32, "x" * 63, "x" * 64, "x" * 65, passage, passage, "other start " * 50 + passage + " other end", "z" * 100_000]
@@ -27,8 +30,9 @@ def test_round_trip_and_sharing(spark):
         want = (len(text.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), m.feature(np.frombuffer(p, np.uint8)))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
     by_id = {r.doc_id: r for r in got}
-    assert by_id[7].n_chunks > 5 and by_id[7].n_own == by_id[7].n_chunks and by_id[8].n_own == 0
-    assert 0 < by_id[9].n_own < by_id[9].n_chunks / 2
+    assert by_id[7].n_chunks > 5 and by_id[7].asDict() | {"doc_id": 8} == by_id[8].asDict()
+    own = {r.doc_id: len(r.own) for r in m.store(docs, m.references(docs)).collect()}
+    assert own["7"] == by_id[7].n_chunks and own["8"] == 0 and 0 < own["9"] < by_id[9].n_chunks / 2
     assert m.media_features(docs.limit(0)).count() == 0
 
 
