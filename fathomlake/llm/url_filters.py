@@ -1,9 +1,10 @@
 """URL verdicts by host-and-path rules and by pattern rules, all in column expressions.
 
-Host rules: a map from host to its rules; a url looks up each suffix of its host, so the number of rules does not
-matter. Pattern rules: each is filed under the rarest, over all urls, of the literal tokens that every matching url has
-to contain; a url's tokens fetch the candidates and only those run their regular expression. Rules are data of the
-job (thousands, not rows of a table), and travel as literal maps; urls are neither joined nor shuffled.
+Host rules are filed under their host; a url looks up each suffix of its host. Pattern rules: each is filed under the
+rarest, over all urls, of the literal tokens that every matching url has to contain; a url's tokens fetch the candidates
+and only those run their regular expression. Both files are hashed: an array of twice as many slots as keys, so that a
+lookup reads one slot, however many rules there are. Rules are data of the job (thousands, not rows of a table), and
+travel as literals; urls are neither joined nor shuffled.
 
 Pattern language: `*` any characters, `^` one character that is no letter, digit, `%`, `-` or `_`, or the end, `||` at
 the start: the start of a host label, `|` at an end: that end of the url. Letters match in lower case.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,9 +119,17 @@ def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
     return {r["token"]: r["count"] for r in each.groupBy("token").count().collect()}
 
 
-def _literal_map(entries: dict[str, list[Column]], empty: Column) -> Column:
-    parts = [x for key, rules in sorted(entries.items()) for x in (F.lit(key), F.array(*rules))]
-    return F.create_map(*parts) if parts else F.create_map(F.lit(""), empty)
+def filed(entries: dict[str, list[Column]], kind: str):
+    """A function from a string column to the rules (array of `kind`) filed under it: one slot by hash, then its few keys."""
+    if not entries:
+        return lambda key: F.array().cast(f"array<{kind}>")
+    n = 1 << (2 * len(entries) - 1).bit_length()
+    slots: list[list[Column]] = [[] for _ in range(n)]
+    for key, rules in sorted(entries.items()):
+        slots[crc32(key.encode()) % n].append(F.struct(F.lit(key).alias("key"), F.array(*rules).alias("rules")))
+    none = F.array().cast(f"array<struct<key:string,rules:array<{kind}>>>")
+    table = F.array(*(F.array(*own) if own else none for own in slots))
+    return lambda key: F.flatten(F.transform(F.filter(F.get(table, (F.crc32(key) % n).cast("int")), lambda e: e["key"] == key), lambda e: e["rules"]))
 
 
 def judge(pages: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
@@ -137,9 +147,7 @@ def judge(pages: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, patte
     by_host: dict[str, list[Column]] = {}
     for r in sorted(host_rules, key=lambda r: -len(r.name)):
         by_host.setdefault(r.host, []).append(F.struct(F.lit(len(r.name)).alias("length"), F.lit(r.name).alias("rule"), F.lit(r.path).alias("path"), F.lit(r.verdict).alias("verdict")))
-    none = F.array().cast("array<struct<length:int,rule:string,path:string,verdict:string>>")
-    hosts = _literal_map(by_host, none)
-    fitting = F.filter(F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at(hosts, s), none))), lambda r: F.col("path").startswith(r["path"]))
+    fitting = F.filter(F.flatten(F.transform(suffixes, filed(by_host, "struct<length:int,rule:string,path:string,verdict:string>"))), lambda r: F.col("path").startswith(r["path"]))
     best = F.array_max(fitting)
 
     counts = token_counts(urls, sorted({t for r in pattern_rules for t in r.literals})) if pattern_rules else {}
@@ -152,9 +160,8 @@ def judge(pages: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, patte
         else:
             always.append(rule)
     nothing = F.array().cast("array<struct<regex:string,verdict:string>>")
-    tokens = _literal_map(by_token, nothing)
     everywhere = F.array(*always) if always else nothing
-    candidates = F.concat(everywhere, F.flatten(F.transform(url_tokens(F.col("url")), lambda t: F.coalesce(F.try_element_at(tokens, t), nothing))))
+    candidates = F.concat(everywhere, F.flatten(F.transform(url_tokens(F.col("url")), filed(by_token, "struct<regex:string,verdict:string>"))))
     low = F.translate("url", UPPER, LOWER)
     hits = F.filter(F.coalesce(candidates, nothing), lambda r: F.regexp_like(low, r["regex"]))
     by_pattern = F.when(F.exists(hits, lambda r: r["verdict"] == "allow") | (F.size(hits) == 0), "allow").otherwise("block")

@@ -119,3 +119,13 @@ def test_url_filters(spark):
 @pytest.mark.parametrize(("pattern", "literals"), [("||ads.", ["ads"]), ("/a*b/c", []), ("|http://x.y|", ["http", "x", "y"]), ("ads.x", []), ("^a^b", ["a"])])
 def test_literals(pattern, literals):
     assert url_filters.PatternRule("block", pattern).literals == literals
+
+
+def test_many_rules_are_found_by_hash(spark):
+    hosts = tuple(url_filters.HostRule("block", f"h{i}.example", "/") for i in range(300))
+    patterns = tuple(url_filters.PatternRule("block", f"/t{i}/") for i in range(300))
+    urls = ["http://a.h17.example/x", "http://h299.example/", "http://h300.example/t5/", "http://h300.example/t5", "http://x/t299/t1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(url_filters.judge(pages, hosts, patterns).collect())
+    assert [(r.rule, r.verdict) for r in got] == [("h17.example/", "block"), ("h299.example/", "block"), (None, "block"), (None, "allow"), (None, "block")]
+    assert [r.verdict for r in url_filters.judge(pages, (), ()).collect()] == ["allow"] * 5
