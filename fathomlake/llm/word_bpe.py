@@ -53,6 +53,7 @@ class WordBpe:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.bytes = byte_symbols()
+        self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.root = self.token_trie()
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
@@ -180,15 +181,18 @@ class WordBpe:
         return word if word.isascii() and word.isalnum() else "".join(self.bytes[b] for b in word.encode())
 
     def encode_chunks(self, chunks: Iterable[str]) -> dict[str, tuple[int, str, str]]:
-        """Of each chunk: the number of tokens, their ids and the tokens, joined by spaces. Each distinct word is encoded once."""
+        """Of each chunk: the number of tokens, their ids joined by spaces, and what these decode to. Each distinct word is encoded once."""
         words = {c: self.words(c) for c in chunks}
         special = self.special
         tokens = self.encode_words({w for own in words.values() for w in own if w not in special})
-        vocab = self.vocab
-        known = {w: (len(own), " ".join([str(vocab[t]) for t in own]), " ".join(own)) for w, own in tokens.items()}
-        known |= {w: (1, str(i), w) for w, i in special.items()}
+        ids = {w: [self.vocab[t] for t in own] for w, own in tokens.items()} | {w: [i] for w, i in special.items()}
+        known = {w: (len(own), " ".join(map(str, own)), self.decode(own)) for w, own in ids.items()}
         return {c: known[own[0]] if len(own) == 1 else self._joined([known[w] for w in own]) for c, own in words.items()}
 
+    def decode(self, ids: Iterable[int]) -> str:
+        """The library's decoding for a file without decoder: tokens joined by one space; ids that it doesn't have are left out."""
+        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+
     @staticmethod
     def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
         return sum(p[0] for p in parts), " ".join(p[1] for p in parts), " ".join(p[2] for p in parts)
@@ -213,7 +217,7 @@ def worker(path: str) -> tuple[WordBpe, BoundedCache]:
 def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; with `keep` also ids (array<int>) and decoded.
 
-    Decoding is the library's for a file without decoder: tokens joined by one space. Null and empty texts have no
+    A text decodes to what its chunks' ids decode to, joined by one space. Null and empty texts have no
     tokens and the digests of the empty string; repeated rows and null doc_ids give a row each.
     """
 

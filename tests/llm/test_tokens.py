@@ -48,6 +48,9 @@ def test_encode_and_decode_equal_the_library(spark):
     assert all(r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() for r in got)
     assert all(r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest() for r in got)
     assert word_bpe.encode_decode(docs.limit(0), path).count() == 0
+    decode = word_bpe.WordBpe(path).decode
+    assert all(decode(r.ids) == r.decoded for r in got)
+    assert decode([5, 10**9, 320]) == library.decode([5, 320], skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("limits", [{}, {"documents": 3}, {"rule": "dot", "documents": 16}, {"group_rows": 40, "cost": 260}])
