@@ -98,14 +98,17 @@ class Quality:
 
     def mapped(self, rows: np.ndarray) -> np.ndarray:
         z = np.clip((rows - self.mean) / self.scale, -6, 6)
-        return np.concatenate([np.sqrt(2 / FEATURES) * np.cos(z @ self.directions + self.phases), np.ones((len(rows), 1))], axis=1)
+        return np.concatenate([np.sqrt(2 / self.directions.shape[1]) * np.cos(z @ self.directions + self.phases), np.ones((len(rows), 1))], axis=1)
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Quality:
-        """Without labelled rows of both kinds every text scores 1: nothing is known against it."""
+        """Without labelled rows of both kinds every text scores 1: nothing is known against it.
+
+        Of labels of one doc_id that contradict each other, poor counts.
+        """
         spark = docs.sparkSession
-        known = labels.where(train_fold() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
-        known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).dropDuplicates(["doc_id"]))
+        known = labels.where(train_fold() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("double")).alias("y"))
+        known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows))
 
         def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -4,11 +4,13 @@
    of labelled training rows terms are counted by label (in tasks, then summed). Those whose counts chance does not
    explain (by their likelihood ratio) are the classifier's; those that hardly stand in clean texts are also mined
    lexicons.
-2. Voters. Fixed lexicons, mined lexicons and patterns; each fires on a text or doesn't, for toxic or for clean. What
-   fires is one bit each, so all documents come down to at most 2 ** VOTERS patterns with their counts.
+2. Voters. Fixed lexicons, mined lexicons and patterns (a term said again and again, a term beside a word that addresses
+   someone, a masked or digit-for-letter spelling, shouting, several terms); each fires on a text or doesn't, for toxic
+   or for clean. What fires is one bit each, so all documents come down to at most 2 ** VOTERS patterns with counts.
 3. Label model. Expectation-maximisation over the patterns of all documents estimates how often each voter fires on
-   toxic and on clean texts (its accuracy) and the share of toxic texts; from what the classes leave over it estimates
-   the voters' correlations, and voters that repeat one another are weighed down accordingly.
+   toxic and on clean texts (its accuracy), the share of toxic texts, and the voters' correlations: each round estimates
+   from what the classes leave over how voters go together, and in the next round voters that repeat one another count
+   for less.
 4. Classifier. Logistic regression on terms, trained on the sample's posterior labels, weighted to the estimated share
    of toxic texts.
 
@@ -48,9 +50,17 @@ LEXICONS: tuple[tuple[str, ...], ...] = (
     ("disgusting", "vile", "repulsive", "hateful", "bastard", "bastards"),
 )
 MINED_LEXICONS = 5
-#: Fixed lexicons, mined lexicons, three terms at least, eight at least, shouting; for clean: fewer than two terms, none.
-VOTERS = len(LEXICONS) + MINED_LEXICONS + 5
+PATTERNS = ("repeated", "addressed", "masked", "shouting", "several", "few", "none")
+REPEATED, ADDRESSED, MASKED, SHOUTING, SEVERAL, FEW, NONE = range(len(LEXICONS) + MINED_LEXICONS, len(LEXICONS) + MINED_LEXICONS + len(PATTERNS))
+#: Fixed lexicons, mined lexicons, patterns; the last two patterns are for clean.
+VOTERS = len(LEXICONS) + MINED_LEXICONS + len(PATTERNS)
 FOR_TOXIC = np.array([True] * (VOTERS - 2) + [False] * 2)
+#: Words that address someone, and how many words before or after them a term may stand.
+ADDRESS = frozenset("you your yours yourself u ur he she they them his her their du dich dir dein ihr euch euer sie tu toi te ton vous votre vos ils tú ti usted ustedes vosotros eres".split())
+NEAR = 3
+#: Letters with marks or digits inside, and what digits and marks stand for; a star stands for any letter.
+MASK = re.compile(r"(?<![^\W\d_])[^\W\d_]+[@$*!013457]+[^\W\d_]+(?:[@$*!013457]+[^\W\d_]+)*")
+UNMASK = str.maketrans("@$!013457", "asioieast")
 #: How often a voter is first thought to fire on texts of its own side and of the other.
 FIRST = (0.4, 0.05)
 
@@ -96,9 +106,11 @@ class Terms:
         telling: set[str] = set()  # the keys of hits
         wanted = {t.rpartition("#")[0] for t in self.index}
         index, voter = self.index, self.voter
+        lexicon = {t.rpartition("#")[0] for t, i in index.items() if i in voter}
 
         def read(text: str) -> tuple[list[int], int]:
-            words = WORD.findall(text.lower())
+            low = text.lower()
+            words = WORD.findall(low)
             own = set(words)
             if new := own - seen:
                 if len(seen) + len(new) > CACHE_LIMIT:
@@ -112,28 +124,46 @@ class Terms:
                         telling.add(w)
             hit = own & telling
             found: list[int] = []
+            votes = 0
+            voters: list[int] = []
             if hit:
                 counts = counted_in(words, hit, hits)
                 found = sorted(index[t] for f, n in counts.items() for t in leveled(f, n) if t in index)
-            voters = [voter[i] for i in found if i in voter]
-            votes = 0
-            for v in voters:
-                votes |= 1 << v
-            if len(voters) >= 3:
-                votes |= 1 << (VOTERS - 5)
-            if len(voters) >= 8:
-                votes |= 1 << (VOTERS - 4)
-            if text.isupper() or text.count("!!") > 2:
-                votes |= 1 << (VOTERS - 3)
-            if len(voters) < 2:
-                votes |= 1 << (VOTERS - 2)
-            if not voters:
-                votes |= 1 << (VOTERS - 1)
+                voters = [voter[i] for i in found if i in voter]
+                if voters:
+                    abuse = {w for w in hit if not lexicon.isdisjoint(hits[w])}
+                    votes |= any(n >= 3 for f, n in counts.items() if f in lexicon) << REPEATED
+                    votes |= (not own.isdisjoint(ADDRESS) and addressed(words, abuse)) << ADDRESSED
+                for v in voters:
+                    votes |= 1 << v
+            votes |= masked(low) << MASKED
+            votes |= (text.isupper() or text.count("!!") > 2) << SHOUTING
+            votes |= (len(voters) >= 3) << SEVERAL | (len(voters) < 2) << FEW | (not voters) << NONE
             return found, votes
 
         return read
 
 
+def addressed(words: list[str], abuse: set[str]) -> bool:
+    """Whether a word of abuse stands within NEAR words of one that addresses someone."""
+    return any(w in abuse and not ADDRESS.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i, w in enumerate(words))
+
+
+FIXED_WORDS = frozenset(w for words in LEXICONS for w in words)
+
+
+def masked(low: str) -> bool:
+    """Whether a lower-cased text spells a fixed lexicon's word with marks or digits for letters."""
+    for m in MASK.finditer(low):
+        plain = m.group().translate(UNMASK)
+        if "*" in plain:
+            if any(len(w) == len(plain) and all(a in (b, "*") for a, b in zip(plain, w)) for w in FIXED_WORDS):
+                return True
+        elif plain in FIXED_WORDS:
+            return True
+    return False
+
+
 def counted_in(words: list[str], hit: set[str], hits: dict[str, tuple]) -> Counter:
     counts: Counter = Counter()
     for w in words:
@@ -145,13 +175,14 @@ def counted_in(words: list[str], hit: set[str], hits: dict[str, tuple]) -> Count
 def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """Of vote patterns (0/1, patterns by voters) and their counts: P(fires | toxic), P(fires | clean), share, weights.
 
-    A voter's weight is 1 over 1 plus the sum of its absolute correlations, within classes, with the other voters.
+    A voter's weight is 1 over 1 plus the sum of its absolute correlations, within classes, with the other voters; it
+    is estimated anew in each round of the second half, when the classes have come apart.
     """
     side = np.where(FOR_TOXIC[: votes.shape[1]], 1, 0)
     on_toxic = np.where(side, FIRST[0], FIRST[1]).astype(float)
     on_clean = np.where(side, FIRST[1], FIRST[0]).astype(float)
     share, weights = 0.1, np.ones(votes.shape[1])
-    for _ in range(rounds):
+    for k in range(rounds):
         p = posterior(votes, on_toxic, on_clean, share, weights)
         a, b = counts * p, counts * (1 - p)
         share = float(np.clip(a.sum() / counts.sum(), 0.001, 0.5))
@@ -160,16 +191,23 @@ def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tupl
         both = share * on_toxic + (1 - share) * on_clean
         wrong = (on_toxic < on_clean) == (side == 1)
         on_toxic, on_clean = np.where(wrong, both, on_toxic), np.where(wrong, both, on_clean)
-    left = np.zeros((votes.shape[1],) * 2)
-    for w, mean in ((a, on_toxic), (b, on_clean)):
+        if k >= rounds // 2:
+            weights = 1 / (1 + correlations(votes, ((a, on_toxic), (b, on_clean))).sum(axis=1))
+    return on_toxic, on_clean, share, weights
+
+
+def correlations(votes: np.ndarray, classes: tuple[tuple[np.ndarray, np.ndarray], ...]) -> np.ndarray:
+    """Absolute correlations of voters within classes (counts and means), by the classes' shares; zero with themselves."""
+    left, total = np.zeros((votes.shape[1],) * 2), sum(w.sum() for w, _ in classes)
+    for w, mean in classes:
         d = votes - mean
         cov = (d * w[:, None]).T @ d / max(w.sum(), 1e-9)
         sd = np.sqrt(np.diag(cov))
         varies = sd > 0.03  # of a voter that nearly always, or never, fires there is nothing to tell
         rho = np.where(np.outer(varies, varies), cov / np.maximum(np.outer(sd, sd), 1e-9), 0)
-        left += np.abs(rho) * w.sum() / counts.sum()
+        left += np.abs(rho) * w.sum() / total
     np.fill_diagonal(left, 0)
-    return on_toxic, on_clean, share, 1 / (1 + left.sum(axis=1))
+    return left
 
 
 def posterior(votes: np.ndarray, on_toxic: np.ndarray, on_clean: np.ndarray, share: float, weights: np.ndarray) -> np.ndarray:
@@ -211,12 +249,21 @@ class Toxicity:
     on_clean: np.ndarray
     damping: np.ndarray
 
+    def voted(self, text: str) -> float:
+        """The label model's own probability that a text is toxic, before any classifier."""
+        votes = self.terms.reader()(text)[1]
+        bits = ((votes >> np.arange(VOTERS)) & 1).astype(float)[None, :]
+        return float(posterior(bits, self.on_toxic, self.on_clean, self.share, self.damping)[0])
+
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Toxicity:
-        """Without labelled rows there are no mined terms, and only the fixed lexicons count."""
-        known = labels.where(train_fold() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    def fit(cls, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, mine: bool = True) -> Toxicity:
+        """Without labelled rows, or with `mine` false, there are no mined terms, and only fixed lexicons and patterns count.
+
+        Of labels of one doc_id that contradict each other, toxic counts.
+        """
+        known = labels.where(train_fold() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         some = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        sample = F.broadcast(some(1, sample_rows // 4).unionByName(some(0, sample_rows - sample_rows // 4)).dropDuplicates(["doc_id"]))
+        sample = F.broadcast(some(1, sample_rows // 4).unionByName(some(0, sample_rows - sample_rows // 4)))
         rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").select("text", "toxic")
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +281,7 @@ class Toxicity:
         counts = rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
         counts = counts.where(F.col("t") + F.col("c") > 1)  # of all tasks' texts: a task alone can't tell a rare term
         t, c, base = F.col("t"), F.col("c"), sizes.get(1, 0) / max(1, sum(sizes.values()))
-        if 0 < base < 1:
+        if mine and 0 < base < 1:
             part = lambda x, p: F.when(x > 0, x * F.log(x / ((t + c) * p))).otherwise(0.0)
             ratio = 2 * (part(t, base) + part(c, 1 - base))
             lean = F.log((t + 0.5) / (sizes[1] + 1)) - F.log((c + 0.5) / (sizes[0] + 1))
@@ -261,7 +308,8 @@ class Toxicity:
             for batch in batches:
                 yield pd.DataFrame([(y, *read(text)) for text, y in zip(batch["text"], batch["toxic"])], columns=["toxic", "terms", "votes"])
 
-        seen = rows.mapInPandas(described, "toxic int, terms array<int>, votes int").orderBy("votes", "terms", "toxic").toPandas()
+        seen = rows.mapInPandas(described, "toxic int, terms array<int>, votes int").toPandas()  # at most sample_rows, short rows
+        seen = seen.loc[sorted(range(len(seen)), key=lambda i: (seen["votes"][i], list(seen["terms"][i]), seen["toxic"][i]))].reset_index(drop=True)
         n = len(terms.index)
         if not sizes.get(0) or not sizes.get(1):
             return cls(terms, np.full(n, 6.0), -3.0, share, on_toxic, on_clean, damping)

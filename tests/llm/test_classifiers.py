@@ -92,6 +92,56 @@ def test_label_model_finds_good_voters():
     assert ((p > 0.5) == y).mean() > 0.99
 
 
+@pytest.mark.parametrize(
+    ("text", "voter"),
+    [
+        ("scum and scum and again scum", toxicity.REPEATED), ("so they say that you are a moron", toxicity.ADDRESSED), ("what an 1d1ot or m0ron or st*pid thing", toxicity.MASKED),
+        ("LOUD WORDS", toxicity.SHOUTING), ("moron, clown, scum", toxicity.SEVERAL), ("one clown in a circus", toxicity.FEW), ("ten to 4the price$$$ and a*b", toxicity.NONE), ("", toxicity.NONE),
+    ],
+)
+def test_patterns_fire(text, voter):
+    votes = toxicity.Terms.build([], []).reader()(text)[1]
+    assert votes >> voter & 1
+    assert (votes >> toxicity.MASKED & 1) == (voter == toxicity.MASKED)
+
+
+def test_label_model_without_mined_terms(spark):
+    docs, labels, known, _ = corpus(spark)
+    model = toxicity.Toxicity.fit(docs, labels, mine=False)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = np.array([model.voted(texts[d]) > 0.5 for d, _, _ in known])
+    truth = np.array([bool(t) for _, _, t in known])
+    fixed = np.array([any(w in texts[d].lower().split() for w in ("moron", "scum")) for d, _, _ in known])
+    assert (found & ~truth).sum() <= 5 and (found[fixed]).mean() > 0.6
+
+
+def test_contradicting_labels_and_extra_columns(spark):
+    docs, labels, known, _ = corpus(spark, n=200)
+    doubled = labels.unionByName(labels.selectExpr("doc_id", "1 - quality AS quality", "0 AS toxic").where("doc_id % 3 = 0")).withColumn("text", labels.doc_id)
+    one, other = (toxicity.scored(docs, x).orderBy("doc_id", "score").collect() for x in (labels, doubled))
+    assert [r.score for r in one] == pytest.approx([r.score for r in other])
+    assert quality.scored(docs, doubled).count() == docs.count()
+
+
+def test_ridge_equals_one_dense_solve_and_its_features_an_exact_kernel(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEATURES", 2048)
+    docs, labels, known, n = corpus(spark, n=300)
+    docs = docs.where(f"doc_id < {n}").distinct()
+    model = quality.Quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    train = [(texts[d], y) for d, y, _ in known if crc32(str(d).encode()) % 3 != 1]
+    x, y = np.array([quality.statistics(t) for t, _ in train]), np.array([y for _, y in train], float)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3))
+    z = model.mapped(x)
+    ridge = np.eye(2049) * quality.RIDGE * len(y) / 2048
+    ridge[-1, -1] = 0
+    dense = np.linalg.solve(z.T @ z + ridge, z.T @ y)
+    assert np.allclose(z @ model.weights, z @ dense, atol=1e-5)
+    scaled = np.clip((x[:80] - model.mean) / model.scale, -6, 6)
+    exact = np.exp(-((scaled[:, None] - scaled[None]) ** 2).sum(axis=2) / 2 / scaled.shape[1])
+    assert np.abs(z[:80, :-1] @ z[:80, :-1].T - exact).max() < 0.1
+
+
 def test_pooled_is_isotonic():
     x, v = quality.pooled(np.arange(6.0), np.array([0, 1, 0, 1, 0.5, 1]), np.ones(6))
     assert (np.diff(v) > 0).all() and (np.diff(x) > 0).all()
