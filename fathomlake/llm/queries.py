@@ -46,7 +46,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited(table(spark, sf_dir, "documents"))
+    return fingerprints.edited_and_grouped(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
