@@ -7,10 +7,11 @@
 2. Classes. Documents with the same set are one class, represented by its smallest doc_id.
 3. Prefixes. Two sets with similarity t share an n-gram among the first n - ceil(t n) + 1 of each. Postings (n-gram,
    class, position) are counted by n-gram; those that only one class has are dropped.
-4. Candidates pass, before they leave the join, the length filter, the positional filter (what can still be shared
-   before and after a common n-gram) and the suffix filter: of the members behind the common n-gram the parities of how
-   many fall in each of BUCKETS buckets are known; these differ in no more buckets than the suffixes differ in members,
-   and before the n-gram the sets differ in as many members at least as its positions differ.
+4. Candidates pass, before they leave the join, the length filter and two filters that take the n-gram for the first
+   that both sets have, which for one n-gram of each pair it is: the positional filter (only what stands from there on
+   can be shared) and the suffix filter (of the members behind the n-gram the parities of how many fall in each of
+   BUCKETS buckets are known; these differ in no more buckets than the suffixes differ in members, and all members
+   before the n-gram differ).
 5. Two rounds keep groups of near copies from becoming all pairs. First each class meets, under each of its prefix
    n-grams, only the class with the smallest id there. Links found so far give components. Then only classes of
    different components meet: under each n-gram and length class (sets that link are of the same or of neighbouring
@@ -183,13 +184,13 @@ def with_suffixes(postings: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def may_link(percent: int) -> Column:
-    """The length, positional and suffix filters between postings a and b of one n-gram."""
+    """The length, positional and suffix filters between postings a and b of one n-gram, as if it were their first in common."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     length = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
-    most = F.least(a("pos"), b("pos")) + F.least(a("n") - a("pos"), b("n") - b("pos"))
+    most = F.least(a("n") - a("pos"), b("n") - b("pos"))
     positional = (100 + percent) * most >= percent * (a("n") + b("n"))
     behind = reduce(lambda x, y: x + y, (F.bit_count(a(f"s{i}").bitwiseXOR(b(f"s{i}"))) for i in range(BUCKETS // 64)))
-    return length & positional & ((100 + percent) * (behind + F.abs(a("pos") - b("pos"))) <= (100 - percent) * (a("n") + b("n")))
+    return length & positional & ((100 + percent) * (behind + a("pos") + b("pos")) <= (100 - percent) * (a("n") + b("n")))
 
 
 def length_class(n: Column, percent: int) -> Column:
