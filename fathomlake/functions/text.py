@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,14 +71,49 @@ def html_title(html: Column) -> Column:
     return collapsed(F.regexp_extract(html, "(?i)<title[^>]*>([^<]*)", 1))
 
 
+#: The named entities of HTML 4 and what they stand for.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
+def code_point(number: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities as characters, each once; what is no entity stays, a no-break space is a space."""
+    table = F.create_map(*(F.lit(x) for pair in sorted(ENTITIES.items()) for x in pair))
+
+    def decoded(piece: Column) -> Column:
+        part = lambda pattern: F.regexp_extract(piece, pattern, 1)
+        decimal, hexadecimal, name = part("^#([0-9]{1,7});"), part("^#[xX]([0-9a-fA-F]{1,6});"), part("^([A-Za-z][A-Za-z0-9]*);")
+        mark = F.when(decimal != "", code_point(decimal.cast("long"))).when(hexadecimal != "", code_point(F.conv(hexadecimal, 16, 10).cast("long"))).otherwise(F.try_element_at(table, name))
+        return F.when(mark.isNotNull(), F.concat(mark, F.regexp_replace(piece, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.translate(F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, "")), "\u00a0", " ")).otherwise(text)
+
+
+def main_part(html: Column) -> Column:
+    """The content of main, else of article, else of body, else all; without navigation, header, footer, aside, forms, svg."""
+    inner = lambda tag: F.regexp_extract(html, f"(?is)<{tag}\\b[^>]*>(.*)</{tag}\\s*>", 1)
+    chosen = F.when(inner("main") != "", inner("main")).when(inner("article") != "", inner("article")).when(inner("body") != "", inner("body")).otherwise(html)
+    return F.regexp_replace(chosen, "(?is)<(nav|header|footer|aside|form|svg)\\b[^>]*>.*?</\\1\\s*>", " ")
+
+
 def strip_html(html: Column) -> Column:
-    """Text without comments, scripts, styles and tags; the common entities decoded, spaces collapsed."""
+    """Text without comments, scripts, styles and tags; entities decoded, spaces collapsed."""
     bare = F.regexp_replace(html, "(?is)<!--.*?-->", " ")
     bare = F.regexp_replace(bare, "(?is)<(script|style|noscript)\\b[^>]*>.*?</\\1\\s*>", " ")
     bare = F.regexp_replace(bare, "<[^>]*>", " ")
-    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(mark))
-    return collapsed(bare)
+    return collapsed(decode_entities(bare))
+
+
+def page_text(html: Column) -> Column:
+    """The readable text of a page's main part."""
+    return strip_html(main_part(F.regexp_replace(html, "(?is)<!--.*?-->|<(script|style|noscript)\\b[^>]*>.*?</\\1\\s*>", " ")))
 
 
 def number_tokens(text: Column) -> Column:
@@ -93,8 +129,10 @@ def years_in(text: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the code points, as eight hexadecimal digits."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """32-bit FNV-1a over the UTF-16 units, as eight hexadecimal digits."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    pair = lambda c: F.array(F.lit(0xD800 - (0x10000 >> 10)) + F.shiftright(c, 10), F.lit(0xDC00).cast("long") + c.bitwiseAND(F.lit(0x3FF)))
+    codes = F.flatten(F.transform(points, lambda c: F.when(c > 0xFFFF, pair(c)).otherwise(F.array(c))))
     step = lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32))
     return F.lpad(F.lower(F.hex(F.aggregate(codes, F.lit(2166136261).cast("long"), step))), 8, "0")
 

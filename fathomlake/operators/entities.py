@@ -9,24 +9,34 @@ from pyspark.sql import functions as F
 from fathomlake.functions.text import deletions, within_one_edit
 
 
-def clusters(signals: DataFrame, scope: str, row: str, signal: str, rounds: int = 30) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """Computed once: by checkpoint where the session has a folder for it, else kept by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def clusters(signals: DataFrame, scope: str, row: str, signal: str) -> DataFrame:
     """(scope, row, cluster): rows of a scope joined by chains of shared signals; a cluster is named by its smallest row.
 
     Each round takes the smallest label over a row's signals and back, as two aggregations, so a signal that many rows
-    share costs a row each, not a pair each. Rounds are materialised by checkpoint where the session has a folder for it.
+    share costs a row each, not a pair each; then the label of that label, so that labels travel twice as far with each
+    round. Rounds end when no label changes, however long the chains.
     """
     labels = signals.select(scope, row).distinct().withColumn("cluster", F.col(row))
-    edges = signals.select(scope, row, signal).where(F.col(signal).isNotNull()).distinct()
-    for _ in range(rounds):
-        by_signal = edges.join(labels, [scope, row]).groupBy(scope, signal).agg(F.min("cluster").alias("low"))
-        lower = edges.join(by_signal, [scope, signal]).groupBy(scope, row).agg(F.min("low").alias("low"))
-        jumped = labels.join(lower, [scope, row], "left").select(scope, row, F.col("cluster").alias("before"), F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
-        jumped = jumped.checkpoint() if signals.sparkSession.sparkContext.getCheckpointDir() else jumped.persist()
-        done = jumped.where("cluster < before").isEmpty()
-        labels = jumped.select(scope, row, "cluster")
+    shared = signals.select(scope, row, signal).where(F.col(signal).isNotNull()).distinct()
+    edges = _settled(shared.join(shared.groupBy(scope, signal).count().where("count > 1").drop("count"), [scope, signal], "left_semi"))
+    linked = _settled(edges.select(scope, row).distinct().withColumn("cluster", F.col(row)))
+    while True:
+        low = edges.join(linked, [scope, row]).groupBy(scope, signal).agg(F.min("cluster").alias("low_"))
+        near = edges.join(low, [scope, signal]).groupBy(scope, row).agg(F.min("low_").alias("near_"))
+        jump = linked.select(scope, F.col(row).alias("near_"), F.col("cluster").alias("beyond_"))
+        step = linked.join(near, [scope, row]).join(jump, [scope, "near_"]).select(scope, row, F.col("cluster").alias("before_"), F.least("near_", "beyond_").alias("cluster"))
+        step = _settled(step)
+        done = step.where("cluster < before_").isEmpty()
+        linked.unpersist()
+        linked = step.drop("before_") if done else _settled(step.drop("before_"))
         if done:
-            break
-    return labels
+            edges.unpersist()
+            return labels.join(linked.withColumnRenamed("cluster", "low_"), [scope, row], "left").select(scope, row, F.coalesce("low_", "cluster").alias("cluster"))
 
 
 def leading_choices(members: DataFrame, scope: str, cluster: str, weight: str, share: float = 0.5, most: int = 5) -> DataFrame:

@@ -9,48 +9,118 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: In order of priority: a later pattern takes nothing that an earlier one has taken.
-PATTERNS = (
-    ("clock", re.compile(r"\b([01]?\d|2[0-3]):[0-5]\d\b")),
-    ("money", re.compile(r"[$€£]\s?(\d[\d,]*(?:\.\d+)?)(\s?(?:k|m|bn|million|billion)\b)?", re.I)),
-    ("percent", re.compile(r"(\d[\d,]*(?:\.\d+)?)\s?(?:%|percent\b)")),
-    ("measure", re.compile(r"(\d[\d,]*(?:\.\d+)?)\s?(km|mi|miles|kg|lb|hours|minutes|days|years|people)\b", re.I)),
-)
-SCALES = {"k": 1e3, "m": 1e6, "million": 1e6, "bn": 1e9, "billion": 1e9}
-UNITS = {"miles": "mi"}
-
-
-def figures_of(text: str) -> list[tuple[int, str, float, str]]:
-    """(start, unit, amount, display) of a text's figures that do not overlap, in order."""
-    taken: list[tuple[int, int]] = []
-    found = []
-    for kind, pattern in PATTERNS:
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            taken.append(m.span())
-            if kind == "clock":
-                h, mins = m.group().split(":")
-                amount, unit = int(h) * 60.0 + int(mins), "clock"
-            else:
-                amount = float(m.group(1).replace(",", ""))
-                unit = kind if kind != "measure" else UNITS.get(m.group(2).lower(), m.group(2).lower())
-                if kind == "money" and m.group(2):
-                    amount *= SCALES[m.group(2).strip().lower()]
-            found.append((m.start(), unit, amount, m.group()))
-    return sorted(found)
+NUMBER = re.compile(r"\d(?:[\d,]*\d)?(?:\.\d+)?")
+WORD = re.compile(r"[ \t\u00a0-]?(%|°[CF]?|[A-Za-z]+)")
+CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
+SCALES = {
+    "hundred": 1e2,
+    **dict.fromkeys(("k", "thousand"), 1e3),
+    **dict.fromkeys(("m", "mn", "million", "millions"), 1e6),
+    **dict.fromkeys(("b", "bn", "billion", "billions"), 1e9),
+    **dict.fromkeys(("tn", "trillion", "trillions"), 1e12),
+}
+#: Letters that scale an amount of money and nothing else: 5 m is a length.
+MONEY_SCALES = frozenset({"k", "m", "b"})
+UNITS = {
+    name: unit
+    for unit, names in {
+        "money": "dollar dollars usd eur euro euros gbp pound-sterling",
+        "percent": "% percent pct",
+        "mi": "mi mile miles",
+        "km": "km kilometer kilometers kilometre kilometres",
+        "m": "m meter meters metre metres",
+        "ft": "ft foot feet",
+        "in": "inch inches",
+        "kg": "kg kilogram kilograms kilo kilos",
+        "lb": "lb lbs pound pounds",
+        "mg": "mg milligram milligrams",
+        "g": "g gram grams",
+        "oz": "oz ounce ounces",
+        "hour": "h hr hrs hour hours",
+        "minute": "min mins minute minutes",
+        "second": "sec secs second seconds",
+        "day": "day days",
+        "week": "week weeks",
+        "month": "month months",
+        "year": "yr yrs year years",
+        "people": "people persons person",
+        "celsius": "°c celsius",
+        "fahrenheit": "°f fahrenheit",
+        "degree": "° degree degrees",
+        "points": "pt pts point points",
+        "gb": "gb gigabyte gigabytes",
+        "mph": "mph",
+    }.items()
+    for name in names.split()
+}
+#: What a bare number may be named by, when it stands before it.
+LABELS = frozenset("price cost total fee rate tax weight height length distance population revenue score age salary budget speed temperature average sum share".split())
+LABEL_REACH = 48
+
+
+def label_before(text: str, at: int) -> str | None:
+    """The nearest measure word within LABEL_REACH characters before a place, in the same sentence."""
+    words = re.findall(r"[a-z]+|[.!?;](?=\s)", text[max(0, at - LABEL_REACH) : at].lower())
+    for w in reversed(words):
+        if not w.isalpha():
+            return None
+        if w in LABELS or w.removesuffix("s") in LABELS:
+            return w if w in LABELS else w.removesuffix("s")
+    return None
+
+
+def word_after(text: str, at: int) -> tuple[str, int]:
+    """The word or sign that follows a place, in lower case, and its end; '' if there is none."""
+    m = WORD.match(text, at)
+    return (m.group(1).lower(), m.end()) if m else ("", at)
+
+
+def figures_of(text: str) -> list[tuple[int, str, float, str, str | None]]:
+    """(start, unit, amount, display, label) of a text's figures, in order.
+
+    A number is read with what stands beside it: a currency sign before it, then a scale, then a unit behind it; hour
+    and minutes with a colon are a time of day. A number without any of these counts if a label stands before it.
+    """
+    found, at = [], 0
+    while m := NUMBER.search(text, at):
+        start, end = m.span()
+        at = end
+        if start and (text[start - 1].isalnum() or text[start - 1] in "._"):
+            continue
+        minutes = text[end + 1 : end + 3]
+        if text[end : end + 1] == ":" and len(minutes) == 2 and minutes.isdigit() and not text[end + 3 : end + 4].isdigit() and m.group().isdigit() and int(m.group()) < 24 and int(minutes) < 60:
+            word, after = word_after(text, end + 3)
+            half = {"am": 0, "pm": 12}.get(word)
+            hour = int(m.group()) if half is None else int(m.group()) % 12 + half
+            at = end + 3 if half is None else after
+            found.append((start, "clock", hour * 60.0 + int(minutes), text[start:at], label_before(text, start)))
+            continue
+        amount, unit = float(m.group().replace(",", "")), None
+        sign = start - 1 - (text[start - 1 : start] == " ")
+        if sign >= 0 and text[sign] in CURRENCIES:
+            unit, start = "money", sign
+        word, after = word_after(text, end)
+        if word in SCALES and (unit == "money" or word not in MONEY_SCALES):
+            amount, at = amount * SCALES[word], after
+            word, after = word_after(text, after)
+        if unit is None and word in UNITS:
+            unit, at = UNITS[word], after
+        label = label_before(text, start)
+        if unit or label:
+            found.append((start, unit or "number", amount, text[start:at], label))
+    return found
 
 
 def read_figures(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, unit, amount, display). The passes take by priority, not by place, so a text is read in Python."""
+    """(key, start, unit, amount, display, label). What a number means hangs on what is beside it, so a text is read in Python."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(k, *f) for k, t in zip(batch[key], batch[text]) if isinstance(t, str) for f in figures_of(t)]
-            yield pd.DataFrame(rows, columns=[key, "start", "unit", "amount", "display"])
+            yield pd.DataFrame(rows, columns=[key, "start", "unit", "amount", "display", "label"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, start int, unit string, amount double, display string")
+    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, start int, unit string, amount double, display string, label string")
 
 
 def combined(figures: DataFrame, key: str, unit: str, amount: str) -> DataFrame:
@@ -67,10 +137,18 @@ def largest_measure(figures: DataFrame, key: str, unit: str, least: int = 2) ->
 
 
 def first_distinct(figures: DataFrame, key: str, unit: str, amount: str, position: str, tolerance: float = 0.001) -> DataFrame:
-    """Figures that are not within a tolerance of an earlier one of their key and unit; binned, so equality does not chain."""
-    bin_ = F.floor(F.col(amount) / F.lit(tolerance) + 0.5)
-    w = Window.partitionBy(key, unit, bin_).orderBy(position)
-    return figures.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").drop("nth_")
+    """Figures, in order, that are not within a tolerance of one kept before them, of their key and unit.
+
+    What goes shields nothing: of 1.0, 1.0009 and 1.0018 the last stays. A key is one text; its figures are folded in an array.
+    """
+    rest = [c for c in figures.columns if c not in (key, unit, amount, position)]
+    row = F.struct(F.col(position).alias("p_"), F.col(amount).alias("a_"), *rest)
+    rows = F.array_sort(F.collect_list(row)).alias("rows_")
+    grouped = figures.groupBy(key, unit).agg(rows)
+    near = lambda kept, x: F.exists(kept, lambda k: F.abs(k["a_"] - x["a_"]) <= tolerance)
+    kept = F.aggregate("rows_", F.slice("rows_", 1, 0), lambda out, x: F.when(near(out, x), out).otherwise(F.concat(out, F.array(x))))
+    flat = grouped.select(key, unit, F.explode(kept).alias("r_"))
+    return flat.select(key, unit, F.col("r_.p_").alias(position), F.col("r_.a_").alias(amount), *(F.col(f"r_.{c}").alias(c) for c in rest)).select(figures.columns)
 
 
 def pick_scored(candidates: DataFrame, key: str, scores: dict[str, float], tie: str) -> DataFrame:

@@ -33,23 +33,34 @@ def best_citation(claims: DataFrame, evidence: DataFrame, scope: str, claim: str
     return counts.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").select(scope, claim, source, "n_shared")
 
 
+#: Up to so many runs of quotations are broadcast to the texts; beyond, runs are joined by shuffle.
+BROADCAST_RUNS = 500_000
+
+
 def verbatim(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str, k: int = 5) -> DataFrame:
-    """(quote, text) pairs where the text states the quotation word for word.
+    """(quote, text) pairs where the text states the quotation word for word; a quotation without words is in none.
 
-    Candidates share the quotation's rarest k-word run, so only those are compared; quotations of fewer words than k
-    are joined on all their words.
+    Candidates share the quotation's rarest run of k words, or of all its words if it has fewer, so only those are
+    compared. Texts' runs are met with the quotations' before anything is counted or shuffled, where these are few.
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    q = quotes.select(quote_id, words(F.col(quote)).alias("w_")).where(F.size("w_") >= k)
-    t = texts.select(text_id, words(F.col(text)).alias("w_")).where(F.size("w_") >= k)
-    in_texts = t.select(text_id, F.explode(F.array_distinct(runs(F.col("w_")))).alias("run_"))
-    in_quotes = q.select(quote_id, F.explode(F.array_distinct(runs(F.col("w_")))).alias("run_"))
-    seen = in_texts.join(in_quotes.select("run_").distinct(), "run_", "left_semi")
-    counts = in_quotes.join(seen.groupBy("run_").agg(F.count("*").alias("n_")), "run_", "left")
-    rarest = counts.groupBy(quote_id).agg(F.min(F.struct(F.coalesce("n_", F.lit(0)).alias("n"), "run_")).alias("m_")).select(quote_id, F.col("m_.run_").alias("run_"))
-    pairs = rarest.join(seen, "run_").select(quote_id, text_id).distinct()
+    run = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    runs = lambda w, n: F.when(F.size(w) >= n, run(w, n)).otherwise(F.array().cast("array<string>"))
     padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    q = quotes.select(quote_id, words(F.col(quote)).alias("w_")).where(F.size("w_") > 0)
+    in_quotes = q.select(quote_id, F.explode(F.array_distinct(runs(F.col("w_"), F.least(F.size("w_"), F.lit(k))))).alias("run_"))
+    lengths = sorted(r[0] for r in q.select(F.least(F.size("w_"), F.lit(k))).distinct().collect())  # k numbers at most
+    if not lengths:
+        return quotes.select(quote_id).crossJoin(texts.select(text_id).limit(0)).limit(0)
+    wanted = in_quotes.select("run_").distinct()
+    if in_quotes.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        wanted = F.broadcast(wanted)
+    t = texts.select(text_id, words(F.col(text)).alias("w_"))
+    every = F.array_distinct(F.concat(*(runs(F.col("w_"), F.lit(n)) for n in lengths)))
+    seen = t.select(text_id, F.explode(every).alias("run_")).join(wanted, "run_", "left_semi")
+    counts = in_quotes.join(seen.groupBy("run_").agg(F.count("*").alias("n_")), "run_")
+    rarest = counts.groupBy(quote_id).agg(F.min(F.struct("n_", "run_")).alias("m_")).select(quote_id, F.col("m_.run_").alias("run_"))
+    pairs = rarest.join(seen, "run_").select(quote_id, text_id).distinct()
     full = pairs.join(q.select(quote_id, padded(F.col("w_")).alias("q_")), quote_id).join(t.select(text_id, padded(F.col("w_")).alias("t_")), text_id)
     return full.where(F.contains("t_", F.col("q_"))).select(quote_id, text_id)
 

@@ -24,10 +24,30 @@ def candidates(pages: DataFrame, page: str, text: str, shortest: int = 35, longe
     return first.withColumn("nth_", F.row_number().over(w)).where(F.col("nth_") <= most).drop("nth_")
 
 
-def line_score(line: Column, asked: Column) -> Column:
-    """Asked words that stand in a line, and 1.5 for a figure."""
-    words = F.array_distinct(F.split(F.lower(line), "[^\\p{L}\\p{N}]+"))
-    return F.size(F.array_intersect(words, asked)) + F.when(line.rlike("\\d"), 1.5).otherwise(0.0)
+# Words that are no question words, and what marks a figure and a rule's edge.
+ASK_STOP = (
+    "what when where which who whom whose why how does do did is are was were the and for with from that this these those into about your you should could would will can much many more most than then them they their there here have has had been "
+    "being some any each also just only over under after before between its"
+).split()
+FIGURE = r"(?i)(?:[$€£¥]\s?\d|\d\s?(?:%|°|percent\b|degrees?\b|minutes?\b|hours?\b|days?\b|years?\b|mg\b|g\b|kg\b|lbs?\b|miles?\b|km\b|feet\b|ft\b)|\btwo-thirds\b|\b\d+/\d+\b)"
+RULE_EDGE = (
+    r"(?i)\b(?:except|exception|unless|however|only if|cap(?:ped|s)?|limit(?:s|ed)?|maximum|minimum|at least|no more than|fee|fees|cost|costs|eligib\w*|requir\w*|must|veto|override|safe|internal temperature|deadline)\b"
+)
+
+
+def question_stems(question: Column) -> Column:
+    """Distinct words of a question of three letters or more, without endings, cut to six letters."""
+    words = F.array_distinct(F.filter(F.split(F.lower(question), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*ASK_STOP)))
+    stems = F.transform(words, lambda w: F.substring(F.regexp_replace(w, "(ing|ed|es|s)$", ""), 1, 6))
+    return F.filter(stems, lambda w: F.length(w) >= 3)
+
+
+def line_score(line: Column, stems: Column) -> Column:
+    """Stems that stand in a line, and of a line with any of them 1.5 more for a figure and 1 for a rule's edge; else 0."""
+    low = F.lower(line)
+    hits = F.size(F.filter(stems, lambda s: F.contains(low, s)))
+    more = F.when(line.rlike(FIGURE), 1.5).otherwise(0.0) + F.when(line.rlike(RULE_EDGE), 1.0).otherwise(0.0)
+    return F.when(hits == 0, F.lit(0.0)).otherwise(hits + more)
 
 
 def key_lines(lines: DataFrame, query: str, page: str, pos: str, line: str, asked: str, per_page: int = 2, most: int = 5) -> DataFrame:

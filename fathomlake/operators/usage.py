@@ -1,7 +1,8 @@
 """Counters, quotas and retry windows as batch operators; their streaming twins are in fathomlake.streaming.
 
 What depends on the order of events is a window where a window can say it, and else a fold over one key's events in
-time order, with the key narrowed by day so that no group is unbounded.
+time order. A key's events are cut where none follows for as long as the window lasts: nothing carries over such a gap,
+so the pieces are folded apart, and a piece is as long as a key goes on without a pause.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def saturating(events: DataFrame, keys: list[str], time: str, tie: str, cap: int
     return events.withColumn("admitted", nth <= cap).withColumn("counter", F.least(nth, F.lit(cap)))
 
 
-def _folded(events: DataFrame, key: str, time: str, tie: str, step, first, column: str, kind: T.DataType = T.BooleanType()) -> DataFrame:
-    """One value for each event of a key and day in order: step(state, seconds) -> (state, value)."""
+def _folded(events: DataFrame, key: str, time: str, tie: str, step, first, column: str, gap: int, kind: T.DataType = T.BooleanType()) -> DataFrame:
+    """One value for each event of a key in order: step(state, seconds) -> (state, value), from the first state after a gap."""
     schema = T.StructType([*events.schema.fields, T.StructField(column, kind)])
     names = schema.names
 
@@ -54,27 +55,30 @@ def _folded(events: DataFrame, key: str, time: str, tie: str, step, first, colum
         own[column] = out
         return own[names]
 
-    return events.groupBy(key, F.to_date(time).alias("day_")).applyInPandas(run, schema)
+    w = Window.partitionBy(key).orderBy(time, tie)
+    since = (F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(w))) / 1e6
+    pieces = events.withColumn("cut_", F.when(since >= gap, 1).otherwise(0)).withColumn("piece_", F.sum("cut_").over(w))
+    return pieces.drop("cut_").groupBy(key, "piece_").applyInPandas(lambda own: run(own.drop(columns="piece_")), schema)
 
 
 def fixed_window(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int = 60) -> DataFrame:
-    """Whether a window that opens with a key's first event, and again after `seconds`, admits each event of a day."""
+    """Whether a window that opens with a key's first event, and again after `seconds`, admits each event."""
 
     def step(state, s):
         opened, n = state if state and s - state[0] < seconds else (s, 0)
         return (opened, n + 1), n + 1 <= limit
 
-    return _folded(events, key, time, tie, step, None, "admitted")
+    return _folded(events, key, time, tie, step, None, "admitted", seconds)
 
 
 def greedy_spacing(events: DataFrame, key: str, time: str, tie: str, seconds: int = 60) -> DataFrame:
-    """Events of a key and day that are kept when one is skipped within `seconds` of the last kept one."""
+    """Events of a key that are kept when one is skipped within `seconds` of the last kept one."""
 
     def step(state, s):
         keep = state is None or s - state >= seconds
         return (s if keep else state), keep
 
-    return _folded(events, key, time, tie, step, None, "kept").where("kept").drop("kept")
+    return _folded(events, key, time, tie, step, None, "kept", seconds).where("kept").drop("kept")
 
 
 def free_retries(events: DataFrame, key: str, time: str, tie: str, seconds: int = 60, free: int = 3) -> DataFrame:
@@ -88,7 +92,7 @@ def free_retries(events: DataFrame, key: str, time: str, tie: str, seconds: int
             return (state[0], state[1] + 1), True
         return (s, 0), False
 
-    return _folded(events, key, time, tie, step, None, "free_retry")
+    return _folded(events, key, time, tie, step, None, "free_retry", seconds)
 
 
 def running_budget(events: DataFrame, time: str, tie: str, cost: str, scope: list[str]) -> DataFrame:

@@ -363,10 +363,10 @@ def saturating_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folded_sql(rule: str, out: str, where: str = "") -> str:
-    """A fold over each key's events of a day as a recursive query: (opened, n, value) from the state before and t."""
-    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id % 20 AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 20, CAST(ts AS DATE) ORDER BY ts, event_id) AS k, CAST(ts AS DATE) AS day FROM events),
-s AS (SELECT event_id, key, day, k, t AS opened, 1 AS n, {out} AS value FROM e WHERE k = 1
-  UNION ALL SELECT e.event_id, e.key, e.day, e.k, {rule} FROM s JOIN e ON e.key = s.key AND e.day = s.day AND e.k = s.k + 1)
+    """A fold over each key's events as a recursive query: (opened, n, value) from the state before and t."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id % 20 AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT event_id, key, k, t AS opened, 1 AS n, {out} AS value FROM e WHERE k = 1
+  UNION ALL SELECT e.event_id, e.key, e.k, {rule} FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)
 SELECT event_id{'' if where else ', value AS flag'} FROM s {where}"""
 
 
@@ -442,7 +442,7 @@ def retarget_cites(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark), t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents)
-SELECT item_id, doc_id FROM q JOIN t ON contains(' ' || array_to_string(t.w, ' ') || ' ', ' ' || array_to_string(q.w, ' ') || ' ') WHERE len(q.w) >= 5""")
+SELECT item_id, doc_id FROM q JOIN t ON contains(' ' || array_to_string(t.w, ' ') || ' ', ' ' || array_to_string(q.w, ' ') || ' ') WHERE len(q.w) > 0""")
 def verbatim_quotes(spark: SparkSession, d: str) -> DataFrame:
     return grounding.verbatim(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
 

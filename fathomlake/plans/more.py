@@ -21,11 +21,13 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return passages.candidates(table(spark, d, "documents"), "doc_id", "text")
 
 
-LINES_SQL = f"""{SENTENCES_SQL}, lines AS (SELECT doc_id % 20 AS query_id, doc_id, pos, sentence, len(list_intersect(list_distinct(string_split_regex(lower(sentence), '[^\\p{{L}}\\p{{N}}]+')), ['the', 'edthe', 'thorerre', 'of', 'la', 'die'])) + CASE WHEN regexp_matches(sentence, '\\d') THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM sentences)"""
+ASKED = ["edthe", "thorer", "tion", "achlic", "limit"]
+LINES_SQL = f"""{SENTENCES_SQL}, lines AS (SELECT doc_id % 20 AS query_id, doc_id, pos, sentence, CASE WHEN len(list_filter({ASKED!r}, lambda s: contains(lower(sentence), s))) = 0 THEN 0.0::DOUBLE ELSE len(list_filter({ASKED!r}, lambda s: contains(lower(sentence), s)))
+  + CASE WHEN regexp_matches(sentence, '{passages.FIGURE}') THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(sentence, '{passages.RULE_EDGE}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS score FROM sentences)"""
 
 
 def scored_lines(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.array(*map(F.lit, ("the", "edthe", "thorerre", "of", "la", "die")))
+    asked = F.array(*map(F.lit, ASKED))
     rows = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("query_id"), "doc_id", F.posexplode(passages.sentence_array(F.col("text"))).alias("pos", "sentence"))
     return rows.withColumn("asked", asked)
 
@@ -48,11 +50,14 @@ def sql_list(words: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@query(rf"""WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{{L}}]+') AS w FROM documents), n AS (SELECT doc_id, len(list_filter(w, lambda x: x IN {sql_list(passages.ROMANCE)})) AS r, len(list_filter(w, lambda x: x IN {sql_list(passages.ENGLISH)})) AS e FROM w)
-SELECT doc_id, 0.0::DOUBLE AS cjk_share, r >= 4 AND r > e AS romance_heavy FROM n""")
+@query(rf"""WITH documents AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN repeat('漢字かなカナ한글', CAST(1 + doc_id % 50 AS INTEGER)) ELSE '' END AS text FROM documents), w AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{{L}}]+') AS w FROM documents), n AS (SELECT doc_id, len(list_filter(w, lambda x: x IN {sql_list(passages.ROMANCE)})) AS r, len(list_filter(w, lambda x: x IN {sql_list(passages.ENGLISH)})) AS e FROM w),
+c AS (SELECT doc_id, len(regexp_extract_all(text, '\p{{L}}')) AS letters, len(regexp_extract_all(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}]')) AS cjk FROM documents)
+SELECT doc_id, CASE WHEN letters > 0 THEN cjk::DOUBLE / letters ELSE 0.0::DOUBLE END AS cjk_share, r >= 4 AND r > e AS romance_heavy FROM n JOIN c USING (doc_id)""")
 def language_share(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    mixed = F.concat("text", F.when(k % 3 == 0, F.repeat(F.lit("漢字かなカナ한글"), (1 + k % 50).cast("int"))).otherwise(""))
     cjk, romance = passages.language_flags(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", cjk.alias("cjk_share"), romance.alias("romance_heavy"))
+    return table(spark, d, "documents").withColumn("text", mixed).select("doc_id", cjk.alias("cjk_share"), romance.alias("romance_heavy"))
 
 
 @query(f"""WITH {HITS_SQL}, f AS (SELECT list_id, item, min((rank, engine)) AS first_at, string_agg(CAST(engine AS VARCHAR), ',' ORDER BY engine) AS engines FROM hits GROUP BY list_id, item)
@@ -108,9 +113,12 @@ def group_by_measure(spark: SparkSession, d: str) -> DataFrame:
     return figures.largest_measure(li, "key", "unit")
 
 
-@query("""SELECT o_orderkey % 50 AS key, o_custkey % 30 AS amount, min(o_orderkey) AS first FROM orders GROUP BY 1, 2""")
+@query("""WITH f AS (SELECT o_orderkey // 40 AS key, o_custkey % 30 + (o_orderkey % 7) * 0.0004::DOUBLE AS amount, o_orderkey AS first FROM orders),
+l AS (SELECT key, list([struct_pack(first := first, amount := amount)] ORDER BY first) AS l FROM f GROUP BY key),
+k AS (SELECT key, unnest(list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y.amount - x[1].amount) <= 0.001)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS x FROM l)
+SELECT key, x.amount AS amount, x.first AS first FROM k""")
 def figure_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("key"), F.lit("x").alias("unit"), (F.col("o_custkey") % 30).alias("amount"), F.col("o_orderkey").alias("first"))
+    f = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 40).alias("key"), F.lit("x").alias("unit"), (F.col("o_custkey") % 30 + (F.col("o_orderkey") % 7) * 0.0004).alias("amount"), F.col("o_orderkey").alias("first"))
     return figures.first_distinct(f, "key", "unit", "amount", "first").select("key", "amount", "first")
 
 

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from fathomlake.functions import money, text
-from fathomlake.operators import entities, figures, joins, passages, usage
+from fathomlake.operators import entities, figures, grounding, joins, passages, ranking, usage
 
 
 def column(spark, values, expr):
@@ -61,8 +61,72 @@ def test_numbers(spark):
 
 def test_figures():
     found = figures.figures_of("At 19:05 it cost $1.5 million, up 12% over 3 days and 1,200 km; $20k more.")
-    assert [(u, a) for _, u, a, _ in found] == [("clock", 1145.0), ("money", 1.5e6), ("percent", 12.0), ("days", 3.0), ("km", 1200.0), ("money", 2e4)]
+    assert [(u, a) for _, u, a, *_ in found] == [("clock", 1145.0), ("money", 1.5e6), ("percent", 12.0), ("day", 3.0), ("km", 1200.0), ("money", 2e4)]
     assert figures.figures_of("") == []
+    found = figures.figures_of("The rate is 8.875 percent. It weighs 120 lbs, runs 5 m and 3-mile loops; v1.5 at 7:30 pm. Population: 3.2 billion (x12).")
+    assert [(u, a, label) for _, u, a, _, label in found] == [("percent", 8.875, "rate"), ("lb", 120.0, None), ("m", 5.0, None), ("mi", 3.0, None), ("clock", 1170.0, None), ("number", 3.2e9, "population")]
+
+
+def test_first_distinct_looks_at_what_is_kept(spark):
+    rows = [("t", "x", 1.00049, 1, "a"), ("t", "x", 1.00051, 2, "b"), ("t", "x", 1.00149, 3, "c"), ("t", "x", 1.0016, 4, "d"), ("t", "y", 1.0, 5, "e"), ("u", "x", 1.0, 6, "f")]
+    got = figures.first_distinct(spark.createDataFrame(rows, "k string, unit string, amount double, pos int, name string"), "k", "unit", "amount", "pos").collect()
+    assert sorted(r.name for r in got) == ["a", "d", "e", "f"]
+
+
+def test_quotations_of_few_words(spark):
+    quotes = spark.createDataFrame([(1, "to be"), (2, "Not  to be, found!"), (3, "one two three four five six"), (4, "?!"), (5, "be to")], "q int, quote string")
+    texts = spark.createDataFrame([(1, "To be or not to be: found."), (2, "zero one two three four five six seven"), (3, ""), (4, None)], "t int, text string")
+    got = sorted(tuple(r) for r in grounding.verbatim(quotes, texts, "q", "quote", "t", "text").collect())
+    assert got == [(1, 1), (2, 1), (3, 2)]
+    assert grounding.verbatim(quotes.limit(0), texts, "q", "quote", "t", "text").count() == 0
+
+
+def test_lines_score_by_stems_figures_and_edges(spark):
+    lines = ["Nothing asked costs $5", "A fee of $5 for cancelled bookings", "You must cancel bookings", "cancel", None]
+    stems = lambda: passages.question_stems(F.lit("What does cancelling a booking cost?"))
+    assert spark.range(1).select(stems().alias("s")).first().s == ["cancel", "book", "cost"]
+    assert column(spark, lines, lambda v: passages.line_score(v, stems())) == [1 + 1.5 + 1, 2 + 1.5 + 1, 2 + 1, 1.0, 0.0]
+    assert column(spark, ["$5 at least"], lambda v: passages.line_score(v, stems())) == [0.0]
+
+
+def test_entities_and_main_part(spark):
+    texts = ["caf&eacute; &#8217;s &#x27;x&#X27; &mdash; &unknown; a&b &amp;lt; &#x1F600;&#0;", "plain", None, "&amp", "AT&amp;T&nbsp;1"]
+    assert column(spark, texts, text.decode_entities) == ["café ’s 'x' — &unknown; a&b &lt; 😀\ufffd", "plain", None, "&amp", "AT&T 1"]
+    page = "<body><nav>menu</nav><header>top</header><main><p>It&#39;s <b>here</b></p><footer>foot</footer></main><div>more</div></body>"
+    assert column(spark, [page, "<article>a<script>x</article></script>b</article>c", "just <i>text</i>"], text.page_text) == ["It's here", "a b", "just text"]
+
+
+def test_fnv_reads_utf16_units(spark):
+    want = []
+    for word in ("\U0001F600", "é", "a\U0001F600b"):
+        h = 2166136261
+        raw = word.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619 % 2**32
+        want.append(f"{h:08x}")
+    assert want[0] == "cb31c4b8"
+    assert column(spark, ["\U0001F600", "é", "a\U0001F600b"], text.fnv1a) == want
+
+
+def test_windows_go_on_past_midnight(spark):
+    start = datetime.datetime(2024, 1, 1, 23, 59, 50)
+    df = spark.createDataFrame([(i, start + datetime.timedelta(seconds=s), "k") for i, s in enumerate((0, 5, 12, 18, 59, 60))], "event_id long, ts timestamp, key string")
+    got = {r.event_id: r.admitted for r in usage.fixed_window(df, "key", "ts", "event_id", 2, 60).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True}
+    assert {r.event_id for r in usage.greedy_spacing(df, "key", "ts", "event_id", 60).collect()} == {0, 5}
+
+
+def test_clusters_of_long_chains(spark):
+    rows = [(1, i, f"s{i}") for i in range(100)] + [(1, i + 1, f"s{i}") for i in range(100)] + [(2, 5, None), (1, 500, "alone")]
+    got = {(r.scope, r.row): r.cluster for r in entities.clusters(spark.createDataFrame(rows, "scope int, row int, signal string"), "scope", "row", "signal").collect()}
+    assert got == {(1, i): 0 for i in range(101)} | {(2, 5): 5, (1, 500): 500}
+
+
+def test_completions_of_short_and_long_prefixes(spark):
+    names = spark.createDataFrame([(1, "green tea"), (2, "evergreen"), (3, "tea green"), (4, "gr"), (5, "")], "id int, name string")
+    prefixes = spark.createDataFrame([("g",), ("green",), ("green t",), ("zz",), ("",)], "prefix string")
+    got = [(r.prefix, r.name, r.tier) for r in ranking.prefix_tiers(names, prefixes, "name", "id", 3).collect()]
+    assert sorted(got) == sorted([("g", "green tea", 0), ("g", "gr", 0), ("g", "tea green", 1), ("green", "green tea", 0), ("green", "tea green", 1), ("green", "evergreen", 2), ("green t", "green tea", 0)])
 
 
 def test_languages(spark):
