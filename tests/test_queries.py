@@ -7,7 +7,8 @@ import math
 import duckdb
 import pytest
 
-from fathomlake.plans import catalogue, more  # noqa: F401  more registers its queries in the catalogue
+import __spark_entry__  # noqa: F401  its plans register their queries in the catalogue
+from fathomlake.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
