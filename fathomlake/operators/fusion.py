@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomlake.functions.text import within_one_edit
+
 RANK_OFFSET = 3
+# Words that don't say what a question is about, and the weights of engines.
+QUERY_STOP = "the and for with how what why when who are is to of in on a an vs best my do does can i".split()
+ENGINE_WEIGHTS = {"brave": 1.2, "serper": 1.2, "exa": 1.2, "perplexity": 1.2, "tavily": 1.1, "jina": 1.1, "you": 1.15, "you-keyless": 1.05, "marginalia": 0.5, "wikipedia": 0.8}
 
 
 def reciprocal_rank_fusion(hits: DataFrame, query: str = "query_id", key: str = "url_key", rank: str = "rank", weight: str = "weight") -> DataFrame:
@@ -43,3 +48,36 @@ def needs_second_opinion(rows: DataFrame, query: str = "query_id", strong: Colum
     strong = F.col("strong") if strong is None else strong
     counts = rows.groupBy(query).agg(F.count("*").alias("n_rows"), F.count_if(strong).alias("n_strong"))
     return counts.withColumn("second_opinion", (F.col("n_rows") >= least_rows) & (F.col("n_strong") < least_strong))
+
+
+def word_stem(word: Column) -> Column:
+    """A word without its ending: ing or ed of six letters and more (with the consonant that it doubled), and a plural's."""
+    bare = F.when(F.length(word) >= 6, F.regexp_replace(word, "(ing|ed)$", "")).otherwise(word)
+    single = F.when((bare != word) & bare.rlike("([b-df-hj-np-tv-z])\\1$"), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    return F.regexp_replace(single, "(ies|es|s)$", "")
+
+
+def coverage(question: Column, text: Column) -> Column:
+    """The share of a question's stems that a text contains, or has within one edit of a long word; 1 if nothing is asked."""
+    asked = F.filter(F.split(F.lower(question), "[^a-z0-9]+"), lambda w: (F.length(w) > 1) & ~w.isin(*QUERY_STOP))
+    stems = F.array_distinct(F.transform(asked, word_stem))
+    low = F.lower(text)
+    long = F.array_distinct(F.filter(F.split(low, "[^a-z0-9]+"), lambda w: F.length(w) >= 6))
+    close = lambda s: (F.length(s) >= 6) & F.exists(long, lambda w: within_one_edit(s, w))
+    found = F.size(F.filter(stems, lambda s: F.contains(low, s) | close(s)))
+    return F.when(F.size(stems) == 0, F.lit(1.0)).otherwise(found / F.size(stems))
+
+
+def weighted_fusion(hits: DataFrame, query: str, key: str, question: str, title: str, snippet: str, count: int, least: float = 0.5) -> DataFrame:
+    """Per query the `count` best keys: reciprocal ranks by engine weight, times 0.3 and the coverage of the question.
+
+    A key of one engine that covers less than `least` of the question goes. Of several snippets the longest stays.
+    """
+    share = F.col("weight") / (F.col("rank") + F.lit(RANK_OFFSET))
+    longest = F.struct(F.length(snippet).alias("n"), (-F.col("rank")).alias("r"), F.col("engine").alias("e"))
+    first = F.struct("rank", "engine")
+    rows = hits.groupBy(query, key).agg(F.sum(share).alias("sum_"), F.count_distinct("engine").alias("n_engines"), F.max_by(snippet, longest).alias(snippet), F.min_by(title, first).alias(title), F.min(question).alias(question))
+    rows = rows.withColumn("cover", coverage(F.col(question), F.concat_ws(" ", title, snippet, key))).where((F.col("cover") >= least) | (F.col("n_engines") > 1))
+    rows = rows.withColumn("score", F.round(F.col("sum_") * (F.lit(0.3) + F.col("cover")), 9))
+    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= count).select(query, key, title, snippet, "n_engines", F.round("cover", 9).alias("cover"), "score", "position")

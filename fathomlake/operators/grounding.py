@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,56 @@ def mode(facts: DataFrame, group: str, value: str) -> DataFrame:
     counts = facts.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
     w = Window.partitionBy(group).orderBy(F.desc("n"), F.length(value), value)
     return counts.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").drop("nth_")
+
+
+SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9, "t": 1e12, "tn": 1e12, "trillion": 1e12}
+#: Counts up to this may stand without a source; whole numbers below the second are never taken for derived ones.
+FREE_NUMBER, LEAST_DERIVED = 2, 100
+
+
+def with_roundings(evidence: DataFrame, scope: str, token: str) -> DataFrame:
+    """(scope, value): numbers that evidence states, and what they are rounded to: to fewer decimals, and whole from 1,000 up."""
+    value = F.col(token).try_cast("double")
+    places = F.length(F.regexp_extract(token, "\\.(\\d+)$", 1))
+    rounded = lambda p: F.when(p < places, F.round(value, p))
+    whole = F.when((places > 0) & (F.abs(value) >= 1000), F.round(value, 0))
+    values = F.array_compact(F.array(value, whole, *(rounded(F.lit(p)) for p in range(1, 7))))
+    return evidence.select(scope, F.explode(F.array_distinct(values)).alias("value")).distinct()
+
+
+def derived(value: Column, places: Column, backed: Column) -> Column:
+    """Whether a number is, to its own last digit, a ratio, sum, difference, product or share of two backed ones, or one with a rate of the other added."""
+    slack = F.lit(0.5) * F.pow(F.lit(10.0), -places) + 1e-9
+    near = lambda x: F.abs(x - value) <= slack
+    forms = lambda a, b: near(a / b) | near(a * (1 + b / 100)) | near(a * b / 100) | near(a + b) | near(a - b) | near(a * b)
+    return F.exists(backed, lambda a: F.exists(backed, lambda b: (a != b) & forms(a, b)))
+
+
+def ground_lines(lines: DataFrame, evidence: DataFrame, scope: str, line: str, text: str, token: str) -> DataFrame:
+    """Per line: its number tokens, those that evidence of its scope backs (as stated, rounded, or scaled), and those derived from two backed ones of the line; backed if none is left over.
+
+    Small counts and citation numbers need no source; a small whole number counts as derived only before "times".
+    """
+    bare = F.regexp_replace(F.col(text), "\\[\\d+\\]", " ")
+    tokens = F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit("(\\d[\\d,]*(?:\\.\\d+)?)"), 1), lambda n: F.regexp_replace(F.replace(n, F.lit(","), F.lit("")), "\\.0+$", "")))
+    factor = F.create_map(*(F.lit(x) for k, v in SCALES.items() for x in (k, v)))
+    rows = lines.select(scope, line, F.col(text).alias("text_"), F.explode(tokens).alias("token_"))
+    scaled = F.concat(F.lit("(?i)(?<![\\d.])"), F.replace("token_", F.lit("."), F.lit("\\.")), F.lit("(?:\\.0+)?\\s*(k|thousand|mn?|million|bn?|billion|tn?|trillion)\\b"))
+    mark = F.lower(F.get(F.regexp_extract_all(F.replace("text_", F.lit(","), F.lit("")), scaled, F.lit(1)), F.lit(0)))
+    rows = rows.withColumn("value_", F.col("token_").cast("double")).withColumn("scaled_", F.round(F.col("value_") * F.try_element_at(factor, mark), 0))
+    known = with_roundings(evidence, scope, token).withColumn("known_", F.lit(True))
+    rows = rows.join(known.withColumnRenamed("value", "value_"), [scope, "value_"], "left")
+    rows = rows.join(known.select(scope, F.col("value").alias("scaled_"), F.col("known_").alias("known_scaled_")), [scope, "scaled_"], "left")
+    stated = F.col("known_").isNotNull() | F.col("known_scaled_").isNotNull()
+    grouped = rows.groupBy(scope, line).agg(F.first("text_").alias("text_"), F.collect_list(F.struct("token_", "value_", stated.alias("stated"))).alias("t_"))
+    own = F.array_distinct(F.transform(F.filter("t_", lambda t: t["stated"] & (t["value_"] > 0)), lambda t: t["value_"]))
+    grouped = grouped.withColumn("own_", own)
+    ratio = lambda t: F.regexp_like(F.replace("text_", F.lit(","), F.lit("")), F.concat(F.lit("(?i)(?<![\\d.])"), F.replace(t["token_"], F.lit("."), F.lit("\\.")), F.lit("\\s*(?:times|x|×)")))
+    places = lambda t: F.length(F.regexp_extract(t["token_"], "\\.(\\d+)$", 1))
+    may = lambda t: (places(t) > 0) | (t["value_"] >= LEAST_DERIVED) | ratio(t)
+    worked_out = F.filter("t_", lambda t: ~t["stated"] & (t["value_"] > FREE_NUMBER) & may(t) & derived(t["value_"], places(t), F.col("own_")))
+    left = F.filter("t_", lambda t: ~t["stated"] & (t["value_"] > FREE_NUMBER))
+    out = grouped.select(scope, line, F.size("t_").alias("n_tokens"), F.size(F.filter("t_", lambda t: t["stated"])).alias("n_stated"), F.size(worked_out).alias("n_derived"), F.size(left).alias("left_"))
+    out = out.withColumn("backed", F.col("left_") == F.col("n_derived")).drop("left_")
+    plain = lines.select(scope, line).join(out, [scope, line], "left")
+    return plain.select(scope, line, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "n_stated", "n_derived")), F.coalesce("backed", F.lit(True)).alias("backed"))

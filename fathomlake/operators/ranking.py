@@ -13,6 +13,28 @@ def diversify(rows: DataFrame, query: str, group: str, position: str, cap: int =
     return flagged.withColumn("new_position", F.row_number().over(Window.partitionBy(query).orderBy("tail_", position))).drop("tail_")
 
 
+# Words of a question, and labels of hosts, that name no site.
+SITE_STOP = "the and for with how what why when who are vs best does can find give source official page this that from real which should buy get".split()
+GENERIC_LABELS = "com org net www edu gov int docs support help blog news app web online site info store shop deals review reviews guide tech".split()
+
+
+def named_site(question: Column, host: Column) -> Column:
+    """Whether a label of a host is a word of the question that names a site."""
+    words = F.filter(F.split(F.lower(question), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*SITE_STOP))
+    labels = F.filter(F.split(F.lower(host), "[.-]"), lambda p: (F.length(p) > 2) & ~p.isin(*GENERIC_LABELS))
+    return F.arrays_overlap(words, labels)
+
+
+def diversify_named(rows: DataFrame, query: str, question: str, host: str, position: str, cap: int = 2, front: int = 3) -> DataFrame:
+    """The first `front` rows of sites that the question names lead; then at most `cap` rows of each other host, named sites uncapped; then the rest. Adds `new_position` from 1."""
+    flagged = rows.withColumn("own_", named_site(F.col(question), F.col(host)).cast("int"))
+    flagged = flagged.withColumn("front_", ((F.col("own_") == 1) & (F.row_number().over(Window.partitionBy(query, "own_").orderBy(position)) <= front)).cast("int"))
+    nth = F.row_number().over(Window.partitionBy(query, host, "front_").orderBy(position))
+    place = F.when(F.col("front_") == 1, 0).when((F.col("own_") == 1) | (nth <= cap), 1).otherwise(2)
+    flagged = flagged.withColumn("place_", place)
+    return flagged.withColumn("new_position", F.row_number().over(Window.partitionBy(query).orderBy("place_", position))).drop("own_", "front_", "place_")
+
+
 def flag_first(rows: DataFrame, query: str, flag: Column, position: str) -> DataFrame:
     """A stable partition: rows with the flag lead; adds `new_position` from 1."""
     return rows.withColumn("new_position", F.row_number().over(Window.partitionBy(query).orderBy(F.when(flag, 0).otherwise(1), position)))
