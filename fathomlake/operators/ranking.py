@@ -62,11 +62,12 @@ def keyset_page(rows: DataFrame, owner: str, time: str, key: str, after: tuple |
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles without interpolation: of n sorted values, the one with index floor(p n), the last at most."""
+    """Percentiles without interpolation: of n sorted values, the one with index floor(p n), the last at most. Equal values are counted first."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c_"))
     w = Window.partitionBy(group)
-    ranked = rows.select(group, value, F.row_number().over(w.orderBy(value)).alias("nth_"), F.count("*").over(w).alias("n_"))
+    ranked = counts.withColumns({"upto_": F.sum("c_").over(w.orderBy(value)), "n_": F.sum("c_").over(w)})
     at = lambda p: F.least(F.col("n_"), F.floor(F.lit(p) * F.col("n_")) + 1)
-    return ranked.groupBy(group).agg(*(F.max(F.when(F.col("nth_") == at(p), F.col(value))).alias(name) for name, p in shares.items()))
+    return ranked.groupBy(group).agg(*(F.min(F.when(F.col("upto_") >= at(p), F.col(value))).alias(name) for name, p in shares.items()))
 
 
 def downsample(points: DataFrame, series: str, time: str, most: int) -> DataFrame:

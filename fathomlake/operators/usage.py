@@ -40,25 +40,36 @@ def saturating(events: DataFrame, keys: list[str], time: str, tie: str, cap: int
     return events.withColumn("admitted", nth <= cap).withColumn("counter", F.least(nth, F.lit(cap)))
 
 
-def _folded(events: DataFrame, key: str, time: str, tie: str, step, first, column: str, gap: int, kind: T.DataType = T.BooleanType()) -> DataFrame:
-    """One value for each event of a key in order: step(state, seconds) -> (state, value), from the first state after a gap."""
-    schema = T.StructType([*events.schema.fields, T.StructField(column, kind)])
-    names = schema.names
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([time, tie], ignore_index=True)
-        seconds = own[time].astype("datetime64[us]").astype("int64") / 1e6
-        state, out = first, []
-        for s in seconds:
-            state, value = step(state, s)
-            out.append(value)
-        own[column] = out
-        return own[names]
+def _in_order(events: DataFrame, keys: list[str], time: str, tie: str, step, first, inputs: list[str], column: str) -> DataFrame:
+    """A boolean for each event: step(state, *inputs) -> (state, value), over each group's events in order, from the first state.
 
+    Partitions hold whole groups, sorted; only the running state goes from batch to batch, so a long group needs no memory.
+    """
+    schema = T.StructType([*events.schema.fields, T.StructField(column, T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state = None, first
+        for batch in batches:
+            out = []
+            names = (batch[k].astype(object).where(batch[k].notna(), None) for k in keys)  # so that a null key equals itself
+            for own, values in zip(zip(*names), zip(*(batch[c] for c in inputs))):
+                if own != group:
+                    group, state = own, first
+                state, value = step(state, *values)
+                out.append(value)
+            batch[column] = out
+            yield batch[schema.names]
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, time, tie).mapInPandas(run, schema)
+
+
+def _folded(events: DataFrame, key: str, time: str, tie: str, step, column: str, gap: int) -> DataFrame:
+    """A boolean for each event of a key in order: step(state, seconds) -> (state, value), from nothing after a gap."""
     w = Window.partitionBy(key).orderBy(time, tie)
     since = (F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(w))) / 1e6
-    pieces = events.withColumn("cut_", F.when(since >= gap, 1).otherwise(0)).withColumn("piece_", F.sum("cut_").over(w))
-    return pieces.drop("cut_").groupBy(key, "piece_").applyInPandas(lambda own: run(own.drop(columns="piece_")), schema)
+    pieces = events.withColumn("cut_", F.when(since >= gap, 1).otherwise(0)).withColumn("piece_", F.sum("cut_").over(w)).drop("cut_")
+    pieces = pieces.withColumn("seconds_", F.unix_micros(F.col(time)) / 1e6)
+    return _in_order(pieces, [key, "piece_"], time, tie, step, None, ["seconds_"], column).drop("piece_", "seconds_")
 
 
 def fixed_window(events: DataFrame, key: str, time: str, tie: str, limit: int, seconds: int = 60) -> DataFrame:
@@ -68,7 +79,7 @@ def fixed_window(events: DataFrame, key: str, time: str, tie: str, limit: int, s
         opened, n = state if state and s - state[0] < seconds else (s, 0)
         return (opened, n + 1), n + 1 <= limit
 
-    return _folded(events, key, time, tie, step, None, "admitted", seconds)
+    return _folded(events, key, time, tie, step, "admitted", seconds)
 
 
 def greedy_spacing(events: DataFrame, key: str, time: str, tie: str, seconds: int = 60) -> DataFrame:
@@ -78,7 +89,7 @@ def greedy_spacing(events: DataFrame, key: str, time: str, tie: str, seconds: in
         keep = state is None or s - state >= seconds
         return (s if keep else state), keep
 
-    return _folded(events, key, time, tie, step, None, "kept", seconds).where("kept").drop("kept")
+    return _folded(events, key, time, tie, step, "kept", seconds).where("kept").drop("kept")
 
 
 def free_retries(events: DataFrame, key: str, time: str, tie: str, seconds: int = 60, free: int = 3) -> DataFrame:
@@ -92,7 +103,7 @@ def free_retries(events: DataFrame, key: str, time: str, tie: str, seconds: int
             return (state[0], state[1] + 1), True
         return (s, 0), False
 
-    return _folded(events, key, time, tie, step, None, "free_retry", seconds)
+    return _folded(events, key, time, tie, step, "free_retry", seconds)
 
 
 def running_budget(events: DataFrame, time: str, tie: str, cost: str, scope: list[str]) -> DataFrame:
@@ -103,20 +114,12 @@ def running_budget(events: DataFrame, time: str, tie: str, cost: str, scope: lis
 
 def admitted_spend(events: DataFrame, scope: str, time: str, tie: str, cost: str, cap: float) -> DataFrame:
     """Whether each event of a scope and day fits the cap beside what was admitted before; refused ones spend nothing."""
-    schema = T.StructType([*events.schema.fields, T.StructField("admitted", T.BooleanType())])
-    names = schema.names
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([time, tie], ignore_index=True)
-        spent, out = 0.0, []
-        for c in own[cost]:
-            ok = spent + c <= cap
-            spent += c if ok else 0
-            out.append(ok)
-        own["admitted"] = out
-        return own[names]
-
-    return events.groupBy(scope, F.to_date(time).alias("day_")).applyInPandas(run, schema)
+
+    def step(spent, c):
+        ok = spent + c <= cap
+        return (spent + c if ok else spent), ok
+
+    return _in_order(events.withColumn("day_", F.to_date(time)), [scope, "day_"], time, tie, step, 0.0, [cost], "admitted").drop("day_")
 
 
 def first_marks(events: DataFrame, query: str, stage: str, time: str) -> DataFrame:

@@ -38,8 +38,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 WEIGHTS = (1.2, 1.1, 0.5, 1.0, 0.8)
 HITS_SQL = """
 ranked AS (
-  SELECT l_orderkey % 7 AS list_id, l_suppkey % 5 AS engine, l_partkey AS item,
-    row_number() OVER (PARTITION BY l_orderkey % 7, l_suppkey % 5 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank
+  SELECT l_orderkey // 800 AS list_id, l_suppkey % 5 AS engine, l_partkey AS item,
+    row_number() OVER (PARTITION BY l_orderkey // 800, l_suppkey % 5 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank
   FROM lineitem),
 hits AS (
   SELECT list_id, engine, item, CAST(min(rank) AS INTEGER) AS rank,
@@ -49,7 +49,7 @@ FUSED_SQL = "fused AS (SELECT list_id, item, round(sum(weight / (rank + 3)), 9)
 
 
 def result_lists(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") % 7).alias("list_id"), (F.col("l_suppkey") % 5).alias("engine"), F.col("l_partkey").alias("item"), "l_extendedprice", "l_orderkey", "l_linenumber")
+    lines = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 800).alias("list_id"), (F.col("l_suppkey") % 5).alias("engine"), F.col("l_partkey").alias("item"), "l_extendedprice", "l_orderkey", "l_linenumber")
     w = Window.partitionBy("list_id", "engine").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
     hits = lines.withColumn("rank", F.row_number().over(w)).groupBy("list_id", "engine", "item").agg(F.min("rank").alias("rank"))
     return hits.withColumn("weight", F.array(*map(F.lit, WEIGHTS))[F.col("engine").cast("int")])
@@ -118,11 +118,11 @@ PATH_SQL = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)
 SITE_SQL = """CASE WHEN len(string_split(host, '.')) <= 2 THEN host
   WHEN string_split(host, '.')[-2] IN ('co', 'com', 'ac', 'gov', 'org', 'net') AND length(string_split(host, '.')[-1]) = 2 THEN array_to_string(string_split(host, '.')[-3:], '.')
   ELSE array_to_string(string_split(host, '.')[-2:], '.') END"""
-ROWS_SQL = f"""cut AS (SELECT page_id, page_id % 10 AS query_id, url, {HOST_SQL} AS host, {PATH_SQL} AS path FROM pages), hit AS (SELECT *, {SITE_SQL} AS site FROM cut)"""
+ROWS_SQL = f"""cut AS (SELECT page_id, page_id // 25 AS query_id, url, {HOST_SQL} AS host, {PATH_SQL} AS path FROM pages), hit AS (SELECT *, {SITE_SQL} AS site FROM cut)"""
 
 
 def result_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").select("page_id", (F.col("page_id") % 10).alias("query_id"), "url", text.host_of(F.col("url")).alias("host"), text.path_of(F.col("url")).alias("path"))
+    rows = table(spark, d, "pages").select("page_id", F.floor(F.col("page_id") / 25).alias("query_id"), "url", text.host_of(F.col("url")).alias("host"), text.path_of(F.col("url")).alias("path"))
     return rows.withColumn("site", text.site_of(F.col("host")))
 
 
@@ -300,14 +300,14 @@ def anti_join_new_rows(spark: SparkSession, d: str) -> DataFrame:
     return joins.new_rows(table(spark, d, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
 
 
-@query("""WITH r AS (SELECT page_id % 10 AS query_id, page_id % 97 AS key, min(page_id) AS position FROM pages WHERE page_id % 2 = 0 GROUP BY 1, 2),
-e AS (SELECT page_id % 10 AS query_id, page_id % 97 AS key, min(page_id) AS position FROM pages WHERE page_id % 2 = 1 GROUP BY 1, 2),
+@query("""WITH r AS (SELECT page_id // 25 AS query_id, page_id % 97 AS key, min(page_id) AS position FROM pages WHERE page_id % 2 = 0 GROUP BY 1, 2),
+e AS (SELECT page_id // 25 AS query_id, page_id % 97 AS key, min(page_id) AS position FROM pages WHERE page_id % 2 = 1 GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position, key) AS nth FROM e WHERE (query_id, key) NOT IN (SELECT (query_id, key) FROM r)),
 l AS (SELECT query_id, max(position) AS last FROM r GROUP BY 1)
 SELECT * FROM r UNION ALL SELECT query_id, key, coalesce(last, 0) + nth FROM f LEFT JOIN l USING (query_id) WHERE nth <= 5""")
 def supplement_sources(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
-    side = lambda k: p.where(F.col("page_id") % 2 == k).groupBy((F.col("page_id") % 10).alias("query_id"), (F.col("page_id") % 97).alias("key")).agg(F.min("page_id").alias("position"))
+    side = lambda k: p.where(F.col("page_id") % 2 == k).groupBy(F.floor(F.col("page_id") / 25).alias("query_id"), (F.col("page_id") % 97).alias("key")).agg(F.min("page_id").alias("position"))
     return joins.supplement(side(0), side(1), "query_id", "key", "position", 5)
 
 
@@ -364,29 +364,29 @@ def saturating_cap(spark: SparkSession, d: str) -> DataFrame:
 
 def folded_sql(rule: str, out: str, where: str = "") -> str:
     """A fold over each key's events as a recursive query: (opened, n, value) from the state before and t."""
-    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id % 20 AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k FROM events),
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 s AS (SELECT event_id, key, k, t AS opened, 1 AS n, {out} AS value FROM e WHERE k = 1
   UNION ALL SELECT e.event_id, e.key, e.k, {rule} FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)
 SELECT event_id{'' if where else ', value AS flag'} FROM s {where}"""
 
 
 def keyed(spark: SparkSession, d: str) -> DataFrame:
-    return asks(spark, d).select("event_id", "ts", (F.col("user_id") % 20).alias("key"))
+    return asks(spark, d).select("event_id", "ts", F.col("user_id").alias("key"))
 
 
-@query(folded_sql("CASE WHEN e.t - s.opened < 3600 THEN s.opened ELSE e.t END, CASE WHEN e.t - s.opened < 3600 THEN s.n + 1 ELSE 1 END, CASE WHEN e.t - s.opened < 3600 THEN s.n + 1 <= 2 ELSE true END", "true"))
+@query(folded_sql("CASE WHEN e.t - s.opened < 86400 THEN s.opened ELSE e.t END, CASE WHEN e.t - s.opened < 86400 THEN s.n + 1 ELSE 1 END, CASE WHEN e.t - s.opened < 86400 THEN s.n + 1 <= 2 ELSE true END", "true"))
 def fixed_window(spark: SparkSession, d: str) -> DataFrame:
-    return usage.fixed_window(keyed(spark, d), "key", "ts", "event_id", 2, 3600).select("event_id", F.col("admitted").alias("flag"))
+    return usage.fixed_window(keyed(spark, d), "key", "ts", "event_id", 2, 86400).select("event_id", F.col("admitted").alias("flag"))
 
 
-@query(folded_sql("CASE WHEN e.t - s.opened >= 3600 THEN e.t ELSE s.opened END, 0, e.t - s.opened >= 3600", "true", "WHERE value"))
+@query(folded_sql("CASE WHEN e.t - s.opened >= 86400 THEN e.t ELSE s.opened END, 0, e.t - s.opened >= 86400", "true", "WHERE value"))
 def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return usage.greedy_spacing(keyed(spark, d), "key", "ts", "event_id", 3600).select("event_id")
+    return usage.greedy_spacing(keyed(spark, d), "key", "ts", "event_id", 86400).select("event_id")
 
 
-@query(folded_sql("CASE WHEN e.t - s.opened < 7200 AND s.n - 1 < 3 THEN s.opened ELSE e.t END, CASE WHEN e.t - s.opened < 7200 AND s.n - 1 < 3 THEN s.n + 1 ELSE 1 END, e.t - s.opened < 7200 AND s.n - 1 < 3", "false"))
+@query(folded_sql("CASE WHEN e.t - s.opened < 172800 AND s.n - 1 < 3 THEN s.opened ELSE e.t END, CASE WHEN e.t - s.opened < 172800 AND s.n - 1 < 3 THEN s.n + 1 ELSE 1 END, e.t - s.opened < 172800 AND s.n - 1 < 3", "false"))
 def retry_window(spark: SparkSession, d: str) -> DataFrame:
-    return usage.free_retries(keyed(spark, d), "key", "ts", "event_id", 7200, 3).select("event_id", F.col("free_retry").alias("flag"))
+    return usage.free_retries(keyed(spark, d), "key", "ts", "event_id", 172800, 3).select("event_id", F.col("free_retry").alias("flag"))
 
 
 @query("SELECT event_id, sum(user_id) OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM events")
@@ -546,11 +546,11 @@ def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_k(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", 3, F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("""WITH r AS (SELECT page_id, page_id % 10 AS query_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(page_id % 60 AS INTEGER) END AS date FROM pages), n AS (SELECT *, count(*) FILTER (date >= DATE '2024-02-01') OVER (PARTITION BY query_id) >= 3 AS enough FROM r)
+@query("""WITH r AS (SELECT page_id, page_id // 25 AS query_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(page_id % 60 AS INTEGER) END AS date FROM pages), n AS (SELECT *, count(*) FILTER (date >= DATE '2024-02-01') OVER (PARTITION BY query_id) >= 3 AS enough FROM r)
 SELECT query_id, page_id, date, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN enough AND date IS NULL THEN 1 ELSE 0 END, page_id) AS INTEGER) AS new_position FROM n WHERE NOT enough OR date IS NULL OR date >= DATE '2024-02-01'""")
 def prefer_fresh(spark: SparkSession, d: str) -> DataFrame:
     date = F.when(F.col("page_id") % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 60).cast("int")))
-    rows = table(spark, d, "pages").select("page_id", (F.col("page_id") % 10).alias("query_id"), date.alias("date"))
+    rows = table(spark, d, "pages").select("page_id", F.floor(F.col("page_id") / 25).alias("query_id"), date.alias("date"))
     return filters.prefer_fresh(rows, "query_id", "date", F.lit("2024-02-01").cast("date"), "page_id").select("query_id", "page_id", "date", "new_position")
 
 

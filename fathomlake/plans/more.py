@@ -22,13 +22,13 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 ASKED = ["edthe", "thorer", "tion", "achlic", "limit"]
-LINES_SQL = f"""{SENTENCES_SQL}, lines AS (SELECT doc_id % 20 AS query_id, doc_id, pos, sentence, CASE WHEN len(list_filter({ASKED!r}, lambda s: contains(lower(sentence), s))) = 0 THEN 0.0::DOUBLE ELSE len(list_filter({ASKED!r}, lambda s: contains(lower(sentence), s)))
+LINES_SQL = f"""{SENTENCES_SQL}, lines AS (SELECT doc_id // 50 AS query_id, doc_id, pos, sentence, CASE WHEN len(list_filter({ASKED!r}, lambda s: contains(lower(sentence), s))) = 0 THEN 0.0::DOUBLE ELSE len(list_filter({ASKED!r}, lambda s: contains(lower(sentence), s)))
   + CASE WHEN regexp_matches(sentence, '{passages.FIGURE}') THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(sentence, '{passages.RULE_EDGE}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS score FROM sentences)"""
 
 
 def scored_lines(spark: SparkSession, d: str) -> DataFrame:
     asked = F.array(*map(F.lit, ASKED))
-    rows = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("query_id"), "doc_id", F.posexplode(passages.sentence_array(F.col("text"))).alias("pos", "sentence"))
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).alias("query_id"), "doc_id", F.posexplode(passages.sentence_array(F.col("text"))).alias("pos", "sentence"))
     return rows.withColumn("asked", asked)
 
 
@@ -187,9 +187,9 @@ def idea_lanes(spark: SparkSession, d: str) -> DataFrame:
     return personal.lanes(c, "owner", "lane", "c_custkey", 8)
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey % 200 AS image, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS k FROM orders) SELECT o_orderkey, image FROM r WHERE k = 1""")
+@query("""WITH r AS (SELECT o_orderkey, o_custkey AS image, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) SELECT o_orderkey, image FROM r WHERE k = 1""")
 def image_once(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("image"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("image"))
     return ranking.top_k(o, "image", 1, "o_orderkey").select("o_orderkey", "image")
 
 
@@ -274,7 +274,7 @@ def product_agg(spark: SparkSession, d: str) -> DataFrame:
 def merge_works(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order stand for catalogue records: the part for a DOI (one in three has none), the supplier for a preprint id."""
     li = table(spark, d, "lineitem")
-    rows = li.select((F.col("l_orderkey") % 200).alias("scope"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("position"), F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("doi"), F.col("l_partkey") % 40)).alias("doi"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("pre"), F.col("l_suppkey"))).alias("preprint"), F.col("l_returnflag").alias("title"), F.col("l_quantity").alias("citations"))
+    rows = li.select(F.col("l_orderkey").alias("scope"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("position"), F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("doi"), F.col("l_partkey") % 40)).alias("doi"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("pre"), F.col("l_suppkey"))).alias("preprint"), F.col("l_returnflag").alias("title"), F.col("l_quantity").alias("citations"))
     return entities.merged_records(rows, "scope", "position", ("doi", "preprint"), ["title"], "citations")
 
 
