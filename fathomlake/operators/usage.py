@@ -122,6 +122,26 @@ def admitted_spend(events: DataFrame, scope: str, time: str, tie: str, cost: str
     return _in_order(events.withColumn("day_", F.to_date(time)), [scope, "day_"], time, tie, step, 0.0, [cost], "admitted").drop("day_")
 
 
+def share_limited(events: DataFrame, keys: list[str], time: str, tie: str, cap: str, share: str) -> DataFrame:
+    """Whether each event of a day fits its share of its provider's cap: the whole cap at a share of 1, else that part of it, one at least; no cap (null) admits all, a cap of 0 none."""
+    nth = F.row_number().over(Window.partitionBy(F.to_date(time), *keys).orderBy(time, tie))
+    limit = F.when(F.col(cap) == 0, 0).when(F.col(share) < 1, F.greatest(F.lit(1), F.floor(F.col(cap) * F.col(share)))).otherwise(F.col(cap))
+    return events.withColumn("admitted", F.coalesce(nth <= limit, F.lit(True)))
+
+
+def spaced_starts(events: DataFrame, key: str, time: str, tie: str, micros: int = 1_000_000) -> DataFrame:
+    """When each event may start if a key's starts are `micros` apart at least: at its time, or that long after the start before it.
+
+    The start of event k is the latest, over the events j up to it, of time j and k - j gaps: a running maximum.
+    """
+    w = Window.partitionBy(key).orderBy(time, tie)
+    k = F.row_number().over(w)
+    slack = F.unix_micros(F.col(time)) - k * F.lit(micros)
+    rows = events.withColumn("k_", k).withColumn("slack_", slack)
+    latest = F.max("slack_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("start", F.timestamp_micros(latest + F.col("k_") * F.lit(micros))).drop("k_", "slack_")
+
+
 def first_marks(events: DataFrame, query: str, stage: str, time: str) -> DataFrame:
     """Milliseconds from a query's first event to the first of each stage."""
     firsts = events.groupBy(query, stage).agg(F.min(time).alias("at_"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomlake.functions import text
@@ -32,11 +32,79 @@ def wiki_hits(bodies: DataFrame, key: str, body: str) -> DataFrame:
     return rows.where("hit.title IS NOT NULL").select(key, "position", F.col("hit.title").alias("title"), F.col("hit.pageid").alias("page_id"), text.strip_html(F.coalesce("hit.snippet", F.lit(""))).alias("snippet"))
 
 
-def rss_titles(bodies: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, position, title) of the items of an RSS feed."""
+def rss_titles(bodies: DataFrame, key: str, body: str, most: int | None = None, covered: str | None = None) -> DataFrame:
+    """(key, position, title) of the items of an RSS feed; at most `most`, without those of the array column `covered` (case aside)."""
     items = F.regexp_extract_all(body, F.lit("(?s)<item\\b[^>]*>(.*?)</item>"), 1)
     titles = F.transform(items, lambda i: text.strip_html(F.regexp_replace(F.regexp_extract(i, "(?s)<title\\b[^>]*>(.*?)</title>", 1), "<!\\[CDATA\\[|\\]\\]>", "")))
-    return bodies.select(key, F.posexplode(F.filter(titles, lambda t: t != "")).alias("position", "title"))
+    kept = F.filter(titles, lambda t: t != "")
+    if covered:
+        known = F.transform(covered, F.lower)
+        kept = F.filter(kept, lambda t: ~F.array_contains(known, F.lower(t)))
+    return bodies.select(key, F.posexplode(kept if most is None else F.slice(kept, 1, most)).alias("position", "title"))
+
+
+def web_hits(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, position, title, url, snippet, date, image) of a search API's web rows, at the top or under results; rows without a web address go."""
+    row = "array<struct<url: string, title: string, description: string, snippet: string, page_age: string, thumbnail_url: string>>"
+    parsed = F.from_json(body, f"struct<results: struct<web: {row}>, web: {row}>")
+    rows = bodies.select(key, F.posexplode(F.coalesce(parsed["results"]["web"], parsed["web"])).alias("position", "hit"))
+    url = F.trim("hit.url")
+    title = F.coalesce(F.nullif(F.trim("hit.title"), F.lit("")), text.host_of(url))
+    image = F.when(F.col("hit.thumbnail_url").rlike("(?i)^https://"), F.col("hit.thumbnail_url"))
+    snippet = text.clip(F.coalesce("hit.description", "hit.snippet", F.lit("")), 320)
+    return rows.where(url.rlike("(?i)^https?://")).select(key, "position", title.alias("title"), url.alias("url"), snippet.alias("snippet"), F.nullif(F.col("hit.page_age"), F.lit("")).alias("date"), image.alias("image"))
+
+
+def social_posts(bodies: DataFrame, key: str, body: str, most: int = 5) -> DataFrame:
+    """(key, position, handle, url, title, snippet, date) of a post search: posts with an author and an address, by their text or what they link to."""
+    link = "struct<external: struct<title: string, description: string>>"
+    parsed = F.from_json(body, f"struct<posts: array<struct<uri: string, author: struct<handle: string>, record: struct<text: string, createdAt: string, embed: {link}>, embed: {link}>>>")
+    rows = bodies.select(key, F.posexplode(parsed["posts"]).alias("at", "post"))
+    handle = F.trim(F.regexp_replace("post.author.handle", "^@", ""))
+    post_id = F.regexp_extract("post.uri", "/app\\.bsky\\.feed\\.post/(?:.*/)?([^/]+)$", 1)
+    words = text.collapsed(F.coalesce("post.record.text", F.lit("")))
+    linked = lambda f: F.coalesce(F.col(f"post.embed.external.{f}"), F.col(f"post.record.embed.external.{f}"))
+    extra = text.collapsed(F.coalesce(F.nullif(linked("description"), F.lit("")), linked("title"), F.lit("")))
+    shown = F.when(words != "", words).otherwise(extra)
+    rows = rows.select(key, "at", handle.alias("handle"), post_id.alias("id"), shown.alias("shown"), F.when(words != "", words).otherwise(F.coalesce(linked("title"), shown)).alias("lead"), F.col("post.record.createdAt").alias("date"))
+    rows = rows.where("handle <> '' AND id <> '' AND shown <> ''").withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("at"))).where(F.col("position") <= most)
+    url = F.concat(F.lit("https://bsky.app/profile/"), "handle", F.lit("/post/"), "id")
+    return rows.select(key, "position", "handle", url.alias("url"), text.clip(F.col("lead"), 140).alias("title"), text.clip(F.concat(F.lit("@"), "handle", F.lit(": "), "shown"), 320).alias("snippet"), "date")
+
+
+def catalogue_works(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, position, doi, title, year, venue, authors, citations, abstract) of a DOI registry's items, the most cited first."""
+    item = "struct<DOI: string, title: array<string>, issued: struct<`date-parts`: array<array<int>>>, `container-title`: array<string>, author: array<struct<given: string, family: string, name: string>>, `is-referenced-by-count`: bigint, abstract: string>"
+    parsed = F.from_json(body, f"struct<message: struct<items: array<{item}>>>")
+    rows = bodies.select(key, F.posexplode(parsed["message"]["items"]).alias("at", "w"))
+    first = lambda c: F.get(c, F.lit(0))
+    names = F.transform("w.author", lambda a: F.coalesce(a["name"], F.concat_ws(" ", a["given"], a["family"])))
+    cited = F.coalesce(F.col("w")["is-referenced-by-count"], F.lit(0))
+    rows = rows.select(key, "at", F.lower("w.DOI").alias("doi"), first(F.col("w.title")).alias("title"), first(first(F.col("w.issued")["date-parts"])).alias("year"), first(F.col("w")["container-title"]).alias("venue"), F.array_join(names, "; ").alias("authors"), cited.alias("citations"), text.strip_html(F.col("w.abstract")).alias("abstract"))
+    placed = rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("citations"), "at")))
+    return placed.select(key, "position", "doi", "title", "year", "venue", "authors", "citations", "abstract")
+
+
+def work_results(works: DataFrame, key: str, most: int = 300) -> DataFrame:
+    """(key, position, title, url, domain, snippet) of catalogue works that have a title and a DOI: who, when, where, how often cited."""
+    names = F.split("authors", "; ")
+    who = F.when(F.size(names) > 3, F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.lit(" et al."))).otherwise(F.array_join(names, ", "))
+    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    meta = F.concat_ws(". ", part("Authors: ", who), part("Published: ", F.col("year").cast("string")), part("Venue: ", F.col("venue")), part("DOI: ", F.col("doi")), F.concat(F.lit("Cited by "), F.col("citations").cast("string"), F.lit(" works")))
+    kept = works.where("title <> '' AND doi <> ''")
+    return kept.select(key, "position", "title", F.concat(F.lit("https://doi.org/"), "doi").alias("url"), F.lit("doi.org").alias("domain"), F.substring(F.concat(meta, F.lit(".")), 1, most).alias("snippet"))
+
+
+def video_rows(bodies: DataFrame, key: str, body: str, most: int = 10) -> DataFrame:
+    """(key, position, title, url) of the videos in a results page's embedded data, each once."""
+    pattern = r'"videoRenderer":\{{"videoId":"{0}".*?"title":\{{"runs":\[\{{"text":"{1}"'
+    found = lambda *p: F.regexp_extract_all(body, F.lit("(?s)" + pattern.format(*p)), 1)
+    string = r'(?:[^"\\]|\\.)*'
+    pairs = F.arrays_zip(found(r"([\w-]{11})", string).alias("id"), found(r"[\w-]{11}", f"({string})").alias("title"))
+    rows = bodies.select(key, F.posexplode(pairs).alias("at", "v")).where("v.title <> ''")
+    first = rows.groupBy(key, "v.id").agg(F.min(F.struct("at", F.col("v.title").alias("title"))).alias("f"))
+    placed = first.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("f.at"))).where(F.col("position") <= most)
+    return placed.select(key, "position", F.col("f.title").alias("title"), F.concat(F.lit("https://www.youtube.com/watch?v="), "id").alias("url"))
 
 
 def arxiv_works(bodies: DataFrame, key: str, body: str) -> DataFrame:
@@ -59,8 +127,6 @@ def result_links(bodies: DataFrame, key: str, body: str, most: int = 8) -> DataF
     url = F.when(target != "", F.try_url_decode(target)).otherwise(F.replace(href, F.lit("&amp;"), F.lit("&")))
     rows = rows.select(key, "at", url.alias("url"), text.strip_html(F.col("link.label")).alias("title")).where(F.col("url").rlike("^https?://") & (F.col("title") != ""))
     first = rows.groupBy(key, "url").agg(F.min("at").alias("at"), F.min_by("title", "at").alias("title"))
-    from pyspark.sql import Window
-
     placed = first.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("at")))
     return placed.where(F.col("position") <= most).select(key, "position", "title", "url")
 

@@ -43,3 +43,13 @@ def test_flatten_nodes(spark):
     body = '[{"type": "hero", "text": "x"}, {"type": "section", "children": [{"type": "text"}, {"type": "tabs", "tabs": [{"children": [{"type": "list"}]}]}]}]'
     got = cards.flatten_nodes(one(spark, body), "k", "body").orderBy("path").collect()
     assert [(r.path, r.depth, r.type) for r in got] == [("0", 1, "hero"), ("1", 1, "section"), ("1.0", 2, "text"), ("1.1", 2, "tabs"), ("1.1.t0.0", 4, "list")]
+
+
+def test_registered_functions(spark):
+    from fathomlake.functions import registry
+
+    assert set(registry.register(spark)) >= {"answer_key", "figures", "host_of"}
+    row = spark.sql("SELECT host_of('https://www.A.org/x') AS h, salted_hash('a', 'b') AS s, round_cents(1.005D + 0.001D) AS c, chars_to_tokens(9) AS t, answer_key(' What? ') AS k, collapsed(' a  b ') AS b").first()
+    assert (row.h, row.c, row.t, row.k, row.b) == ("a.org", 1.01, 3, "what", "a b") and len(row.s) == 64
+    got = spark.sql("SELECT f.unit, f.amount FROM VALUES ('$5 and 3 km'), (CAST(NULL AS STRING)) AS t(x), LATERAL figures(t.x) AS f").collect()
+    assert sorted(tuple(r) for r in got) == [("km", 3.0), ("money", 5.0)]
