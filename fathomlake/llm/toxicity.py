@@ -58,8 +58,9 @@ FOR_TOXIC = np.array([True] * (VOTERS - 2) + [False] * 2)
 #: Words that address someone, and how many words before or after them a term may stand.
 ADDRESS = frozenset("you your yours yourself u ur he she they them his her their du dich dir dein ihr euch euer sie tu toi te ton vous votre vos ils tú ti usted ustedes vosotros eres".split())
 NEAR = 3
-#: Letters with marks or digits inside, and what digits and marks stand for; a star stands for any letter.
-MASK = re.compile(r"(?<![^\W\d_])[^\W\d_]+[@$*!013457]+[^\W\d_]+(?:[@$*!013457]+[^\W\d_]+)*")
+#: Marks and digits before a letter, the words that these can stand in, and what they stand for; a star stands for any letter.
+MASK = re.compile(r"[@$*!013457]+(?=[^\W\d_])")
+MASKED_WORD = re.compile(r"[^\W\d_]+(?:[@$*!013457]+[^\W\d_]+)+")
 UNMASK = str.maketrans("@$!013457", "asioieast")
 #: How often a voter is first thought to fire on texts of its own side and of the other.
 FIRST = (0.4, 0.05)
@@ -99,8 +100,8 @@ class Terms:
         lexicon = {t: len(LEXICONS) + crc32(t[1:5].encode()) % MINED_LEXICONS for t in mined} | fixed
         return cls(index, {index[t]: g for t, g in lexicon.items()})
 
-    def reader(self):
-        """A function from a text to (term indices, votes); it keeps what words it has seen have to do with terms."""
+    def reader(self, vote: bool = True):
+        """A function from a text to (term indices, votes, 0 without `vote`); it keeps what words it has seen have to do with terms."""
         seen: set[str] = set()
         hits: dict[str, tuple] = {}
         telling: set[str] = set()  # the keys of hits
@@ -129,6 +130,9 @@ class Terms:
             if hit:
                 counts = counted_in(words, hit, hits)
                 found = sorted(index[t] for f, n in counts.items() for t in leveled(f, n) if t in index)
+            if not vote:
+                return found, 0
+            if hit:
                 voters = [voter[i] for i in found if i in voter]
                 if voters:
                     abuse = {w for w in hit if not lexicon.isdisjoint(hits[w])}
@@ -154,8 +158,16 @@ FIXED_WORDS = frozenset(w for words in LEXICONS for w in words)
 
 def masked(low: str) -> bool:
     """Whether a lower-cased text spells a fixed lexicon's word with marks or digits for letters."""
+    end = 0
     for m in MASK.finditer(low):
-        plain = m.group().translate(UNMASK)
+        start = m.start()
+        if start < end or not start or not low[start - 1].isalpha():
+            continue
+        while start and low[start - 1].isalpha():
+            start -= 1
+        word = MASKED_WORD.match(low, start)
+        end = word.end()
+        plain = word.group().translate(UNMASK)
         if "*" in plain:
             if any(len(w) == len(plain) and all(a in (b, "*") for a, b in zip(plain, w)) for w in FIXED_WORDS):
                 return True
@@ -325,7 +337,7 @@ class Toxicity:
         @F.pandas_udf(T.DoubleType())
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             terms, weights, intercept = model
-            read = terms.reader()
+            read = terms.reader(vote=False)
             for batch in batches:
                 z = np.array([weights[read(t)[0]].sum() + intercept for t in batch])
                 yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
