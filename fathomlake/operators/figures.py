@@ -165,5 +165,5 @@ def compared(rows: DataFrame, side: str, sides: list[str], label: str, value: st
 
 def estimated_cost(calls: DataFrame, prices: DataFrame, key: str, engine: str, n: str, price: str) -> DataFrame:
     """Per key the calls and what they cost by list price; engines without a price cost nothing."""
-    priced = calls.join(F.broadcast(prices), engine, "left")
+    priced = calls.join(prices, engine, "left")
     return priced.groupBy(key).agg(F.sum(n).alias("calls"), F.round(F.sum(F.col(n) * F.coalesce(price, F.lit(0.0))), 6).alias("cost"))

@@ -132,7 +132,7 @@ def scored_pick(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderpriority, round(avg(o_totalprice) FILTER (r_name = 'ASIA'), 2) AS "ASIA", round(avg(o_totalprice) FILTER (r_name = 'EUROPE'), 2) AS "EUROPE" FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY o_orderpriority""")
 def compare_pivot(spark: SparkSession, d: str) -> DataFrame:
     sides = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name")
-    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(sides), "c_nationkey")
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(sides, "c_nationkey")
     return figures.compared(rows, "r_name", ["ASIA", "EUROPE"], "o_orderpriority", "o_totalprice")
 
 

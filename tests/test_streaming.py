@@ -7,7 +7,8 @@ import pytest
 from fathomlake.operators import usage
 from fathomlake.streaming import twins
 
-START = datetime.datetime(2024, 1, 1)
+#: The events go on past midnight.
+START = datetime.datetime(2024, 1, 1, 23, 57)
 
 
 @pytest.fixture()
@@ -42,3 +43,16 @@ def test_first_seen(spark, events):
     _, stream, path = events
     got = drained(spark, twins.first_seen(stream, ["key"], "ts"), "firsts", path)
     assert got.count() == 3
+
+
+def test_daily_counts(spark, tmp_path):
+    schema = "event_id long, ts timestamp, key string"
+    day = lambda d, h, k, i: (i, datetime.datetime(2024, 1, d, h), k)
+    rows = [day(1, 1, "a", 1), day(1, 23, "a", 2), day(1, 23, "b", 3), day(2, 0, "a", 4), day(3, 2, "a", 5), day(4, 5, "c", 6)]
+    for n, part in enumerate((rows[:3], rows[3:5], rows[5:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = drained(spark, twins.daily_counts(stream, "key", "ts"), "days", tmp_path)
+    closed = {(r.window.start.day, r.key): r.n for r in got.collect()}
+    batch = {(r.day.day, r.key): r.n for r in usage.daily_usage(spark.createDataFrame(rows, schema), "key", "ts").collect()}
+    assert closed == {k: n for k, n in batch.items() if k[0] < 4} and len(closed) == 4
