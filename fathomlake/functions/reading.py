@@ -47,7 +47,8 @@ UNITS = {
     "items": "item items",
 }
 SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "bn": 1e9, "billion": 1e9, "trillion": 1e12}
-MONEY = r"[$€£]\s?(\d[\d,]*(?:\.\d+)?)"
+MONEY = r"(?i)(?:[$€£¥]\s?\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|GBP|dollars|euros|pounds)\b)"
+NUMBER = r"(\d[\d,]*(?:\.\d+)?)"
 ANNUAL = r"(?i)\b(billed annually|billed yearly|annual billing|yearly billing|per year|a year|/\s?yr|/\s?year)\b"
 MONTHLY = r"(?i)\b(billed monthly|month-to-month|month to month|pay monthly|no commitment)\b"
 
@@ -253,8 +254,9 @@ def canonical_unit(unit: Column) -> Column:
 
 
 def money_in(text: Column) -> Column:
-    """Amounts behind a currency sign, without commas and zero decimals, distinct, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MONEY), 1), lambda x: F.regexp_replace(F.replace(x, F.lit(","), F.lit("")), "\\.0+$", "")))
+    """Amounts beside a currency's sign or name, without commas and zero decimals, distinct, in order."""
+    number = lambda x: F.replace(F.regexp_extract(x, NUMBER, 1), F.lit(","), F.lit(""))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({MONEY})"), 1), lambda x: F.regexp_replace(number(x), "\\.0+$", "")))
 
 
 def price_text(x: Column) -> Column:

@@ -11,7 +11,7 @@ from fathomlake.plans.catalogue import HOST_SQL, PATH_SQL, query, table
 #: An @ stands for the row's key.
 NOTES = (
     "See https://doi.org/10.1000/ABC.@), and arXiv: 2101.0@v2.", "doi:10.5555/x@; http://example.org/a?b=@ and arxiv.org/abs/2203.1234", "no identifier, $@,500.00 and $12 in May", "Between 2019-21 and 2@, on 2024-03-05", "In the 1900s? 1999/2003, 5/6/2021 and Oct 7",
-    "Paid €@.50 or £7.00 by december", "It may rain; since May 2020", "1. 5 degrees and 2. 25 more", "sept. 9 and Aug @", "",
+    "Paid €@.50, £7.00 or 1,@ euros by december", "It may rain; since May 2020", "1. 5 degrees and 2. 25 more", "sept. 9 and Aug @", "",
 )
 DOIS = ("https://doi.org/10.1000/AB/", "doi:10.1/X", "", "10.48550/arXiv.2101.00001", "arXiv:2101.12345v3", "https://arxiv.org/pdf/1901.01234v2.pdf", "hep-th/9901001", "nothing")
 NAMES = ("Dr. Ada Lovelace", "Martin Luther King Jr.", "Ana María de la Cruz, Ph.D.", "Prof.", "plato", "J. R. Tolkien MD", "Mr. Do", "…", "Élodie Durand III")
@@ -80,7 +80,7 @@ MONTHS_SQL = "list_sort(list_distinct(list_concat(list_concat(list_filter([{}],
 
 
 @query(f"""WITH {NOTES_SQL} SELECT p_partkey, array_to_string({YEARS_SQL}, ',') AS years, array_to_string({MONTHS_SQL}, ',') AS months,
-  array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(note, '{reading.MONEY}', 1), lambda x: x), lambda x: true), lambda x: regexp_replace(replace(x, ',', ''), '\\.0+$', '')), ',') AS money,
+  array_to_string(list_transform(regexp_extract_all(note, '({reading.MONEY})', 1), lambda x: regexp_replace(replace(regexp_extract(x, '{reading.NUMBER}', 1), ',', ''), '\\.0+$', '')), ',') AS money,
   regexp_replace(note, '(\\d{{1,3}})\\.\\s+(\\d{{1,3}}\\b)', '\\1.\\2', 'g') AS joined FROM notes""")
 def text_dates(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("note")
