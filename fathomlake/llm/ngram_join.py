@@ -50,7 +50,7 @@ SLOT_BITS = 21
 #: Counters are summed over tasks in blocks of this many; so many tasks at most sum them.
 SLOT_BLOCK, SUMMING_TASKS = 1 << 14, 64
 #: Members of sets that a task counts at once.
-COUNT_BLOCK = 1_000_000
+COUNT_BLOCK = 250_000
 #: Up to so many ids of documents to verify (8 bytes each) are broadcast; beyond, their texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Of the parities of suffixes (4 longs a posting), and the least of those of whole sets.
@@ -174,7 +174,7 @@ def with_suffixes(postings: DataFrame, own: DataFrame) -> DataFrame:
                 pos, hub = pos[mine], r.hub[r.pos < len(at)][mine]
                 behind = np.frombuffer(r.parity, np.uint64) ^ before[pos]
                 rows.append(np.column_stack([np.full((len(pos), 2), (r.id, r.n)), pos, r.prefix[pos], hub, behind.view(np.int64)]))
-                if len(rows) == 2_000:
+                if len(rows) == 500:
                     yield pd.DataFrame(np.concatenate(rows), columns=names)
                     rows = []
             if rows:
