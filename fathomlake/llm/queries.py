@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, license_scan, media_chunks, ngram_join, packing, quality, token_counts, toxicity, url_filters, word_bpe
+from . import centroids, conversation_repair, fingerprints, html_text, license_scan, media_chunks, ngram_join, packing, quality, token_counts, toxicity, url_filters, word_bpe
 from .common import table
 
 
@@ -49,6 +49,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_and_grouped(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,10 +74,15 @@ QUERIES = {
         op8_best_fit_packing,
         op9_url_filters,
         op10_document_fingerprints,
+        op11_html_extraction,
+        op12_conversation_repair,
+        op13_centroid_clustering,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_license_scans": license_scan.oracle_sql(),
     "op2_ngram_jaccard_join": ngram_join.oracle_sql(3, 90),
     "op9_url_filters": url_filters.oracle_sql(),
+    "op12_conversation_repair": conversation_repair.oracle_sql(),
+    "op13_centroid_clustering": centroids.oracle_sql(),
 }
