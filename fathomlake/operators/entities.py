@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fathomlake.functions.text import deletions, within_one_edit
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """Computed once: by checkpoint where the session has a folder for it, else kept by the executors."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
@@ -23,17 +23,17 @@ def clusters(signals: DataFrame, scope: str, row: str, signal: str) -> DataFrame
     """
     labels = signals.select(scope, row).distinct().withColumn("cluster", F.col(row))
     shared = signals.select(scope, row, signal).where(F.col(signal).isNotNull()).distinct()
-    edges = _settled(shared.join(shared.groupBy(scope, signal).count().where("count > 1").drop("count"), [scope, signal], "left_semi"))
-    linked = _settled(edges.select(scope, row).distinct().withColumn("cluster", F.col(row)))
+    edges = settled(shared.join(shared.groupBy(scope, signal).count().where("count > 1").drop("count"), [scope, signal], "left_semi"))
+    linked = settled(edges.select(scope, row).distinct().withColumn("cluster", F.col(row)))
     while True:
         low = edges.join(linked, [scope, row]).groupBy(scope, signal).agg(F.min("cluster").alias("low_"))
         near = edges.join(low, [scope, signal]).groupBy(scope, row).agg(F.min("low_").alias("near_"))
         jump = linked.select(scope, F.col(row).alias("near_"), F.col("cluster").alias("beyond_"))
         step = linked.join(near, [scope, row]).join(jump, [scope, "near_"]).select(scope, row, F.col("cluster").alias("before_"), F.least("near_", "beyond_").alias("cluster"))
-        step = _settled(step)
+        step = settled(step)
         done = step.where("cluster < before_").isEmpty()
         linked.unpersist()
-        linked = step.drop("before_") if done else _settled(step.drop("before_"))
+        linked = step.drop("before_") if done else settled(step.drop("before_"))
         if done:
             edges.unpersist()
             return labels.join(linked.withColumnRenamed("cluster", "low_"), [scope, row], "left").select(scope, row, F.coalesce("low_", "cluster").alias("cluster"))
