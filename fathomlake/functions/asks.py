@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import wording as w
-from .text import collapsed
+from .text import collapsed, let
 
 FRESHNESS = ("any", "year", "month", "week", "day")
 TIERS = ("long", "medium", "short", "live")
@@ -250,6 +250,32 @@ def model_conflict(q: Column, text: Column) -> Column:
     return other & ~same
 
 
+def product_lines(text: Column) -> Column:
+    """array<struct<stem, variant>>: a product's word with the number behind it, and a word such as pro after that; letters and digits that touch are apart."""
+    apart = F.regexp_replace(F.regexp_replace(F.lower(text), "([a-z])([0-9])", "$1 $2"), "([0-9])([a-z])", "$1 $2")
+    words = F.filter(F.split(apart, "[^a-z0-9]+"), lambda x: x != "")
+
+    def lines(ws: Column) -> Column:
+        named = lambda x: x.rlike("[a-z]") & (F.length(x) >= 2) & ~x.isin(*w.NOT_MODEL)
+        entry = lambda x, i: F.when((i > 0) & x.rlike("^[0-9]{1,3}$") & named(F.get(ws, i - 1)), F.struct(F.concat(F.get(ws, i - 1), x).alias("stem"), F.when(F.get(ws, i + 1).isin(*w.VARIANTS), F.get(ws, i + 1)).otherwise("").alias("variant")))
+        return F.array_compact(F.transform(ws, entry))
+
+    return let(words, lines)
+
+
+def variant_conflict(q: Column, text: Column) -> Column:
+    """Whether a text is about another variant (Pro, plain) of an asked model and states the asked one nowhere."""
+    prefixed = lambda a, b: (F.length(a) > F.length(b) + 1) & a.endswith(b) & F.left(a, F.length(a) - F.length(b)).rlike("^[a-z]{2,}$")
+    same = lambda a, b: (a == b) | prefixed(a, b) | prefixed(b, a)
+
+    def judged(asked: Column, found: Column) -> Column:
+        met = lambda a: F.exists(found, lambda f: same(f["stem"], a["stem"]))
+        stated = lambda a: F.exists(found, lambda f: same(f["stem"], a["stem"]) & (f["variant"] == a["variant"]))
+        return F.exists(asked, lambda a: met(a) & ~stated(a)) & ~F.exists(asked, stated)
+
+    return let(product_lines(q), lambda asked: F.when(F.size(asked) > 0, let(product_lines(text), lambda found: judged(asked, found))).otherwise(False))
+
+
 def introduced_names(q: Column) -> Column:
     """Capitalised words of a question, without a question word in front."""
     raw = words_of(F.regexp_replace(q, "[“”\"'’]", " "))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fathomlake.functions.reading import lookup
-from fathomlake.functions.text import host_of
+from fathomlake.functions.text import host_of, let
 
 # Roles, words that mean nothing in a capture, capture patterns.
 ROLE_PAIRS = ("software engineer", "software developer", "concert pianist", "general dentist", "prime minister", "chief executive", "medical doctor")
@@ -68,11 +67,6 @@ _ACCENTED = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0
 _PLAIN = [(a, b) for a, b in _ACCENTED if b.isascii() and b.isalpha()]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def folded(text: Column) -> Column:
     """Lower case without the accents of Latin letters."""
     return F.lower(F.translate(text, "".join(a for a, _ in _PLAIN), "".join(b for _, b in _PLAIN)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fathomlake.functions.people import let
+from fathomlake.functions.text import let
+
 
 PAYLOAD_MAX = 32_000
 HEADER = "Earlier turns, oldest first:"

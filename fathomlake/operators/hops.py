@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomlake.functions.people import let
 from fathomlake.functions.reading import century_of
+from fathomlake.functions.text import let
 from fathomlake.operators.entities import settled
 from fathomlake.operators.spans import spans
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomlake.functions.people import let
+from fathomlake.functions.text import let
+
 
 # The passes, in the order of their priority, and how units and labels are named.
 CLOCK = r"(?i)\b(\d{1,2}):(\d{2})(?::(\d{2}))?\b(?:\s*(minutes|minute|mins|min|hours|hour|hrs|hr|seconds|second|secs|sec))?"

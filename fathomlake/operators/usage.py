@@ -123,10 +123,20 @@ def admitted_spend(events: DataFrame, scope: str, time: str, tie: str, cost: str
 
 
 def share_limited(events: DataFrame, keys: list[str], time: str, tie: str, cap: str, share: str) -> DataFrame:
-    """Whether each event of a day fits its share of its provider's cap: the whole cap at a share of 1, else that part of it, one at least; no cap (null) admits all, a cap of 0 none."""
-    nth = F.row_number().over(Window.partitionBy(F.to_date(time), *keys).orderBy(time, tie))
+    """Whether each event of a day fits its share of its provider's cap beside what was admitted before; refused ones don't count.
+
+    The limit is the whole cap at a share of 1, else that part of it, one at least; no cap (null) admits all without
+    counting them, a cap of 0 admits none.
+    """
     limit = F.when(F.col(cap) == 0, 0).when(F.col(share) < 1, F.greatest(F.lit(1), F.floor(F.col(cap) * F.col(share)))).otherwise(F.col(cap))
-    return events.withColumn("admitted", F.coalesce(nth <= limit, F.lit(True)))
+    rows = events.withColumns({"day_": F.to_date(time), "limit_": F.coalesce(limit, F.lit(-1)).cast("long")})
+
+    def step(used, most):
+        if most < 0:
+            return used, True
+        return (used + 1, True) if used < most else (used, False)
+
+    return _in_order(rows, ["day_", *keys], time, tie, step, 0, ["limit_"], "admitted").drop("day_", "limit_")
 
 
 def spaced_starts(events: DataFrame, key: str, time: str, tie: str, micros: int = 1_000_000) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over questions: every turn of conversations stands for one, worded from a list and, half of them, from its text."""
+"""Queries over questions: every turn of conversations stands for one, worded from a list and from its whole text."""
 
 from __future__ import annotations
 
@@ -23,14 +23,14 @@ QUESTIONS = (
 )
 SITES = (None, "example.org", "docs.example.com")
 QUESTIONS_SQL = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + "]"
-ASKS_SQL = f"""asks AS (SELECT conv_id, turn, ({QUESTIONS_SQL})[1 + (conv_id * 7 + turn * 13) % {len(QUESTIONS)}] || CASE WHEN conv_id % 2 = 1 THEN ' ' || substr(regexp_replace(coalesce(text, ''), '[^ -~]+', '', 'g'), 1, 30) ELSE '' END AS ask,
+ASKS_SQL = f"""asks AS (SELECT conv_id, turn, ({QUESTIONS_SQL})[1 + (conv_id * 7 + turn * 13) % {len(QUESTIONS)}] || ' ' || coalesce(text, '') AS ask,
   ({QUESTIONS_SQL})[1 + (conv_id * 5 + turn * 3) % {len(QUESTIONS)}] AS prior, (['any', 'week', 'day'])[1 + turn % 3] AS fresh FROM conversations)"""
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda at: F.element_at(F.array(*map(F.lit, QUESTIONS)), (1 + at % len(QUESTIONS)).cast("int"))
     c, t = F.col("conv_id"), F.col("turn")
-    rest = F.when(c % 2 == 1, F.concat(F.lit(" "), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]+", ""), 1, 30))).otherwise("")
+    rest = F.concat(F.lit(" "), F.coalesce("text", F.lit("")))
     fresh = F.element_at(F.array(*map(F.lit, ("any", "week", "day"))), (1 + t % 3).cast("int"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat(pick(c * 7 + t * 13), rest).alias("ask"), pick(c * 5 + t * 3).alias("prior"), fresh.alias("fresh"))
 

@@ -194,9 +194,10 @@ def image_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Landed payloads, composed from the tables so that what the parsers have to find is known.
-def brand_lists(spark: SparkSession, d: str) -> DataFrame:
+def part_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(list_id, rows): twenty parts each, so that a body stays small however long the table is."""
     rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
-    return table(spark, d, "part").groupBy("p_brand").agg(rows.alias("rows"))
+    return table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 20).alias("list_id")).agg(rows.alias("rows"))
 
 
 @query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, role AS event, CAST(turn AS VARCHAR) AS data FROM conversations")
@@ -206,24 +207,24 @@ def source_sse(spark: SparkSession, d: str) -> DataFrame:
     return feeds.sse_frames(streams.withColumn("body", F.concat("body", F.lit("event: cut"))), "conv_id", "body")
 
 
-@query("""WITH f AS (SELECT p_brand, p_name AS suggestion, min(p_partkey) AS k FROM part GROUP BY 1, 2) SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY k) - 1 AS INTEGER) AS position, suggestion FROM f QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY k) <= 6""")
+@query("""WITH f AS (SELECT p_partkey // 20 AS list_id, p_name AS suggestion, min(p_partkey) AS k FROM part GROUP BY 1, 2) SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY k) - 1 AS INTEGER) AS position, suggestion FROM f QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY k) <= 6""")
 def source_suggestions(spark: SparkSession, d: str) -> DataFrame:
     names = F.to_json(F.transform("rows", lambda r: r["p_name"]))
-    bodies = brand_lists(spark, d).select("p_brand", F.concat(F.lit('["no such", '), names, F.lit("]")).alias("body"), F.lit("no such").alias("prefix"))
-    return feeds.suggestions(bodies, "p_brand", "body", "prefix")
+    bodies = part_lists(spark, d).select("list_id", F.concat(F.lit('["no such", '), names, F.lit("]")).alias("body"), F.lit("no such").alias("prefix"))
+    return feeds.suggestions(bodies, "list_id", "body", "prefix")
 
 
-@query("SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS position, p_name AS title, p_partkey AS page_id, 'about ' || p_name || ' & more' AS snippet FROM part")
+@query("SELECT p_partkey // 20 AS list_id, CAST(row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS INTEGER) AS position, p_name AS title, p_partkey AS page_id, 'about ' || p_name || ' & more' AS snippet FROM part")
 def source_wiki(spark: SparkSession, d: str) -> DataFrame:
     hits = F.transform("rows", lambda r: F.struct(r["p_name"].alias("title"), r["p_partkey"].alias("pageid"), F.concat(F.lit("about <b>"), r["p_name"], F.lit("</b> &amp; more")).alias("snippet")))
     body = F.to_json(F.struct(F.struct(hits.alias("search")).alias("query")))
-    return feeds.wiki_hits(brand_lists(spark, d).select("p_brand", body.alias("body")), "p_brand", "body")
+    return feeds.wiki_hits(part_lists(spark, d).select("list_id", body.alias("body")), "list_id", "body")
 
 
-@query("SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS position, p_name || ' & co' AS title FROM part")
+@query("SELECT p_partkey // 20 AS list_id, CAST(row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS INTEGER) AS position, p_name || ' & co' AS title FROM part")
 def source_rss(spark: SparkSession, d: str) -> DataFrame:
     items = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("<item><title>"), r["p_name"], F.lit(" &amp; co</title></item>"))), "\n")
-    return feeds.rss_titles(brand_lists(spark, d).select("p_brand", F.concat(F.lit("<rss><title>feed</title>"), items, F.lit("</rss>")).alias("body")), "p_brand", "body")
+    return feeds.rss_titles(part_lists(spark, d).select("list_id", F.concat(F.lit("<rss><title>feed</title>"), items, F.lit("</rss>")).alias("body")), "list_id", "body")
 
 
 @query("SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, substr(string_agg('w' || l_suppkey, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey), 1, 400) AS abstract FROM lineitem GROUP BY 1")

@@ -39,6 +39,10 @@ ROWS = [
     ("Mi Band 11 battery", "Mi Band 11 and Mi Band 8", "battery", True, False),
     ("miband printers sale", "Mi Band printing", "x", True, False),
     ("what is it", "anything", "", True, False),
+    ("iPhone 15 price", "iPhone 15 Pro Max price", "", False, True),
+    ("iPhone 15 price", "iPhone 15 and iPhone 15 Pro price", "", True, False),
+    ("iPhone15 Pro price", "Apple iPhone 15 price", "", False, True),
+    ("iPhone 15 price", "Galaxy S24 Ultra price", "iPhone price", True, False),
 ]
 
 
@@ -58,6 +62,16 @@ def test_gate(spark):
     assert gate.gated(df.limit(0), "k", "q", "title", "snippet", "url", "engines").count() == 0
 
 
+def test_gate_refuses_another_person(spark):
+    titles = {"Who is Ray Lee?": {"Ray Lee, actor": 1, "Ray Lee Smith, painter": 0, "Lee Ray": 0, "Ray K. Lee at work": 1}, "Ada Bell": {"Ada Lovelace": 1, "Bell, Ada": 1}, "Ray Lee biography": {"Ray Lee Smith": 1}}
+    rows = [(q, q, t, "", "https://a.org/", ["x"]) for q, ts in titles.items() for t in ts]
+    df = spark.createDataFrame(rows, "k string, q string, title string, snippet string, url string, engines array<string>")
+    got = {(r.k, r.title) for r in gate.of_person(df, "k", "q", "title", "snippet").collect()}
+    assert got == {(q, t) for q, ts in titles.items() for t, keep in ts.items() if keep}
+    kept = {(r.k, r.title) for r in gate.gated(df, "k", "q", "title", "snippet", "url", "engines").collect()}
+    assert ("Who is Ray Lee?", "Ray Lee, actor") in kept and ("Who is Ray Lee?", "Ray Lee Smith, painter") not in kept
+
+
 @pytest.mark.parametrize(("question", "text", "want"), [("watching injuries", "Watch the injury report", 1.0), ("blueflame news", "All about Bleuflame", 0.5), ("the a", "x", 1.0), ("dropped calls", "drop a call", 1.0)])
 def test_coverage(spark, question, text, want):
     assert spark.range(1).select(fusion.coverage(F.lit(question), F.lit(text)).alias("c")).first().c == want

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomlake.functions import hosts, reading
+from fathomlake.operators import usage
 
 
 def column(spark, values, expr):
@@ -46,3 +47,15 @@ def test_amounts(spark):
         reading.century_of(F.lit(2011)), reading.century_of(F.lit(1100)), reading.softmax(F.array(F.lit(1.0), F.lit(1.0))), reading.weighted_cost(F.lit(0), F.lit(0), F.lit(1), F.lit(1)), reading.next_midnight(F.lit("2024-02-28 10:00:00").cast("timestamp")),
     ).first()
     assert list(row) == ["$1,234.50", "-$7", "1,234.5 EUR", "0.0123", 1.2e9, "the 21st century", "the 11th century", [0.5, 0.5], 0, datetime.datetime(2024, 2, 29)]
+
+
+def test_counters(spark):
+    """A counter with shares rises only when it admits; starts keep their distance."""
+    at = lambda n: datetime.datetime(2024, 1, 1, 0, 0, n)
+    rows = [(i, at(i), "x", 10, 0.5 if i < 20 else 1.0) for i in range(26)] + [(100 + i, at(i), "y", None if i % 2 else 0, 1.0) for i in range(4)] + [(200 + i, at(i), "z", 1, 0.1) for i in range(3)]
+    df = spark.createDataFrame(rows, "n int, ts timestamp, k string, cap int, share double")
+    got = {r.n: r.admitted for r in usage.share_limited(df, ["k"], "ts", "n", "cap", "share").collect()}
+    assert [n for n in range(26) if got[n]] == [0, 1, 2, 3, 4, 20, 21, 22, 23, 24]
+    assert [got[100 + i] for i in range(4)] == [False, True, False, True] and [got[200 + i] for i in range(3)] == [True, False, False]
+    starts = {r.n: r.start for r in usage.spaced_starts(df.where("k = 'z'"), "k", "ts", "n", 3_000_000).collect()}
+    assert starts == {200: at(0), 201: at(3), 202: at(6)}
