@@ -104,7 +104,7 @@ class Quality:
     def fit(cls, docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Quality:
         """Without labelled rows of both kinds every text scores 1: nothing is known against it.
 
-        Of labels of one doc_id that contradict each other, poor counts.
+        Of labels of one doc_id that contradict each other, poor counts; of its rows, the first text.
         """
         spark = docs.sparkSession
         known = labels.where(train_fold() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("double")).alias("y"))
@@ -114,7 +114,8 @@ class Quality:
             for batch in batches:
                 yield pd.DataFrame({"x": [statistics(t) for t in batch["text"]], "y": batch["y"]})
 
-        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("text", "y")
+        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+        rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
         rows = saved(rows.mapInPandas(describe, "x array<double>, y double"), "quality-statistics")
         d = len(NAMES)
         rng = np.random.default_rng(7)
@@ -173,5 +174,5 @@ def scored(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROW
 
 
 def of_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that score 0.5 or more."""
+    """The rows of `docs`, all columns, that score 0.5 or more. A null text is judged as an empty one, repeated rows alike; an empty table stays empty."""
     return docs.where(Quality.fit(docs, labels).score(F.col("text")) >= 0.5)

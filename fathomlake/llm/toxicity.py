@@ -271,12 +271,14 @@ class Toxicity:
     def fit(cls, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, mine: bool = True) -> Toxicity:
         """Without labelled rows, or with `mine` false, there are no mined terms, and only fixed lexicons and patterns count.
 
-        Of labels of one doc_id that contradict each other, toxic counts.
+        Of labels of one doc_id that contradict each other, toxic counts; of its rows, the first text. So the sample has
+        sample_rows rows at most, however often an id stands in the table.
         """
         known = labels.where(train_fold() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         some = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         sample = F.broadcast(some(1, sample_rows // 4).unionByName(some(0, sample_rows - sample_rows // 4)))
-        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").select("text", "toxic")
+        found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+        rows = saved(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-sample")
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by = (Counter(), Counter())
@@ -353,5 +355,5 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Dat
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that score below 0.5."""
+    """The rows of `docs`, all columns, that score below 0.5. A null text is judged as an empty one, repeated rows alike; an empty table stays empty."""
     return docs.where(Toxicity.fit(docs, labels).score(F.col("text")) < 0.5)
