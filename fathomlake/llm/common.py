@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +79,24 @@ class BoundedCache(dict):
         return new
 
 
+#: What this worker keeps from task to task; each operator's module adds its own.
+WORKER_CACHES: list[dict] = []
+
+
+def release() -> None:
+    """Frees what operators that ran before have left in this worker, and gives the memory back to the system.
+
+    Called at the start of a task whose operator needs no such cache, as a worker serves one operator after another.
+    """
+    if any(WORKER_CACHES):
+        for cache in WORKER_CACHES:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc there is nothing to trim
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sliced(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """The batches in pieces of about so many characters of text (a longer text is a piece by itself), to bound memory."""
     for batch in batches:

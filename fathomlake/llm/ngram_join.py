@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, texts
+from .common import release, saved, texts
 from .components import components
 from .shingles import sets_of
 
@@ -69,6 +69,7 @@ def document_counts(docs: DataFrame, k: int, bits: int = SLOT_BITS) -> np.ndarra
     """Of each counter: how many documents have one of its n-grams, each n-gram of a document counted."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         counts = np.zeros(1 << bits, np.int64)
         waiting, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
@@ -137,6 +138,7 @@ def described(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> Data
     names = ["doc_id", "n", "cls", "fine", "parity", "prefix"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             rows = []
             for doc_id, s in sets_of(batch, k):

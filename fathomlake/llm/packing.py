@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, mapped, saved, sliced
+from .common import WORKER_CACHES, BoundedCache, mapped, saved, sliced
 from .token_counts import tokenizer
 from .word_bpe import LATIN, byte_symbols, runs
 
@@ -46,6 +46,7 @@ TOKENS_A_DOCUMENT, FULL_PIECES = 8, 1.25
 
 _caches: dict[str, BoundedCache] = {}
 _encoders: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
+WORKER_CACHES.extend((_caches, _encoders))
 
 
 def word_encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:

@@ -19,7 +19,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import BoundedCache, mapped, sliced
+from .common import WORKER_CACHES, BoundedCache, mapped, sliced
 from .token_counts import SPACE, tokenizer
 
 RUN = re.compile(f"[^{SPACE}]+")
@@ -206,6 +206,7 @@ def byte_symbols() -> list[str]:
 
 
 _workers: dict[str, tuple[WordBpe, BoundedCache]] = {}
+WORKER_CACHES.extend((_workers,))
 
 
 def worker(path: str) -> tuple[WordBpe, BoundedCache]:
