@@ -51,8 +51,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that go to a Python worker at once, where the session keeps Spark's own 10,000: these can be 100 MB in each worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch to BATCH_ROWS, unless the session has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of whatever columns the table has, null texts as empty ones."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 

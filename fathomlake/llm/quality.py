@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, small_batches
 
 LABELLED_ROWS = 200_000
 FEATURES, RIDGE, BINS = 256, 1e-3, 1000
@@ -107,6 +107,7 @@ class Quality:
         Of labels of one doc_id that contradict each other, poor counts; of its rows, the first text.
         """
         spark = docs.sparkSession
+        small_batches(docs.sparkSession)
         known = labels.where(train_fold() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("double")).alias("y"))
         known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, sliced, texts
+from .common import saved, sliced, small_batches, texts
 
 #: Bound of the labelled sample, a quarter of it toxic; the rows with the smallest hashes of doc_id.
 SAMPLE = 8_000
@@ -274,6 +274,7 @@ class Toxicity:
         Of labels of one doc_id that contradict each other, toxic counts; of its rows, the first text. So the sample has
         sample_rows rows at most, however often an id stands in the table.
         """
+        small_batches(docs.sparkSession)
         known = labels.where(train_fold() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         some = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         sample = F.broadcast(some(1, sample_rows // 4).unionByName(some(0, sample_rows - sample_rows // 4)))
