@@ -75,7 +75,7 @@ def mapped(docs: DataFrame, run, columns: str) -> DataFrame:
 
 
 class BoundedCache(dict):
-    """A worker's cache; it starts anew when full, so its memory is bounded whatever the vocabulary."""
+    """A worker's cache; when full it keeps what the batch at hand has in it and drops the rest, so its memory is bounded whatever the vocabulary."""
 
     def __init__(self, limit: int):
         super().__init__()
@@ -85,8 +85,9 @@ class BoundedCache(dict):
         """Those of `keys` that are to be computed; the cache has room for them afterwards."""
         new = [k for k in keys if k not in self]
         if len(self) + len(new) > self.limit:
+            kept = [(k, self[k]) for k in keys if k in self]
             self.clear()
-            new = list(keys)
+            self.update(kept)
         return new
 
 
