@@ -86,16 +86,22 @@ def person_clusters(spark: SparkSession, d: str) -> DataFrame:
 WORDS_SQL = r"list_filter(list_transform(string_split_regex(regexp_replace(lower({t}), '[‘’]', '''', 'g'), '[^\p{{L}}\p{{N}}%$''.]+'), lambda w: regexp_replace(w, '\.$', '')), lambda w: length(w) > 2)"
 
 
-@query(rf"""WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), q AS (SELECT item_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i % 10 = 0 THEN 'altered' ELSE x END), ' ') AS quote FROM b),
-qw AS (SELECT item_id, quote, {WORDS_SQL.format(t="quote")} AS want FROM q), d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS s FROM documents),
-u AS (SELECT doc_id, trim(regexp_replace(unnest(s), '[ \t\n\r\f\v]+', ' ', 'g')) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM d), uw AS (SELECT *, {WORDS_SQL.format(t="sentence")} AS have FROM u WHERE length(sentence) BETWEEN 1 AND 400),
-m AS (SELECT item_id, doc_id, pos, sentence, len(list_filter(want, lambda w: list_contains(have, w))) AS found, len(want) AS n FROM qw JOIN uw ON list_has_any(want, have) AND length(sentence) <= length(quote) * 1.6 + 20 WHERE len(want) >= 6)
-SELECT item_id, doc_id, CAST(pos AS INTEGER) AS pos, sentence, round(found / n, 6) AS share FROM m WHERE found * 100 >= n * 85 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY found DESC, doc_id, pos) = 1""")
+CUT_SQL = r"string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"
+FLAT_SQL = r"trim(regexp_replace(unnest(s), '[ \t\n\r\f\v]+', ' ', 'g'))"
+
+
+@query(rf"""WITH bs AS (SELECT item_id, {CUT_SQL} AS s FROM benchmark), b AS (SELECT item_id, generate_subscripts(s, 1) - 1 AS part, string_split({FLAT_SQL}, ' ') AS w FROM bs),
+q AS (SELECT item_id * 1000 + part AS quote_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i % 10 = 0 THEN 'altered' ELSE x END), ' ') AS quote FROM b),
+qw AS (SELECT quote_id, quote, {WORDS_SQL.format(t="quote")} AS want FROM q), d AS (SELECT doc_id, {CUT_SQL} AS s FROM documents),
+u AS (SELECT doc_id, {FLAT_SQL} AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM d), uw AS (SELECT *, {WORDS_SQL.format(t="sentence")} AS have FROM u WHERE length(sentence) BETWEEN 1 AND 400),
+m AS (SELECT quote_id, doc_id, pos, sentence, len(list_filter(want, lambda w: list_contains(have, w))) AS found, len(want) AS n FROM qw JOIN uw ON list_has_any(want, have) AND length(sentence) <= length(quote) * 1.6 + 20 WHERE len(want) >= 6)
+SELECT quote_id, doc_id, CAST(pos AS INTEGER) AS pos, sentence, round(found / n, 6) AS share FROM m WHERE found * 100 >= n * 85 QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY found DESC, doc_id, pos) = 1""")
 def reworded_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages with each tenth word altered find the sentence of a document that they come from."""
-    altered = F.array_join(F.transform(F.split("text", " "), lambda x, i: F.when((i + 1) % 10 == 0, "altered").otherwise(x)), " ")
-    quotes = table(spark, d, "benchmark").select("item_id", altered.alias("quote"))
-    return quotations.nearest_sentences(quotes, table(spark, d, "documents"), "item_id", "quote", "doc_id", "text")
+    """Sentences of benchmark passages with each tenth word altered find the sentence of a document that they come from."""
+    parts = table(spark, d, "benchmark").select("item_id", F.posexplode(quotations.source_sentences(F.col("text"))).alias("part", "sentence"))
+    altered = F.array_join(F.transform(F.split("sentence", " "), lambda x, i: F.when((i + 1) % 10 == 0, "altered").otherwise(x)), " ")
+    quotes = parts.select((F.col("item_id") * 1000 + F.col("part")).alias("quote_id"), altered.alias("quote"))
+    return quotations.nearest_sentences(quotes, table(spark, d, "documents"), "quote_id", "quote", "doc_id", "text")
 
 
 @query()
