@@ -36,6 +36,8 @@ from .word_bpe import LATIN, byte_symbols, runs
 
 END = 0
 MARK = "\0"
+#: Marks that may close a word.
+TAIL = ".,;:!?*$%&#"
 CACHE_LIMIT = 1 << 18
 GROUP_ROWS = 50_000
 WEIGHTS = (1.0, 1e-3, 1e-3)
@@ -72,18 +74,27 @@ def encoded_words(words: list[str], path: str) -> list[bytes]:
 
 
 def packed_ids(library, path: str, chunks: list[str]) -> list[bytes]:
-    """Ids of white-space-free chunks as 32-bit words. Spellings that differ in case or in a closing mark share their word's encoding."""
+    """Ids of white-space-free chunks as 32-bit words. Spellings that differ in case or in closing marks share their word's encoding.
+
+    The file's pattern takes letters and marks apart, and none of TAIL begins a contraction or a special string, so a
+    chunk of letters and such marks has the ids of both in turn.
+    """
     plan, plain, other = [], {}, {}
     for chunk in chunks:
-        stem, mark = chunk.lower(), ""
-        if not stem.isalpha() and stem[-1] in ".,":
-            stem, mark = stem[:-1], stem[-1]
-        if stem.isalpha() and (chunk.isascii() or max(chunk) <= LATIN):
-            plain[stem] = plain[mark or stem] = b""
+        stem = chunk.lower()
+        if stem.isalpha():
+            mark = ""
+        else:
+            low, stem = stem, stem.rstrip(TAIL)
+            mark = low[len(stem) :]
+        if (stem.isalpha() or not stem and mark) and (chunk.isascii() or max(chunk) <= LATIN):
+            plain[stem] = other[mark] = b""
         else:
             stem, mark = chunk, ""
             other[stem] = b""
         plan.append((stem, mark))
+    plain.pop("", None)
+    other.pop("", None)
     found = dict(zip(plain, encoded_words(list(plain), path))) if plain else {}
     found |= {c: array("I", e.ids).tobytes() for c, e in zip(other, library.encode_batch(list(other), add_special_tokens=False))}
     found[""] = b""
