@@ -32,12 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import WORKER_CACHES, BoundedCache, mapped, saved, sliced
 from .token_counts import tokenizer
-from .word_bpe import LATIN, byte_symbols, runs
+from .word_bpe import LATIN, TAIL, byte_symbols, runs
 
 END = 0
 MARK = "\0"
-#: Marks that may close a word.
-TAIL = ".,;:!?*$%&#"
 CACHE_LIMIT = 1 << 18
 GROUP_ROWS = 50_000
 WEIGHTS = (1.0, 1e-3, 1e-3)

@@ -29,6 +29,8 @@ NOT_SPACE = re.compile("[\x1c-\x1f]")
 LATIN = "\xff"
 CACHE_LIMIT = 1 << 19
 INNER, FINAL = 0, 1
+#: Marks that may close a word.
+TAIL = ".,;:!?*$%&#"
 NONE: dict[str, bool] = {}
 PAIR_LIMIT = 1 << 20
 
@@ -54,6 +56,7 @@ class WordBpe:
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.bytes = byte_symbols()
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.shown = {i: str(i) for i in self.tokens}
         self.root = self.token_trie()
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
@@ -153,12 +156,13 @@ class WordBpe:
 
     def words(self, chunk: str) -> list[str]:
         """The byte-level words of a chunk without white space; a special string stands for itself."""
-        if chunk.isascii():
+        if chunk.isascii() or max(chunk) <= LATIN:
             low = chunk.lower()
             if low.isalpha():
-                return [low]
-            if low[:-1].isalpha() and low[-1] in ".,":
-                return [low[:-1], low[-1]]
+                return [self.to_bytes(low)]
+            stem = low.rstrip(TAIL)
+            if stem.isalpha():  # the pattern takes letters and marks apart; no contraction or special string begins with these marks
+                return [self.to_bytes(stem), low[len(stem) :]]
         if "<|" in chunk and self.cut.search(chunk):
             parts, at = [], 0
             for m in self.cut.finditer(chunk):
@@ -183,10 +187,11 @@ class WordBpe:
     def encode_chunks(self, chunks: Iterable[str]) -> dict[str, tuple[int, str, str]]:
         """Of each chunk: the number of tokens, their ids joined by spaces, and what these decode to. Each distinct word is encoded once."""
         words = {c: self.words(c) for c in chunks}
-        special = self.special
-        tokens = self.encode_words({w for own in words.values() for w in own if w not in special})
-        ids = {w: [self.vocab[t] for t in own] for w, own in tokens.items()} | {w: [i] for w, i in special.items()}
-        known = {w: (len(own), " ".join(map(str, own)), self.decode(own)) for w, own in ids.items()}
+        special, vocab, shown, tokens = self.special, self.vocab, self.shown, self.tokens
+        known = {w: (1, shown[i], tokens[i]) for w, i in special.items()}
+        for w, own in self.encode_words({w for own in words.values() for w in own if w not in special}).items():
+            ids = [vocab[t] for t in own]
+            known[w] = (len(ids), " ".join([shown[i] for i in ids]), " ".join([tokens[i] for i in ids]))
         return {c: known[own[0]] if len(own) == 1 else self._joined([known[w] for w in own]) for c, own in words.items()}
 
     def decode(self, ids: Iterable[int]) -> str:
