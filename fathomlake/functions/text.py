@@ -20,6 +20,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def replaced(text: Column, pattern: str, to: Callable[[Column, Column, Column], Column]) -> Column:
+    """A text with to(match, text between the match before and it, text up to the next match) in place of each match of a pattern."""
+
+    def rebuilt(between: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+        parts = F.transform(found, lambda x, i: F.concat(to(x, F.get(between, i), F.get(between, i + 1)), F.get(between, i + 1)))
+        return F.concat(F.get(between, F.lit(0)), F.array_join(parts, ""))
+
+    return F.when(text.rlike(pattern), let(F.split(text, pattern), rebuilt)).otherwise(text)
+
+
 def host_of(url: Column) -> Column:
     """The host in lower case without a leading www.; '' where there is none."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
