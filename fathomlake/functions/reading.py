@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .money import round_half_up
-from .text import answer_key, collapsed, fnv1a
+from .text import answer_key, collapsed, fnv1a, let
 
 # The forms of identifiers, the words of titles and names, months and units.
 IDENTIFIER = r"(?i)\b10\.\d{4,9}/[-._;()/:a-z0-9]+|\barxiv:\s?\d{4}\.\d{4,5}(?:v\d+)?|\barxiv\.org/(?:abs|pdf)/\d{4}\.\d{4,5}(?:v\d+)?|\bhttps?://[^\s<>\"')\]]+"
@@ -115,25 +115,36 @@ def title_query(raw: Column) -> Column:
 
 def initials(name: Column) -> Column:
     """First letters of the first and the last word of a name, without titles in front and degrees behind."""
-    words = F.filter(F.split(F.trim(name), "\\s+"), lambda x: x.rlike("[\\p{L}\\p{N}]"))
     bare = lambda x: F.lower(F.regexp_replace(x, "[.,]", ""))
     degree = lambda x: x.rlike("^(?:[A-Za-z]\\.){2,}[A-Za-z]?\\.?,?$") | bare(x).isin(*CREDENTIALS) | x.rlike("^(DO|D\\.O)\\.?,?$")
     front = lambda x: bare(x).isin(*HONORIFICS) | degree(x)
     back = lambda x: bare(x).isin(*SUFFIXES) | degree(x)
     at = lambda kept: F.sequence(F.lit(0), F.greatest(F.size(kept) - 1, F.lit(0)))
-    after = F.array_min(F.filter(at(words), lambda i: ~F.coalesce(front(F.get(words, i)), F.lit(False))))
-    named = F.slice(words, F.coalesce(after, F.size(words) - 1) + 1, F.greatest(F.size(words), F.lit(1)))
-    until = F.array_max(F.filter(at(named), lambda i: ~F.coalesce(back(F.get(named, i)), F.lit(False))))
-    own = F.slice(named, 1, F.coalesce(until, F.lit(0)) + 1)
     first = lambda x: F.upper(F.regexp_extract(x, "([\\p{L}\\p{N}])", 1))
-    return F.when(F.size(words) == 0, "").when(F.size(own) > 1, F.concat(first(F.get(own, F.lit(0))), first(F.element_at(own, -1)))).otherwise(first(F.get(own, F.lit(0))))
+
+    def from_first(words: Column) -> Column:
+        after = F.array_min(F.filter(at(words), lambda i: ~F.coalesce(front(F.get(words, i)), F.lit(False))))
+        return F.slice(words, F.coalesce(after, F.size(words) - 1) + 1, F.greatest(F.size(words), F.lit(1)))
+
+    def to_last(named: Column) -> Column:
+        until = F.array_max(F.filter(at(named), lambda i: ~F.coalesce(back(F.get(named, i)), F.lit(False))))
+        return F.slice(named, 1, F.coalesce(until, F.lit(0)) + 1)
+
+    def letters(own: Column) -> Column:
+        return F.when(F.size(own) > 1, F.concat(first(F.get(own, F.lit(0))), first(F.element_at(own, -1)))).otherwise(first(F.get(own, F.lit(0))))
+
+    words = F.filter(F.split(F.trim(name), "\\s+"), lambda x: x.rlike("[\\p{L}\\p{N}]"))
+    return let(words, lambda ws: F.when(F.size(ws) == 0, "").otherwise(let(let(from_first(ws), to_last), letters)))
 
 
 def answer_slug(question: Column) -> Column:
     """A path for a question: its words, at most 48 characters, and a hash of its key."""
-    key = answer_key(question)
-    words = F.substring(F.regexp_replace(F.regexp_replace(key, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 48)
-    return F.concat(F.when(words == "", "answer").otherwise(words), F.lit("-"), fnv1a(key))
+
+    def slug(key: Column) -> Column:
+        words = F.substring(F.regexp_replace(F.regexp_replace(key, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 48)
+        return F.concat(F.when(words == "", "answer").otherwise(words), F.lit("-"), fnv1a(key))
+
+    return let(answer_key(question), slug)
 
 
 def head_and_tail(text: Column, cap: int) -> Column:
@@ -169,9 +180,12 @@ def file_words(url: Column) -> Column:
 
 def title_subject(title: Column) -> Column:
     """The words of a title before its first attribute ("height", "price"); all of them if it begins with one."""
-    words = F.filter(F.split(F.trim(title), "\\s+"), lambda x: x != "")
-    at = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.coalesce(F.regexp_replace(F.lower(F.get(words, i)), "[^a-z]", "").isin(*ATTRIBUTES), F.lit(False))))
-    return F.array_join(F.slice(words, F.lit(1), F.coalesce(at, F.greatest(F.size(words), F.lit(1)))), " ")
+
+    def head(words: Column) -> Column:
+        at = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.coalesce(F.regexp_replace(F.lower(F.get(words, i)), "[^a-z]", "").isin(*ATTRIBUTES), F.lit(False))))
+        return F.array_join(F.slice(words, F.lit(1), F.coalesce(at, F.greatest(F.size(words), F.lit(1)))), " ")
+
+    return let(F.filter(F.split(F.trim(title), "\\s+"), lambda x: x != ""), head)
 
 
 # Dates.

@@ -59,3 +59,8 @@ def test_counters(spark):
     assert [got[100 + i] for i in range(4)] == [False, True, False, True] and [got[200 + i] for i in range(3)] == [True, False, False]
     starts = {r.n: r.start for r in usage.spaced_starts(df.where("k = 'z'"), "k", "ts", "n", 3_000_000).collect()}
     assert starts == {200: at(0), 201: at(3), 202: at(6)}
+
+
+def test_initials_name_their_words_once(spark):
+    frame = spark.range(1).select(reading.initials(F.concat(F.lit("Dr. Ada "), F.col("id")).cast("string")).alias("x"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Dr. Ada ") == 1
