@@ -321,7 +321,7 @@ def next_searches(questions: DataFrame, evidence: DataFrame, q_id: str, question
     born = plans.where("kind = 'born'").withColumn("last_", F.element_at(key_words(F.col("a")), -1)).join(years(said), "scope").where(F.col("sentence").rlike(r"(?i)\b(?:born|birth)\b"))
     born = _first_by(born, ["q_id"], F.desc(F.contains(F.lower("sentence"), F.col("last_"))), *_PLACE)
     bound = F.regexp_replace(F.regexp_replace(cleaned(F.col("question")), BORN_IN, F.col("year").cast("string")), r"(?i)^(who|what|when|where)\s+(was|is|were|did)\s+", "")
-    of_born = born.where(~F.contains("question", F.col("year").cast("string"))).select("q_id", bound.alias("search"))
+    of_born = born.where(~F.array_contains(F.regexp_extract_all("question", F.lit(r"(?<![A-Za-z0-9])(\d{4})(?![A-Za-z0-9])"), F.lit(1)), F.col("year").cast("string"))).select("q_id", bound.alias("search"))
     opened = _first_by(plans.where("kind = 'offset'").join(dates(said), "scope").where(F.col("sentence").rlike(r"(?i)\b(?:opened|opening)\b")), ["q_id"], *_PLACE)
     when = F.date_format(F.add_months("date", F.col("n") * 12), "MMMM d, yyyy")
     place = F.regexp_extract("question", OPENING_PLACE, 1)

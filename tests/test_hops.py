@@ -68,3 +68,9 @@ def test_query_answers_what_its_texts_say(spark):
     got = steps.hop_answers(spark, "/root/testdata/sf0.001").collect()
     want = {r.q_id: r.lead for r in steps.expected(spark, "/root/testdata/sf0.001").collect()}
     assert {r.q_id: r.lead for r in got} == want and len(want) > 100
+
+
+def test_a_year_inside_a_name_is_not_the_year(spark):
+    rows = spark.createDataFrame([(1, "Who won the cup the year Ann Bell19500 was born?", "Ann Bell19500 was born in 1950."), (2, "Who won the 1950 cup the year Ann Moss was born?", "Ann Moss was born in 1950.")], "q int, question string, text string").withColumns({"s": F.col("q"), "source": F.lit(1)})
+    got = {r.q: r.search for r in hops.next_searches(rows, rows, "q", "question", "s", "source", "text").collect()}
+    assert got == {1: "Who won the cup 1950"}
