@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import host_of, path_of, url_key
+from .text import host_of, path_of, url_key, word_bounds
 
 # Known hosts by kind. A host stands for its subdomains too.
 AUTHORITY = (
@@ -84,4 +84,4 @@ def same_source(a: Column, b: Column) -> Column:
 
 def is_block_page(text: Column) -> Column:
     """A short page that opens with a refusal to robots."""
-    return (F.length(text) < 4000) & F.substring(text, 1, 800).rlike(BLOCK_PAGE)
+    return (F.length(text) < 4000) & F.substring(text, 1, 800).rlike(word_bounds(BLOCK_PAGE))

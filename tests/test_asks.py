@@ -45,3 +45,10 @@ def test_rule(spark, rule, cases):
 def test_nulls_and_empty_texts(spark):
     for rule, _ in CASES:
         column(spark, [None, "", " "], rule)
+
+
+def test_words_end_at_letters_beyond_ascii(spark):
+    """As in SQL, "best" stands for itself next to a letter such as ä."""
+    assert column(spark, ["bestä shoes", "übest shoes", "bests"], asks.layout) == ["ranked", "ranked", "answer"]
+    assert column(spark, ["bestä", "bests"], asks.category) == ["shopping", "other"]
+    assert column(spark, ["bestö phone", "bests phone"], asks.is_shopping) == [True, False]
