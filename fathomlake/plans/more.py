@@ -139,7 +139,7 @@ def compare_pivot(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT conv_id, bool_or(regexp_matches(lower(text), '\\b(no|not|never)\\b')) AS denial, bool_or(regexp_matches(text, '\\d')) AS figure, bool_and(length(text) < 400) AS brief FROM conversations GROUP BY conv_id""")
 def verdict_flags(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower("text")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(low.rlike("\\b(no|not|never)\\b")).alias("denial"), F.bool_or(F.col("text").rlike("\\d")).alias("figure"), F.bool_and(F.length("text") < 400).alias("brief"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(low.rlike(text.word_bounds("\\b(no|not|never)\\b"))).alias("denial"), F.bool_or(F.col("text").rlike("\\d")).alias("figure"), F.bool_and(F.length("text") < 400).alias("brief"))
 
 
 @query("SELECT conv_id, sha256(string_agg(role || ':' || sha256(text), '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
