@@ -129,6 +129,16 @@ def test_completions_of_short_and_long_prefixes(spark):
     assert sorted(got) == sorted([("g", "green tea", 0), ("g", "gr", 0), ("g", "tea green", 1), ("green", "green tea", 0), ("green", "tea green", 1), ("green", "evergreen", 2), ("green t", "green tea", 0)])
 
 
+def test_completions_beyond_few_prefixes(spark, monkeypatch):
+    """A few prefixes are compared with every name, without a join of runs; more give the same."""
+    names = spark.createDataFrame([(i, f"green tea {i} grand") for i in range(40)], "id int, name string")
+    prefixes = spark.createDataFrame([("g",), ("green t",), ("gra",), ("1",), ("zz",)], "prefix string")
+    few = ranking.prefix_tiers(names, prefixes, "name", "id", 3)
+    assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ranking, "FEW_PREFIXES", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, ranking.prefix_tiers(names, prefixes, "name", "id", 3).collect()))
+
+
 def test_languages(spark):
     cjk, romance = (column(spark, ["漢字 ab", "les gens que nous avons dans la ville pour une fois avec eux", "the cat and the dog"], lambda v, k=k: passages.language_flags(v)[k]) for k in (0, 1))
     assert cjk == [0.5, 0.0, 0.0] and romance == [False, True, False]
@@ -165,6 +175,14 @@ def test_merged_records(spark):
     assert got == [(1, 1, "d1", "p1", "u", 9), (1, 2, None, "p1", "t", 5), (2, 1, "d1", None, "w", None), (2, 2, None, None, "x", 2), (2, 3, None, None, None, 2)]
 
 
+def test_merged_records_of_many_scopes_without_a_group_each(spark):
+    rows = spark.range(3000).selectExpr("id div 3 AS scope", "3 - id % 3 AS position", "IF(id % 3 = 1, NULL, 'd') AS doi", "IF(id % 3 < 2, 'p', NULL) AS pre", "CAST(NULL AS string) AS title", "CAST(id AS double) AS cites")
+    merged = entities.merged_records(rows, "scope", "position", ("doi", "pre"), ["title"], "cites")
+    assert "MapInArrow" in merged._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in merged.collect())
+    assert got == sorted(r for i in range(1000) for r in ((i, 1, "d", "p", None, 3.0 * i + 2), (i, 2, None, "p", None, 3.0 * i + 1)))
+
+
 def test_markdown_and_dates(spark):
     md = "# A title that is long enough to be kept in the text\n![x](y) nav\n- [See this](http://a) costs 5\n**Done.**"
     assert column(spark, [md], text.clean_markdown) == ["A title that is long enough to be kept in the text\nSee this costs 5\nDone."]
