@@ -18,17 +18,19 @@ def refusing_signals(rows: DataFrame, scope: str, row: str, shared: str, refusal
     """
     k = len(refusals)
     held = sum((F.when(F.size(c) > 0, 1 << i).otherwise(0) for i, c in enumerate(refusals)), F.lit(0))
-    out = rows.select(scope, row, shared, *refusals, held.alias("own_"), F.explode(F.sequence(F.lit(0), F.lit(2**k - 1))).alias("other_"))
+    said = rows.select(scope, row, *refusals, held.alias("own_"), F.explode(F.array_distinct(shared)).alias("word_"))
+    # The classes that a word's rows have: 2^k at most, so other classes make no rows; a word that one row has joins nothing.
+    there = said.groupBy(scope, "word_").agg(F.collect_set("own_").alias("there_"), F.count("*").alias("rows_")).where("rows_ > 1").drop("rows_")
+    out = said.hint("merge").join(there.hint("merge"), [scope, "word_"]).withColumn("other_", F.explode("there_")).drop("there_")
     out = out.withColumn("both_", F.col("own_").bitwiseAND(F.col("other_")))
     for i, c in enumerate(refusals):
         values = F.when(F.col("both_").bitwiseAND(F.lit(1 << i)) > 0, F.col(c)).otherwise(F.array(F.lit("")))
         out = out.withColumn(f"value_{i}_", F.explode(values))
     low, high = F.least("own_", "other_"), F.greatest("own_", "other_")
-    out = out.withColumn("word_", F.explode(shared))
     signal = F.to_json(F.struct("word_", low.alias("low"), high.alias("high"), *(f"value_{i}_" for i in range(k))))
     out = out.select(scope, row, signal.alias("signal"), (F.col("own_") == low).alias("is_low_"), (F.col("own_") == high).alias("is_high_"))
     met = out.groupBy(scope, "signal").agg(F.bool_or("is_low_").alias("a_"), F.bool_or("is_high_").alias("b_")).where("a_ AND b_").select(scope, "signal")
-    return out.select(scope, row, "signal").join(met, [scope, "signal"], "left_semi")
+    return out.select(scope, row, "signal").hint("merge").join(met.hint("merge"), [scope, "signal"], "left_semi")
 
 
 def compatible_clusters(rows: DataFrame, scope: str, row: str, shared: str, refusals: list[str]) -> DataFrame:
@@ -43,7 +45,7 @@ def compatible_clusters(rows: DataFrame, scope: str, row: str, shared: str, refu
     signals = refusing_signals(kinds, scope, "first_", shared, refusals)
     alone = kinds.select(scope, "first_", F.lit(None).cast("string").alias("signal"))
     found = entities.clusters(signals.unionByName(alone), scope, "first_", "signal")
-    return own.join(kinds, keys).select(scope, row, "first_").join(found, [scope, "first_"]).select(scope, row, "cluster")
+    return own.hint("merge").join(kinds, keys).select(scope, row, "first_").hint("merge").join(found, [scope, "first_"]).select(scope, row, "cluster")
 
 
 def attach_weak(strong: DataFrame, weak: DataFrame, scope: str, row: str) -> DataFrame:
@@ -52,7 +54,7 @@ def attach_weak(strong: DataFrame, weak: DataFrame, scope: str, row: str) -> Dat
     top = sizes.groupBy(scope).agg(F.min_by("cluster", F.struct(-F.col("n_"), "first_")).alias("top_"))
     first = weak.groupBy(scope).agg(F.min(row).alias("own_"))
     home = first.join(top, scope, "left").select(scope, F.coalesce("top_", "own_").alias("cluster"))
-    return strong.select(scope, row, "cluster").unionByName(weak.select(scope, row).join(home, scope).select(scope, row, "cluster"))
+    return strong.select(scope, row, "cluster").unionByName(weak.select(scope, row).hint("merge").join(home, scope).select(scope, row, "cluster"))
 
 
 def merge_qualified(members: DataFrame, scope: str, row: str, words: str, qualifying: str) -> DataFrame:

@@ -141,3 +141,11 @@ def test_whole_quotes(spark):
     df = spark.createDataFrame([(k, v[0]) for k, v in answers.items()], "a int, body string")
     got = quotations.whole_quotes(df, spark.createDataFrame(sources, "s int, t string"), "a", "body", "s", "t")
     assert {r.a: r.text for r in got.collect()} == {k: v[1] for k, v in answers.items()}
+
+
+def test_signals_of_persons_are_not_broadcast(spark):
+    """They grow with the rows, and only classes that a word's rows have make any."""
+    rows = spark.createDataFrame([(1, i, ["w"], ["r"] if i % 2 else [], [], []) for i in range(4)] + [(2, 9, ["w", "v"], [], [], [])], SCHEMA)
+    signals = people.refusing_signals(rows, "scope", "row", "sig", ["roles", "places", "parens"])
+    assert "Broadcast" not in signals._jdf.queryExecution().executedPlan().toString()
+    assert sorted({r.row for r in signals.collect()}) == [0, 1, 2, 3] and signals.count() == 8
