@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +66,26 @@ def _walk(nodes: list) -> Iterator[tuple[str, int, str, str | None, str]]:
             stack += [(n, f"{path}.{step}{i}", slot) for i, n in reversed(list(enumerate(held)))]
 
 
+#: Bytes of bodies whose cards are parsed together, one card at least: what Python holds beside a batch goes by this, not by the batch.
+PART_BYTES = 1 << 20
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of cards in slices of at most PART_BYTES of bodies (its second column)."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        if held and held + (size or 0) > PART_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size or 0
+    yield batch.slice(start)
+
+
 def _each(cards: DataFrame, run: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield from run(batch)
+            for part in _parts(batch):
+                yield from run(part)
 
     return cards.mapInArrow(batches, schema)
 

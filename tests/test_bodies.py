@@ -232,3 +232,14 @@ def test_sanitized_threads_lose_unknown_nodes_only(spark):
     given = {r.conv_id: json.loads(r.body) for r in plans.cards_of_threads(spark, SF).collect()}
     for r in plans.card_sanitized(spark, SF).collect():
         assert "widget" not in r.body and len(json.loads(r.body)) == sum(n["type"] != "widget" for n in given[r.conv_id][:12])
+
+
+def test_cards_are_parsed_in_slices_of_bounded_size(monkeypatch):
+    """A batch is cut at PART_BYTES of bodies, a larger card goes alone, and no row is lost."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bodies, "PART_BYTES", 10)
+    said = ["a" * 4, "b" * 6, None, "c" * 30, "d", "", "e" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(said))]), pa.array(said)], names=["card", "body"])
+    parts = [p.column(1).to_pylist() for p in bodies._parts(batch)]
+    assert parts == [["a" * 4, "b" * 6, None], ["c" * 30], ["d", ""], ["e" * 10]] and list(bodies._parts(batch.slice(0, 0)))[0].num_rows == 0
