@@ -188,3 +188,11 @@ def test_markdown_and_dates(spark):
     assert column(spark, [md], text.clean_markdown) == ["A title that is long enough to be kept in the text\nSee this costs 5\nDone."]
     day = lambda v: money.parsed_date(v, F.lit("2024-03-31").cast("date"))
     assert column(spark, ["1 month ago", "2 Days ago", "Oct 7, 2026", "2024-02-03T10:00Z", "5 hours ago", "soon", None], day) == [datetime.date(2024, 2, 29), datetime.date(2024, 3, 29), datetime.date(2026, 10, 7), datetime.date(2024, 2, 3), datetime.date(2024, 3, 31), None, None]
+
+
+def test_a_denial_ends_at_a_letter_beyond_ascii(spark, tmp_path):
+    from fathomlake.plans import more
+
+    rows = [(1, 0, "user", "ar. Noñasc"), (2, 0, "user", "nothing"), (3, 0, "user", "he said no")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.conv_id: r.denial for r in more.verdict_flags(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True}
