@@ -10,10 +10,13 @@ from fathomlake.functions.text import host_of, url_key
 
 
 def price_for_basis(prices: DataFrame, plan: str, billing: str, position: str, amount: str, source: str) -> DataFrame:
-    """One row a plan and basis of billing: the first with an amount and a source, else the first; partial aggregation precedes the shuffle."""
+    """One row a plan and basis of billing: the first with an amount and a source, else the first; partial aggregation precedes the shuffle.
+
+    Rows at one position are taken by their other columns, so the choice doesn't depend on the order they come in.
+    """
     grounded = F.col(amount).isNotNull() & (F.coalesce(source, F.lit("")) != "")
     row = F.struct(*(F.col(c) for c in prices.columns if c not in (plan, billing)))
-    best = prices.groupBy(plan, billing).agg(F.min_by(row, F.struct((~grounded).alias("loose"), F.col(position).alias("position"))).alias("best_"))
+    best = prices.groupBy(plan, billing).agg(F.min_by(row, F.struct((~grounded).alias("loose"), F.col(position).alias("position"), row.alias("row"))).alias("best_"))
     return best.select(plan, billing, "best_.*")
 
 

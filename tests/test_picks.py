@@ -44,6 +44,14 @@ def test_price_rows(spark):
     got = {(r.plan, r.billing): r["best_"] for r in plans_prices.price_for_basis(rows, "plan", "billing", "position", "amount", "source").collect()}
     assert got == {(1, "annual"): "b", (1, "monthly"): "d", (None, "annual"): "e"}
     assert plans_prices.price_for_basis(rows.limit(0), "plan", "billing", "position", "amount", "source").count() == 0
+
+
+def test_price_for_basis_of_tied_rows(spark):
+    tied = [(1, "year", 5, 20.0, "b"), (1, "year", 5, 10.0, "c"), (1, "year", 5, 10.0, "a"), (1, "year", 4, None, "a")]
+    for rows in (tied, tied[::-1], tied[1:] + tied[:1]):
+        df = spark.createDataFrame(rows, "plan int, billing string, position int, amount double, source string").coalesce(1)
+        (got,) = plans_prices.price_for_basis(df, "plan", "billing", "position", "amount", "source").collect()
+        assert (got["amount"], got["source"]) == (10.0, "a")
     asked = spark.createDataFrame([(1, 1299.5, "monthly", "https://a.org/x"), (1, 20.0, "monthly", "https://a.org/y"), (1, None, "monthly", "https://a.org/x"), (2, 1299.5, "monthly", "https://a.org/x"), (1, 5.0, "monthly", None)], "scope int, amount double, billing string, source string")
     pages = spark.createDataFrame([(1, 2, "http://www.a.org/x/?q=1", "$9 billed monthly"), (1, 1, "https://a.org/x", "$1,299.5 billed annually"), (1, 1, "https://a.org/y", "$20 or so"), (1, 1, None, "$5 a year")], "scope int, position int, url string, text string")
     found = plans_prices.billing_from_sources(asked, pages, "scope", "position", "amount", "billing", "source", "url", "text").collect()
