@@ -9,8 +9,9 @@ step below 2 n that has the least random rank in an order of its own, so texts o
 the same steps. The likeness of two fingerprints is the share of slots that agree, an estimate of 1 minus the Hamming
 distance of the embeddings (unrelated texts agree by chance in about a tenth).
 
-Search. near_copies() samples fingerprints into bands of slots; documents that agree in a whole band are candidates and
-are verified on all slots. Equal fingerprints are one class; only classes meet.
+Search. near_copies() cuts fingerprints into blocks of slots and these into groups; documents that agree in two blocks of
+a group are candidates and are verified on all slots. There are so few groups that near copies, which differ in few
+slots, agree in two blocks of one of them: no link is missed. Equal fingerprints are one class; only classes meet.
 
 Neighbours. edited() needs each document's follower by doc_id: documents are dealt to buckets by quantiles of doc_id
 and sorted there, and the first document of each bucket is also sent to the bucket before it. One shuffle of the texts,
@@ -43,8 +44,8 @@ SEED = 20240229
 STEPS = 128
 BLOCK = 12_000_000
 BUCKET_ROWS, MAX_BUCKETS = 4_000, 40_000
-#: Least likeness of near copies; bands of ten slots, of which copies at that likeness share one in 93 of 100 cases.
-LEAST, BANDS, WIDTH = 0.8, 24, 10
+#: Least likeness of near copies, and the blocks that a fingerprint is cut into, more where a lower likeness needs them.
+LEAST, BANDS = 0.8, 64
 #: Up to so many classes of several documents (some 160 bytes each) are broadcast to the rows; beyond, they are joined by shuffle.
 BROADCAST_CLASSES = 200_000
 
@@ -260,8 +261,38 @@ def likeness_of(a: str, b: str) -> Column:
 
 #: A band in which more pairs than this would meet in the second round is split.
 SPLIT_PAIRS = 10_000
-#: Keys that each row of a split band gets, and the largest share of a band's rows that may agree in a slot these are read from.
-SPLIT_KEYS, SPLIT_SHARE = 32, 0.5
+#: About the most keys that a row of a split band gets, and the largest share of a band's rows that may agree in a slot that tells them apart.
+SPLIT_KEYS, SPLIT_SHARE = 160, 0.5
+
+
+def differing(least: float) -> int:
+    """The most slots in which fingerprints of a likeness of `least` differ."""
+    return int((1 - least) * SLOTS + 1e-9)
+
+
+def block_pairs(blocks: int, differ: int) -> list[tuple[int, int]]:
+    """Pairs of blocks of which any two fingerprints that differ in at most `differ` blocks agree in one.
+
+    At least blocks - differ agree; in one group fewer than that two are in one group.
+    """
+    groups = blocks - differ - 1
+    return [(i, j) for k in range(groups) for i in range(k, blocks, groups) for j in range(i + groups, blocks, groups)]
+
+
+def split_slots(slots: list[int], telling: int, rows: int, differ: int) -> list[list[int]]:
+    """Lists of slots of which fingerprints that differ in at most `differ` slots agree in one; `slots`, the most telling ones first.
+
+    Some four slots for each thousandfold of rows, so that unrelated rows meet a constant number of times: as many
+    groups of single slots as can't all differ where these are wide enough, else pairs of blocks.
+    """
+    used = slots[: max(telling, 2 * (differ + 1))]
+    width, single = max(2, math.ceil(math.log(max(rows, 2)) / math.log(6.0))), differ + 1
+    if len(used) < differ + 2 or len(used) // single >= width:
+        return [used[i::single] for i in range(min(single, len(used)))]
+    blocks = min(len(used), max(differ + 2, 2 * len(used) // width))
+    while blocks < len(used) and len(block_pairs(blocks, differ)) > SPLIT_KEYS:
+        blocks += 1
+    return [used[i::blocks] + used[j::blocks] for i, j in block_pairs(blocks, differ)]
 
 
 def digits() -> Column:
@@ -270,43 +301,47 @@ def digits() -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.call_function("shiftrightunsigned", F.get(longs, F.floor(s / DIGITS).cast("int")), (F.lit(60) - F.lit(4) * (s % DIGITS)).cast("int")).bitwiseAND(F.lit(15)).cast("int"))
 
 
-def split_bands(rows: DataFrame) -> DataFrame:
-    """`rows` (key, id, f0, f1, ...) of bands with many documents, under `split` keys instead, SPLIT_KEYS for each.
+def split_bands(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """`rows` (key, id, f0, f1, ...) of bands with many documents, under `split` keys instead; any that are linked share one.
 
     What a band's documents have in common beyond the band, such as a common head, tells none apart. So keys are read
-    from the slots in which no digit is that of most rows, some four for each thousandfold of the band's rows: unrelated
-    rows meet a constant number of times, and copies, which agree in nearly all slots, under some of their keys. A band
-    without such slots holds copies, which its hub has found.
+    from the slots in which no digit is that of most rows, as split_slots() deals them.
     """
     at = rows.select("key", F.posexplode(digits()).alias("slot", "digit")).groupBy("key", "slot", "digit").count()
-    slots = at.groupBy("key", "slot").agg((F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("m")).where(F.col("share") <= SPLIT_SHARE)
-    telling = slots.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("share", "slot"))).alias("slots"), F.max("m").alias("m"))
-    telling = telling.select("key", F.transform("slots", lambda x: x["slot"]).alias("slots"), F.greatest(F.lit(2), F.ceil(F.log(F.col("m")) / F.log(F.lit(6.0)))).cast("int").alias("width"))
-    drawn = lambda r, j: F.get("slots", F.pmod(F.xxhash64("key", r, j), F.size("slots")).cast("int"))
-    own = lambda r: F.xxhash64("key", r, F.transform(F.sequence(F.lit(1), F.col("width")), lambda j: F.get("digits_", drawn(r, j))))
-    keyed = rows.join(telling, "key").withColumn("digits_", digits())
-    return keyed.withColumn("split", F.explode(F.transform(F.sequence(F.lit(1), F.lit(SPLIT_KEYS)), own))).drop("slots", "width", "digits_")
+    slots = at.groupBy("key", "slot").agg((F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("m"))
+    ordered = slots.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("share", "slot"))).alias("slots"), F.count_if(F.col("share") <= SPLIT_SHARE).alias("telling"), F.max("m").alias("m"))
+
+    @F.udf("array<array<int>>")
+    def dealt(slots: list[int], telling: int, m: int) -> list[list[int]]:
+        return split_slots(slots, telling, m, differing(least))
+
+    lists = ordered.select("key", dealt(F.transform("slots", lambda x: x["slot"]), "telling", "m").alias("lists_"))
+    own = lambda l, i: F.xxhash64("key", i, F.transform(l, lambda s: F.get("digits_", s)))  # noqa: E731, E741
+    keyed = rows.join(lists, "key").withColumn("digits_", digits())
+    return keyed.withColumn("split", F.explode(F.transform("lists_", own))).drop("lists_", "digits_")
 
 
 def classed(prints: DataFrame, least: float, bands: int, split_pairs: int = SPLIT_PAIRS) -> DataFrame:
     """(print, component_id) of those distinct fingerprints of `prints` (doc_id, print) that several documents have or that are linked.
 
-    Each class is compared with the smallest id of each of its bands; then, under each band, those of different
-    components are compared with one another, in bands with many of them under keys that split these. Pairs are verified on all slots before they leave the join, so that only
-    links do, however many documents a band has.
+    A band is what has two blocks of a group in common. Each class is compared with the smallest id of each of its bands;
+    then, under each band, those of different components are compared with one another, in bands with many of them under
+    keys that split these. Pairs are verified on all slots before they leave the join, so that only links do, however many
+    documents a band has.
     """
     classes = saved(prints.groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "fingerprint-classes")
-    shown = F.hex("print")
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring(shown, 1 + i * WIDTH, WIDTH)) for i in range(bands)))
+    size, differ = SLOTS // 2, differing(least)  # a block is of whole bytes, two slots each
+    blocks = min(size, max(bands, differ + 12))
+    block = lambda i: F.substring("print", 1 + i * size // blocks, (i + 1) * size // blocks - i * size // blocks)
+    keys = F.array(*(F.xxhash64(F.lit(k), block(i), block(j)) for k, (i, j) in enumerate(block_pairs(blocks, differ))))
     rows = classes.select("id", F.explode(keys).alias("key")).repartition("key")
     shared = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").drop("top")
     rows = saved(rows.join(shared, "key"), "bands")
-    told = classes.join(rows.select("id").distinct(), "id", "left_semi").select("id", *as_longs(F.hex("print")))
-    rows = saved(rows.join(told, "id"), "told-bands")
+    told = classes.select("id", *as_longs(F.hex("print")))
 
-    a, b = rows.where("id = hub").alias("a"), rows.where("id > hub").alias("b")
     near = likeness_of("a", "b") >= least
-    found = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("hub"), F.col("b.id").alias("id")).distinct()
+    met_hub = rows.where("id > hub").select("hub", "id").distinct().alias("m")  # prints are joined to pairs, not to rows of bands, which are more
+    found = met_hub.join(told.alias("a"), F.col("a.id") == F.col("m.hub")).join(told.alias("b"), F.col("b.id") == F.col("m.id")).where(near).select("m.hub", "m.id")
     # A document's first hub stands for it: its other hubs are linked with that one, which is the same component in fewer edges.
     first = F.min("hub").over(Window.partitionBy("id"))
     links = found.select(first.alias("a"), F.when(F.col("hub") == first, F.col("id")).otherwise(F.col("hub")).alias("b")).distinct()
@@ -314,7 +349,8 @@ def classed(prints: DataFrame, least: float, bands: int, split_pairs: int = SPLI
     placed = rows.drop("hub").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").count()
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    mixed = saved(placed.join(main, "key"), "mixed-bands")
+    mixed = saved(placed.join(main, "key"), "mixed-keys")
+    mixed = saved(mixed.join(told.join(mixed.select("id").distinct(), "id", "left_semi"), "id"), "mixed-bands")
     load = mixed.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("component") != F.col("main")).alias("apart_"))
     hot = saved(load.where(F.col("m") * F.col("apart_") > split_pairs).select("key"), "hot-bands")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
@@ -325,7 +361,7 @@ def classed(prints: DataFrame, least: float, bands: int, split_pairs: int = SPLI
 
     found = met(mixed.join(hot, "key", "left_anti"), "key")
     if not hot.isEmpty():
-        found = found.unionByName(met(saved(split_bands(mixed.join(hot, "key", "left_semi")), "split-bands"), "split"))
+        found = found.unionByName(met(saved(split_bands(mixed.join(hot, "key", "left_semi"), least), "split-bands"), "split"))
     # One link of a document with each component is enough: what is in it hangs together already.
     more = found.groupBy("a", "with").agg(F.min("b").alias("b")).select("a", "b")
     groups = components(links.union(more)).withColumnRenamed("component", "component_id")
@@ -344,7 +380,7 @@ def _with_components(rows: DataFrame, least: float, bands: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, least: float = LEAST, bands: int = BANDS) -> DataFrame:
-    """doc_id, component_id: documents joined by chains of likeness of at least `least`, found by banding.
+    """doc_id, component_id: documents joined by chains of likeness of at least `least`.
 
     Rows without doc_id can't be named and are left out.
     """
@@ -352,5 +388,5 @@ def near_copies(docs: DataFrame, least: float = LEAST, bands: int = BANDS) -> Da
 
 
 def edited_and_grouped(docs: DataFrame, least: float = LEAST, bands: int = BANDS) -> DataFrame:
-    """The columns of edited() and component_id: the smallest doc_id that chains of near copies, by banding, lead to."""
+    """The columns of edited() and component_id: the smallest doc_id that chains of near copies lead to."""
     return _with_components(saved(edited(docs), "edited"), least, bands)

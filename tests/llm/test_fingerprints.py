@@ -112,6 +112,35 @@ def test_bands_find_what_brute_force_finds(spark):
     assert f.edited_and_grouped(docs.limit(0)).count() == 0
 
 
+def test_no_link_at_the_least_likeness_is_left_out(spark):
+    """Fingerprints that differ in as many slots as links may, anywhere or one in each stretch of five, whole and in split bands."""
+    rng = random.Random(16)
+    prints = []
+    for k in range(60):
+        a = [rng.choice("0123456789abcdef") for _ in range(f.SLOTS)]
+        at = rng.sample(range(f.SLOTS), 51) if k % 2 else [i * 5 + rng.randrange(5) for i in range(51)]
+        b = ["0123456789abcdef"[(int(c, 16) + 1) % 16] if i in at else c for i, c in enumerate(a)]
+        prints += ["".join(a), "".join(b)]
+    rows = spark.createDataFrame([(i, bytearray.fromhex(p)) for i, p in enumerate(prints)], "doc_id long, print binary")
+    want = {(bytes.fromhex(p), i // 2 * 2) for i, p in enumerate(prints)}
+    for n in (10**9, 0):
+        assert {(bytes(r.print), r.component_id) for r in f.classed(rows, f.LEAST, f.BANDS, n).collect()} == want
+    longs = rows.select(F.col("doc_id").alias("id"), *f.as_longs(F.hex("print")), F.lit(1).alias("key"))
+    split = f.split_bands(longs).select("id", "split")
+    met = split.alias("a").join(split.alias("b"), F.col("a.split") == F.col("b.split")).where("a.id % 2 = 0 AND b.id = a.id + 1")
+    assert met.select("a.id").distinct().count() == 60
+
+
+def test_split_slots_leave_no_difference_room():
+    rng = random.Random(17)
+    for telling, rows in ((256, 10), (256, 3000), (256, 10**7), (180, 10**4), (60, 10**6), (0, 50)):
+        lists = f.split_slots(rng.sample(range(f.SLOTS), f.SLOTS), telling, rows, 51)
+        assert len(lists) <= 2 * f.SPLIT_KEYS
+        for _ in range(300):
+            differ = set(rng.sample(range(f.SLOTS), 51))
+            assert any(not differ.intersection(x) for x in lists)
+
+
 def test_very_long_texts(spark):
     rng = random.Random(8)
     long = prose(rng, 80_000)
