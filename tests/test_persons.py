@@ -3,12 +3,14 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
+
 from pyspark.sql import functions as F
 
 from fathomlake.functions import people as signs
-from fathomlake.operators import people, quotations
+from fathomlake.operators import entities, people, quotations
 from fathomlake.plans import persons
 
 ROWS = [
@@ -149,3 +151,12 @@ def test_signals_of_persons_are_not_broadcast(spark):
     signals = people.refusing_signals(rows, "scope", "row", "sig", ["roles", "places", "parens"])
     assert "Broadcast" not in signals._jdf.queryExecution().executedPlan().toString()
     assert sorted({r.row for r in signals.collect()}) == [0, 1, 2, 3] and signals.count() == 8
+
+
+def test_names_with_the_same_words_are_compared_once(spark):
+    """Twice 20,000 names of two sets of words, none within the other: pairs of all names would be 400 million."""
+    rows = [(1, 2 * i, "Red bolt") for i in range(20_000)] + [(1, 2 * i + 1, "nut big red") for i in range(20_000)] + [(1, -1, "red, BIG"), (1, -2, ""), (2, -3, "red")]
+    began = time.time()
+    got = entities.drop_covered(spark.createDataFrame(rows, "s int, p int, n string"), "s", "n", "p").select("p").collect()
+    assert sorted(r.p for r in got) == sorted(p for _, p, _ in rows if p != -1)
+    assert time.time() - began < 20
