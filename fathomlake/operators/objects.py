@@ -130,18 +130,22 @@ def levels(edges: DataFrame, graph: str, a: str, b: str) -> DataFrame:
     """(graph, node, level) of edges a -> b: the length of the longest path that ends in a node; null on a cycle and behind one.
 
     Repeated edges count once, an edge to itself is a cycle. Each round takes away the nodes that nothing open leads to,
-    of all graphs at once; there are as many rounds as the longest path has nodes.
+    of all graphs at once, and leaves graphs out that have none; there are as many rounds as the longest path has nodes,
+    and a round is over nodes and edges that are still open.
     """
     own = settled(edges.select(graph, F.col(a).alias("a_"), F.col(b).alias("b_")).distinct())
-    nodes = own.select(graph, F.col("a_").alias("node")).union(own.select(graph, F.col("b_"))).distinct()
-    state = settled(nodes.join(own.groupBy(graph, F.col("b_").alias("node")).agg(F.count("*").alias("in_")), [graph, "node"], "left").select(graph, "node", F.coalesce("in_", F.lit(0)).alias("in_"), F.lit(None).cast("int").alias("level")))
-    at = 0
+    ends = own.select(graph, F.col("a_").alias("node"), F.lit(0).alias("n_")).union(own.select(graph, F.col("b_"), F.lit(1)))
+    state = settled(ends.groupBy(graph, "node").agg(F.sum("n_").alias("in_")))
+    nodes, placed, at = state.select(graph, "node"), None, 0
     while True:
-        free = state.where("level IS NULL AND in_ = 0")
+        free = state.where("in_ = 0").select(graph, "node")
         if free.isEmpty():
-            return state.select(graph, "node", "level")
-        gone = own.join(free.select(graph, F.col("node").alias("a_")), [graph, "a_"]).groupBy(graph, F.col("b_").alias("node")).agg(F.count("*").alias("gone_"))
-        level = F.when(F.col("level").isNull() & (F.col("in_") == 0), at).otherwise(F.col("level"))
-        before, state = state, settled(state.join(gone, [graph, "node"], "left").select(graph, "node", (F.col("in_") - F.coalesce("gone_", F.lit(0))).alias("in_"), level.alias("level")))
-        before.unpersist()
+            return nodes.withColumn("level", F.lit(None).cast("int")) if placed is None else nodes.join(placed, [graph, "node"], "left")
+        now = free.withColumn("level", F.lit(at))
+        placed = now if placed is None else placed.union(now)
+        going = free.select(graph).distinct()
+        used = own.join(free.withColumnRenamed("node", "a_"), [graph, "a_"])
+        gone = used.groupBy(graph, F.col("b_").alias("node")).agg(F.count("*").alias("gone_"))
+        left = state.where("in_ > 0").join(going, graph, "left_semi").join(gone, [graph, "node"], "left")
+        state = settled(left.select(graph, "node", (F.col("in_") - F.coalesce("gone_", F.lit(0))).alias("in_")))
         at += 1
