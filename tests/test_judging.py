@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fathomlake.operators import fusion, gate, grounding, ranking
+from fathomlake.operators import entities, fusion, gate, grounding, ranking
+from fathomlake.plans import catalogue
 
 TERMS = {
     "Ada Lovelace notes on the engine": {"ada": 3, "lovelace": 3, "notes": 1, "engine": 1},
@@ -101,3 +102,17 @@ def test_grounding(spark):
     evidence = spark.createDataFrame([(1, t) for t in tokens] + [(2, "57")], "s int, token string")
     got = {r.line: r.backed for r in grounding.ground_lines(lines, evidence, "s", "line", "text", "token").collect()}
     assert got == dict(enumerate(LINES.values()))
+
+
+def test_lists_are_dealt_to_more_partitions_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(entities, "TASK_ROWS", 500)
+    assert catalogue.result_lists(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 10
+
+
+def test_best_citation_by_shuffle_is_that_by_broadcast(spark, monkeypatch):
+    claims = spark.createDataFrame([(1, "a", t, 3) for t in range(6)] + [(1, "b", 9, 3), (2, "a", 0, 3)], "scope int, claim string, token int, preferred int")
+    evidence = spark.createDataFrame([(1, s, t) for s in (2, 3, 4) for t in range(4)] + [(1, 5, 9), (1, 6, 9), (1, 5, 9)], "scope int, source int, token int")
+    for most in (500_000, 0):
+        monkeypatch.setattr(grounding, "BROADCAST_CLAIMS", most)
+        got = grounding.best_citation(claims, evidence, "scope", "claim", "source", "token", "preferred").collect()
+        assert sorted(map(tuple, got)) == [(1, "a", 3, 4), (1, "b", 5, 1)]
