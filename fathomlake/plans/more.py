@@ -64,8 +64,8 @@ def language_share(spark: SparkSession, d: str) -> DataFrame:
 SELECT list_id, item, engines, CAST(row_number() OVER (PARTITION BY list_id ORDER BY first_at, item) AS INTEGER) AS position FROM f""")
 def merge_lists_engines(spark: SparkSession, d: str) -> DataFrame:
     hits = result_lists(spark, d)
-    engines = hits.groupBy("list_id", "item").agg(F.array_join(F.array_sort(F.collect_set(F.col("engine").cast("string"))), ",").alias("engines"))
-    return fusion.interleave(hits, "list_id", "engine", "rank", "item").join(engines, ["list_id", "item"]).select("list_id", "item", "engines", "position")
+    engines = F.array_join(F.array_sort(F.collect_set(F.col("engine").cast("string"))), ",").alias("engines")
+    return fusion.interleave(hits, "list_id", "engine", "rank", "item", (engines,)).select("list_id", "item", "engines", "position")
 
 
 @query("""WITH p(engine, price) AS (VALUES (0, 0.001::DOUBLE), (1, 0.005::DOUBLE), (2, 0.0025::DOUBLE)), c AS (SELECT l_orderkey % 100 AS key, l_suppkey % 5 AS engine, count(*) AS n FROM lineitem GROUP BY 1, 2)
