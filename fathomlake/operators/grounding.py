@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomlake.functions.text import let
+from fathomlake.operators.entities import spread
+
 
 def unsupported(claims: DataFrame, evidence: DataFrame, scope: str, token: str) -> DataFrame:
     """Claim tokens that no evidence of the same scope has."""
@@ -26,13 +29,18 @@ def sum_backed(totals: DataFrame, parts: DataFrame, scope: str, total: str, part
 
 def best_citation(claims: DataFrame, evidence: DataFrame, scope: str, claim: str, source: str, token: str, preferred: str) -> DataFrame:
     """Per claim the source of its scope with the most of its tokens: the preferred one on ties, else the lowest number."""
-    shared = claims.select(scope, claim, token, preferred).distinct().join(evidence.select(scope, source, token).distinct(), [scope, token])
+    asked = claims.select(scope, claim, token, preferred).distinct()
+    if asked.limit(BROADCAST_CLAIMS + 1).count() <= BROADCAST_CLAIMS:
+        asked = F.broadcast(asked)
+    shared = spread(evidence.select(scope, source, token), scope, source).distinct().join(asked, [scope, token])
     counts = shared.groupBy(scope, claim, preferred, source).agg(F.count("*").alias("n_shared"))
-    order = [F.desc("n_shared"), F.when(F.col(source) == F.col(preferred), 0).otherwise(1), source]
-    w = Window.partitionBy(scope, claim).orderBy(*order)
-    return counts.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").select(scope, claim, source, "n_shared")
+    order = F.struct((-F.col("n_shared")).alias("n"), F.when(F.col(source) == F.col(preferred), 0).otherwise(1).alias("other"), F.col(source).alias("source"))
+    best = counts.groupBy(scope, claim).agg(F.min(order).alias("b_"))
+    return best.select(scope, claim, F.col("b_.source").alias(source), (-F.col("b_.n")).alias("n_shared"))
 
 
+#: Up to so many tokens of claims are broadcast to the evidence; beyond, they meet by shuffle.
+BROADCAST_CLAIMS = 500_000
 #: Up to so many runs of quotations are broadcast to the texts; beyond, runs are joined by shuffle.
 BROADCAST_RUNS = 500_000
 
@@ -118,13 +126,13 @@ def ground_lines(lines: DataFrame, evidence: DataFrame, scope: str, line: str, t
     stated = F.col("known_").isNotNull() | F.col("known_scaled_").isNotNull()
     grouped = rows.groupBy(scope, line).agg(F.first("text_").alias("text_"), F.collect_list(F.struct("token_", "value_", stated.alias("stated"))).alias("t_"))
     own = F.array_distinct(F.transform(F.filter("t_", lambda t: t["stated"] & (t["value_"] > 0)), lambda t: t["value_"]))
-    grouped = grouped.withColumn("own_", own)
-    ratio = lambda t: F.regexp_like(F.replace("text_", F.lit(","), F.lit("")), F.concat(F.lit("(?i)(?<![\\d.])"), F.replace(t["token_"], F.lit("."), F.lit("\\.")), F.lit("\\s*(?:times|x|×)")))
+    flat = F.replace("text_", F.lit(","), F.lit(""))
+    ratio = lambda t: F.regexp_like(flat, F.concat(F.lit("(?i)(?<![\\d.])"), F.replace(t["token_"], F.lit("."), F.lit("\\.")), F.lit("\\s*(?:times|x|×)")))
     places = lambda t: F.length(F.regexp_extract(t["token_"], "\\.(\\d+)$", 1))
     may = lambda t: (places(t) > 0) | (t["value_"] >= LEAST_DERIVED) | ratio(t)
-    worked_out = F.filter("t_", lambda t: ~t["stated"] & (t["value_"] > FREE_NUMBER) & may(t) & derived(t["value_"], places(t), F.col("own_")))
     left = F.filter("t_", lambda t: ~t["stated"] & (t["value_"] > FREE_NUMBER))
-    out = grouped.select(scope, line, F.size("t_").alias("n_tokens"), F.size(F.filter("t_", lambda t: t["stated"])).alias("n_stated"), F.size(worked_out).alias("n_derived"), F.size(left).alias("left_"))
-    out = out.withColumn("backed", F.col("left_") == F.col("n_derived")).drop("left_")
+    worked_out = let(own, lambda own: F.filter(left, lambda t: may(t) & derived(t["value_"], places(t), own)))
+    counts = let(F.size(worked_out), lambda n: F.struct(n.alias("n_derived"), (F.size(left) == n).alias("backed")))
+    out = grouped.select(scope, line, F.size("t_").alias("n_tokens"), F.size(F.filter("t_", lambda t: t["stated"])).alias("n_stated"), F.inline(F.array(counts)))
     plain = lines.select(scope, line).join(out, [scope, line], "left")
     return plain.select(scope, line, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "n_stated", "n_derived")), F.coalesce("backed", F.lit(True)).alias("backed"))
