@@ -85,6 +85,7 @@ def leaders(
     that `keys` gives: numbers, or the rarest word of the shorter name, never all pairs of a scope. What leads is settled
     in rounds, for all scopes at once: a name leads once all earlier names that it equals are known to follow, and
     follows once one of them leads; so a round settles at least the first open name of each scope, and mostly nearly all.
+    Both sides of each join grow with the rows, so none is broadcast.
     """
     rows = names.select(scope, position, F.array_sort(name_parts(clean_name(F.col(name)))).alias("parts_"))
     rows = rows.withColumn("alone_", F.when(~same(F.col("parts_"), F.col("parts_")), F.col(position)))
@@ -92,24 +93,24 @@ def leaders(
     every, one, asked = map(F.array_distinct, keys(F.col("parts_")))
     posted = kinds.select(scope, F.col("p_").alias("q_"), F.explode(asked).alias("token_"))
     counts = posted.groupBy(scope, "token_").agg(F.count("*").alias("n_"))
-    rarest = kinds.select(scope, "p_", F.explode(one).alias("token_")).join(counts, [scope, "token_"]).groupBy(scope, "p_").agg(F.min(F.struct("n_", "token_"))["token_"].alias("token_"))
+    rarest = kinds.select(scope, "p_", F.explode(one).alias("token_")).join(counts.hint("merge"), [scope, "token_"]).groupBy(scope, "p_").agg(F.min(F.struct("n_", "token_"))["token_"].alias("token_"))
     asking = kinds.select(scope, "p_", F.explode(every).alias("token_")).unionByName(rarest)
-    met = asking.join(posted, [scope, "token_"]).where("p_ <> q_").select(scope, F.least("p_", "q_").alias("a_"), F.greatest("p_", "q_").alias("b_"))
+    met = asking.hint("merge").join(posted, [scope, "token_"]).where("p_ <> q_").select(scope, F.least("p_", "q_").alias("a_"), F.greatest("p_", "q_").alias("b_"))
     pairs = met.distinct()
     a = kinds.select(scope, F.col("p_").alias("a_"), F.col("parts_").alias("pa_"))
     b = kinds.select(scope, F.col("p_").alias("b_"), F.col("parts_").alias("pb_"))
-    edges = settled(pairs.join(a, [scope, "a_"]).join(b, [scope, "b_"]).where(same(F.col("pa_"), F.col("pb_"))).select(scope, "a_", "b_"))
+    edges = settled(pairs.hint("merge").join(a, [scope, "a_"]).join(b.hint("merge"), [scope, "b_"]).where(same(F.col("pa_"), F.col("pb_"))).select(scope, "a_", "b_"))
     state = settled(kinds.select(scope, "p_", F.lit(None).cast("boolean").alias("leads_")))
     while not state.where("leads_ IS NULL").isEmpty():
-        earlier = edges.join(state.select(scope, F.col("p_").alias("a_"), "leads_"), [scope, "a_"]).groupBy(scope, F.col("b_").alias("p_"))
+        earlier = edges.hint("merge").join(state.select(scope, F.col("p_").alias("a_"), "leads_"), [scope, "a_"]).groupBy(scope, F.col("b_").alias("p_"))
         seen = earlier.agg(F.bool_or(F.coalesce("leads_", F.lit(False))).alias("some_leads_"), F.bool_or(F.col("leads_").isNull()).alias("some_open_"))
         now = F.when(F.col("leads_").isNotNull(), F.col("leads_")).when(F.col("some_leads_"), False).when(~F.coalesce("some_open_", F.lit(False)), True)
-        before, state = state, settled(state.join(seen, [scope, "p_"], "left").select(scope, "p_", now.alias("leads_")))
+        before, state = state, settled(state.hint("merge").join(seen, [scope, "p_"], "left").select(scope, "p_", now.alias("leads_")))
         before.unpersist()
-    first = edges.join(state.where("leads_").select(scope, F.col("p_").alias("a_")), [scope, "a_"]).groupBy(scope, F.col("b_").alias("p_")).agg(F.min("a_").alias("leader_"))
-    led = state.join(first, [scope, "p_"], "left").select(scope, "p_", F.when(F.col("leads_"), F.col("p_")).otherwise(F.col("leader_")).alias("leader"))
-    own = rows.alias("r").join(kinds.alias("k"), (F.col(f"r.{scope}") == F.col(f"k.{scope}")) & (F.col("r.parts_") == F.col("k.parts_")) & F.col("r.alone_").eqNullSafe(F.col("k.alone_")))
-    return own.select(f"r.{scope}", f"r.{position}", "k.p_").join(led, [scope, "p_"]).select(scope, position, "leader")
+    first = edges.hint("merge").join(state.where("leads_").select(scope, F.col("p_").alias("a_")), [scope, "a_"]).groupBy(scope, F.col("b_").alias("p_")).agg(F.min("a_").alias("leader_"))
+    led = state.hint("merge").join(first, [scope, "p_"], "left").select(scope, "p_", F.when(F.col("leads_"), F.col("p_")).otherwise(F.col("leader_")).alias("leader"))
+    own = rows.alias("r").join(kinds.alias("k").hint("merge"), (F.col(f"r.{scope}") == F.col(f"k.{scope}")) & (F.col("r.parts_") == F.col("k.parts_")) & F.col("r.alone_").eqNullSafe(F.col("k.alone_")))
+    return own.select(f"r.{scope}", f"r.{position}", "k.p_").join(led.hint("merge"), [scope, "p_"]).select(scope, position, "leader")
 
 
 def thread_objects(facts: DataFrame, scope: str, name: str, fact: str, position: str, most: int = 8) -> DataFrame:
@@ -117,13 +118,13 @@ def thread_objects(facts: DataFrame, scope: str, name: str, fact: str, position:
 
     An object is named by its leader; one without facts takes no part in the result, but its number.
     """
-    led = facts.join(leaders(facts, scope, name, position), [scope, position])
+    led = facts.hint("merge").join(leaders(facts, scope, name, position), [scope, position])
     said = led.withColumn("fact_", F.trim(F.regexp_replace(F.coalesce(fact, F.lit("")), r"\s+", " ")))
     named = led.where(F.col(position) == F.col("leader")).select(scope, "leader", clean_name(F.col(name)).alias("name"))
     numbered = named.withColumn("object", F.rank().over(Window.partitionBy(scope).orderBy("leader")))
     once = said.where("fact_ <> ''").groupBy(scope, "leader", "fact_").agg(F.min(position).alias("at_"))
     listed = once.groupBy(scope, "leader").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at_", "fact_"))), lambda x: x["fact_"]), 1, most).alias("facts"))
-    return numbered.join(listed, [scope, "leader"]).select(scope, F.concat(F.lit("o"), F.col("object").cast("string")).alias("object"), "name", "facts")
+    return numbered.hint("merge").join(listed, [scope, "leader"]).select(scope, F.concat(F.lit("o"), F.col("object").cast("string")).alias("object"), "name", "facts")
 
 
 def levels(edges: DataFrame, graph: str, a: str, b: str) -> DataFrame:

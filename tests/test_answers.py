@@ -234,3 +234,10 @@ def test_lead_figures(spark):
     got = {r.k: (r.figure, r.value, r.score) for r in spans.lead_figures(df, "k", "q", "t", "w").collect()}
     assert got == {1: ("$130", 130.0, 16)}
     assert {r.figure for r in plans.lead_figures(spark, SF).collect()} <= {f"${n}" for n in range(20, 29)} and plans.lead_figures(spark, SF).count() > 50
+
+
+def test_leaders_broadcast_nothing(spark):
+    """Both sides of its joins grow with the names, so none goes through the driver."""
+    rows = spark.createDataFrame([(i // 5, i, f"red bolt T{i % 3}") for i in range(20)], "s int, p int, n string")
+    for got in (objects.leaders(rows, "s", "n", "p"), objects.leaders(rows, "s", "n", "p", objects.same_product, objects.product_keys)):
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 20
