@@ -51,6 +51,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes the shuffle files of a saved table once the plan that made them is gone."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of texts that go to a Python worker at once, where the session keeps Spark's own 10,000: these can be 100 MB in each worker.
 BATCH_ROWS = 1_000
 

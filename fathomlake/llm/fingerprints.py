@@ -9,9 +9,11 @@ step below 2 n that has the least random rank in an order of its own, so texts o
 the same steps. The likeness of two fingerprints is the share of slots that agree, an estimate of 1 minus the Hamming
 distance of the embeddings (unrelated texts agree by chance in about a tenth).
 
-Search. near_copies() cuts fingerprints into blocks of slots and these into groups; documents that agree in two blocks of
-a group are candidates and are verified on all slots. There are so few groups that near copies, which differ in few
-slots, agree in two blocks of one of them: no link is missed. Equal fingerprints are one class; only classes meet.
+Search. near_copies() cuts fingerprints into blocks of slots and these into groups; documents that agree in several blocks
+of a group are candidates and are verified on all slots. There are so few groups that near copies, which differ in few
+slots, agree in as many blocks of one of them: no link is missed. The blocks of a key are as many as its number of keys
+allows, so that unrelated documents seldom meet; keys are taken in several passes, and the disk that one needs is free
+again for the next. Equal fingerprints are one class; only classes meet.
 
 Neighbours. edited() needs each document's follower by doc_id: documents are dealt to buckets by quantiles of doc_id
 and sorted there, and the first document of each bucket is also sent to the bucket before it. One shuffle of the texts,
@@ -24,15 +26,17 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, texts
+from .common import freed, saved, texts
 from .components import components
 
 SLOTS = 256
@@ -45,7 +49,9 @@ STEPS = 128
 BLOCK = 12_000_000
 BUCKET_ROWS, MAX_BUCKETS = 4_000, 40_000
 #: Least likeness of near copies, and the blocks that a fingerprint is cut into, more where a lower likeness needs them.
-LEAST, BANDS = 0.8, 64
+LEAST, BANDS = 0.8, 80
+#: The most keys of a fingerprint, and those of one pass.
+KEYS, PASS_KEYS = 300, 80
 #: Up to so many classes of several documents (some 160 bytes each) are broadcast to the rows; beyond, they are joined by shuffle.
 BROADCAST_CLASSES = 200_000
 
@@ -270,13 +276,26 @@ def differing(least: float) -> int:
     return int((1 - least) * SLOTS + 1e-9)
 
 
-def block_pairs(blocks: int, differ: int) -> list[tuple[int, int]]:
-    """Pairs of blocks of which any two fingerprints that differ in at most `differ` blocks agree in one.
+def block_sets(blocks: int, differ: int, together: int = 2) -> list[tuple[int, ...]]:
+    """Sets of `together` blocks of which any two fingerprints that differ in at most `differ` blocks agree in one.
 
-    At least blocks - differ agree; in one group fewer than that two are in one group.
+    At least blocks - differ agree; in groups so few that they can't have less than `together` of these each, one has as many.
     """
-    groups = blocks - differ - 1
-    return [(i, j) for k in range(groups) for i in range(k, blocks, groups) for j in range(i + groups, blocks, groups)]
+    groups = (blocks - differ - 1) // (together - 1)
+    return [s for k in range(groups) for s in combinations(range(k, blocks, groups), together)]
+
+
+def widest_sets(blocks: int, differ: int) -> list[tuple[int, ...]]:
+    """block_sets() of as many blocks together as give at most KEYS sets; of two where no number does."""
+
+    def number(together: int) -> int:
+        groups = (blocks - differ - 1) // (together - 1)
+        return sum(math.comb(len(range(k, blocks, groups)), together) for k in range(groups)) if groups else KEYS + 1
+
+    together = 2
+    while number(together + 1) <= KEYS:
+        together += 1
+    return block_sets(blocks, differ, together)
 
 
 def split_slots(slots: list[int], telling: int, rows: int, differ: int) -> list[list[int]]:
@@ -290,9 +309,9 @@ def split_slots(slots: list[int], telling: int, rows: int, differ: int) -> list[
     if len(used) < differ + 2 or len(used) // single >= width:
         return [used[i::single] for i in range(min(single, len(used)))]
     blocks = min(len(used), max(differ + 2, 2 * len(used) // width))
-    while blocks < len(used) and len(block_pairs(blocks, differ)) > SPLIT_KEYS:
+    while blocks < len(used) and len(block_sets(blocks, differ)) > SPLIT_KEYS:
         blocks += 1
-    return [used[i::blocks] + used[j::blocks] for i, j in block_pairs(blocks, differ)]
+    return [used[i::blocks] + used[j::blocks] for i, j in block_sets(blocks, differ)]
 
 
 def digits() -> Column:
@@ -321,27 +340,50 @@ def split_bands(rows: DataFrame, least: float = LEAST) -> DataFrame:
     return keyed.withColumn("split", F.explode(F.transform("lists_", own))).drop("lists_", "digits_")
 
 
+def band_keys(classes: DataFrame, blocks: int, sets: list[tuple[int, ...]], first: int) -> DataFrame:
+    """(id, key) of each row of `classes` (id, print) for each set of blocks: random words of the digits in its blocks, combined; `first` numbers the first set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = random_words(SLOTS * 16, SEED + 2).reshape(SLOTS, 16)
+        salts = random_words(first + len(sets), SEED + 3)[first:]
+        begins = [i * SLOTS // blocks for i in range(blocks)]
+        for batch in batches:
+            if batch.num_rows:
+                read = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+                digit = np.stack([read >> 4, read & 15], axis=2).reshape(-1, SLOTS)
+                block = np.bitwise_xor.reduceat(words[np.arange(SLOTS), digit], begins, axis=1).T.copy()
+                keys = np.stack([reduce(np.bitwise_xor, (block[i] for i in s), salt) for s, salt in zip(sets, salts)], axis=1)
+                ids = np.repeat(batch.column("id").to_numpy(), len(sets))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "key"])
+
+    return classes.select("id", "print").mapInArrow(run, "id long, key long")
+
+
 def classed(prints: DataFrame, least: float, bands: int, split_pairs: int = SPLIT_PAIRS) -> DataFrame:
     """(print, component_id) of those distinct fingerprints of `prints` (doc_id, print) that several documents have or that are linked.
 
-    A band is what has two blocks of a group in common. Each class is compared with the smallest id of each of its bands;
+    A band is what has a set of blocks in common. Each class is compared with the smallest id of each of its bands;
     then, under each band, those of different components are compared with one another, in bands with many of them under
     keys that split these. Pairs are verified on all slots before they leave the join, so that only links do, however many
     documents a band has.
     """
     classes = saved(prints.groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "fingerprint-classes")
-    size, differ = SLOTS // 2, differing(least)  # a block is of whole bytes, two slots each
-    blocks = min(size, max(bands, differ + 12))
-    block = lambda i: F.substring("print", 1 + i * size // blocks, (i + 1) * size // blocks - i * size // blocks)
-    keys = F.array(*(F.xxhash64(F.lit(k), block(i), block(j)) for k, (i, j) in enumerate(block_pairs(blocks, differ))))
-    rows = classes.select("id", F.explode(keys).alias("key")).repartition("key")
-    shared = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").drop("top")
-    rows = saved(rows.join(shared, "key"), "bands")
+    differ = differing(least)
+    blocks = min(SLOTS, max(bands, differ + 12))
+    sets = widest_sets(blocks, differ)
     told = classes.select("id", *as_longs(F.hex("print")))
-
     near = likeness_of("a", "b") >= least
-    met_hub = rows.where("id > hub").select("hub", "id").distinct().alias("m")  # prints are joined to pairs, not to rows of bands, which are more
-    found = met_hub.join(told.alias("a"), F.col("a.id") == F.col("m.hub")).join(told.alias("b"), F.col("b.id") == F.col("m.id")).where(near).select("m.hub", "m.id")
+    passes = []
+    for at in range(0, len(sets), PASS_KEYS):
+        freed(prints.sparkSession)
+        dealt = band_keys(classes, blocks, sets[at : at + PASS_KEYS], at).repartition("key")
+        shared = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").drop("top")
+        own = saved(dealt.join(shared, "key"), "bands")
+        met_hub = own.where("id > hub").select("hub", "id").distinct().alias("m")  # prints are joined to pairs, not to rows of bands, which are more
+        met_hub = met_hub.join(told.alias("a"), F.col("a.id") == F.col("m.hub")).join(told.alias("b"), F.col("b.id") == F.col("m.id"))
+        passes.append((own, saved(met_hub.where(near).select("m.hub", "m.id"), "met-hubs")))
+    rows, found = (reduce(DataFrame.union, tables) for tables in zip(*passes))
+    found = found.distinct()
     # A document's first hub stands for it: its other hubs are linked with that one, which is the same component in fewer edges.
     first = F.min("hub").over(Window.partitionBy("id"))
     links = found.select(first.alias("a"), F.when(F.col("hub") == first, F.col("id")).otherwise(F.col("hub")).alias("b")).distinct()

@@ -205,3 +205,14 @@ def test_likeness_by_number_of_edits(spark):
         prints = f.fingerprints(pairs)
         share[edits] = np.mean([f.likeness(a, b) >= f.LEAST for a, b in zip(prints[::2], prints[1::2])])
     assert share[1] >= 0.95 and share[3] >= 0.8 and share[6] >= 0.7, share
+
+
+def test_keys_are_wide_and_leave_no_difference_room():
+    """Keys of more than nine slots on average, which unrelated texts seldom share; two blocks of four slots are eight."""
+    rng = random.Random(18)
+    differ = f.differing(f.LEAST)
+    sets = f.widest_sets(f.BANDS, differ)
+    assert len(sets) <= f.KEYS and len(sets[0]) * f.SLOTS / f.BANDS > 9
+    for _ in range(2_000):
+        away = {s * f.BANDS // f.SLOTS for s in rng.sample(range(f.SLOTS), differ)} if rng.random() < 0.5 else set(rng.sample(range(f.BANDS), differ))
+        assert any(not away.intersection(s) for s in sets)
