@@ -359,6 +359,12 @@ def band_keys(classes: DataFrame, blocks: int, sets: list[tuple[int, ...]], firs
     return classes.select("id", "print").mapInArrow(run, "id long, key long")
 
 
+def with_prints(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """`rows` (id, component, key, main) with the longs of `told` (id, f0, f1, ...): a document joins once, with all of its keys, which are KEYS at most."""
+    gathered = rows.groupBy("id", "component").agg(F.collect_list(F.struct("key", "main")).alias("keys_"))
+    return gathered.join(told, "id").select("id", "component", *(f"f{i}" for i in range(LONGS)), F.inline("keys_"))
+
+
 def classed(prints: DataFrame, least: float, bands: int, split_pairs: int = SPLIT_PAIRS) -> DataFrame:
     """(print, component_id) of those distinct fingerprints of `prints` (doc_id, print) that several documents have or that are linked.
 
@@ -388,11 +394,11 @@ def classed(prints: DataFrame, least: float, bands: int, split_pairs: int = SPLI
     first = F.min("hub").over(Window.partitionBy("id"))
     links = found.select(first.alias("a"), F.when(F.col("hub") == first, F.col("id")).otherwise(F.col("hub")).alias("b")).distinct()
     links = saved(links, "links")
-    placed = rows.drop("hub").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # A band's hub has been compared with each of its rows, so only the others are left to meet.
+    placed = rows.where("id > hub").drop("hub").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").count()
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    mixed = saved(placed.join(main, "key"), "mixed-keys")
-    mixed = saved(mixed.join(told.join(mixed.select("id").distinct(), "id", "left_semi"), "id"), "mixed-bands")
+    mixed = saved(with_prints(placed.join(main, "key"), told), "mixed-bands")
     load = mixed.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("component") != F.col("main")).alias("apart_"))
     hot = saved(load.where(F.col("m") * F.col("apart_") > split_pairs).select("key"), "hot-bands")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))

@@ -216,3 +216,32 @@ def test_keys_are_wide_and_leave_no_difference_room():
     for _ in range(2_000):
         away = {s * f.BANDS // f.SLOTS for s in rng.sample(range(f.SLOTS), differ)} if rng.random() < 0.5 else set(rng.sample(range(f.BANDS), differ))
         assert any(not away.intersection(s) for s in sets)
+
+
+def test_a_bands_hub_meets_its_rows_once(spark, monkeypatch):
+    """Unlike rows that share bands meet as hub and row, not again afterwards; two that are alike but not the hub's still do."""
+    rng = random.Random(19)
+    flipped = lambda p, at: "".join("0123456789abcdef"[(int(c, 16) + 1) % 16] if i in at else c for i, c in enumerate(p))
+    pairs, threes = [], []
+    for _ in range(20):
+        p = "".join(rng.choice("0123456789abcdef") for _ in range(f.SLOTS))
+        far = flipped(p, range(100, 170))
+        pairs += [p, far]
+        threes += [p, far, flipped(far, range(0, 20))]
+    tables, saved = {}, f.saved
+    monkeypatch.setattr(f, "saved", lambda df, name: tables.setdefault(name, saved(df, name)))
+    grouped = lambda prints: {bytes(r.print).hex(): r.component_id for r in f.classed(spark.createDataFrame([(i, bytearray.fromhex(p)) for i, p in enumerate(prints)], "doc_id long, print binary"), f.LEAST, f.BANDS).collect()}
+    monkeypatch.setattr(f, "PASS_KEYS", f.KEYS)  # one pass, so that each table has a name of its own
+    assert grouped(pairs) == {} and not tables["bands"].isEmpty() and tables["mixed-bands"].isEmpty()
+    tables.clear()
+    assert grouped(threes) == {p: i // 3 * 3 + 1 for i, p in enumerate(threes) if i % 3}
+
+
+def test_prints_join_documents_not_rows_of_bands(spark):
+    rows = spark.createDataFrame([(i, 7, k, 3) for i in range(5) for k in range(30)], "id long, component long, key long, main long")
+    told = spark.createDataFrame([(i, *range(i, i + f.LONGS)) for i in range(9)], "id long, " + ", ".join(f"f{i} long" for i in range(f.LONGS)))
+    got = f.with_prints(rows, told)
+    want = rows.join(told, "id")
+    assert got.count() == 150 and got.select(*want.columns).exceptAll(want).isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Aggregate")
