@@ -160,3 +160,17 @@ def test_names_with_the_same_words_are_compared_once(spark):
     got = entities.drop_covered(spark.createDataFrame(rows, "s int, p int, n string"), "s", "n", "p").select("p").collect()
     assert sorted(r.p for r in got) == sorted(p for _, p, _ in rows if p != -1)
     assert time.time() - began < 20
+
+
+def test_words_of_sentences_are_cut_once_and_as_before(spark):
+    """Stops at the ends of words and trimmed sentences as by one pattern a word and a sentence; words aren't cut again to filter by them."""
+    texts = ["Dr. Ab.. c.d . e... .Fgh 12.5% ’tis", "x.\t\n\n y!  Zed.\nabc.\n", "end..", " . ", ""]
+    old_words = F.filter(F.transform(F.split(F.regexp_replace(F.lower("t"), "[‘’]", "'"), r"[^\p{L}\p{N}%$'.]+"), lambda w: F.regexp_replace(w, r"\.$", "")), lambda w: F.length(w) > 2)
+    marked = F.regexp_replace(F.regexp_replace("t", r"([.!?])[ \t\n\r\f\u000b]+", "$1\u0001"), r"\n+", "\u0001")
+    old_sentences = F.transform(F.split(marked, "\u0001"), lambda s: F.trim(F.regexp_replace(s, "[ \\t\\n\\r\\f\\u000b]+", " ")))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select(old_words.alias("a"), quotations.quote_words(F.col("t")).alias("b"), old_sentences.alias("c"), quotations.source_sentences(F.col("t")).alias("d")).collect():
+        assert r.a == r.b and r.c == r.d
+    plan = quotations.whole_sentences(df, df, "i", "t", "i", "t")._jdf.queryExecution().optimizedPlan().toString()
+    sentences = [line for line in plan.splitlines() if "split(lower(translate(sentence" in line and "Filter" in line]
+    assert not sentences and plan.count("split(lower(translate(sentence") >= 1
