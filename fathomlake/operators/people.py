@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomlake.operators import entities
 
+#: Signals of a scope that a task holds at once; a scope that may have more is dealt out by its signals.
+SCOPE_SIGNALS = 200_000
+
 
 def refusing_signals(rows: DataFrame, scope: str, row: str, shared: str, refusals: list[str]) -> DataFrame:
     """(scope, row, signal): rows that have a signal in common share a word and don't refuse one another.
@@ -36,10 +45,25 @@ def refusing_signals(rows: DataFrame, scope: str, row: str, shared: str, refusal
 def compatible_clusters(rows: DataFrame, scope: str, row: str, shared: str, refusals: list[str]) -> DataFrame:
     """(scope, row, cluster) of the rows that have a word in `shared`: components over all pairs that share a word and don't refuse one another.
 
-    Rows that say the same stand for each other, so copies cost one row; a cluster is named by its smallest row.
+    Rows that say the same stand for each other, so copies cost one row; a cluster is named by its smallest row. A scope
+    is joined as one fold over its rows, so these are shuffled once. Scopes that may have more than SCOPE_SIGNALS are
+    dealt out by their signals instead; their number is broadcast, one for that many signals at most.
     """
     arrays = [F.array_sort(F.coalesce(F.col(c), F.array().cast("array<string>"))).alias(c) for c in (shared, *refusals)]
-    own = rows.select(scope, row, *arrays).where(F.size(shared) > 0)
+    own = rows.select(scope, row, *arrays).where((F.size(shared) > 0) & F.col(scope).isNotNull())
+    most = F.size(shared).cast("double")
+    for c in refusals:
+        most = most * (F.greatest(F.size(c), F.lit(1)) + 1)
+    large = entities.settled(own.groupBy(scope).agg(F.sum(most).alias("n_")).where(F.col("n_") > SCOPE_SIGNALS).select(scope))
+    if large.isEmpty():
+        return folded_clusters(own, scope, row, shared, refusals)
+    large = F.broadcast(large)
+    folded = folded_clusters(own.join(large, scope, "left_anti"), scope, row, shared, refusals)
+    return folded.unionByName(dealt_clusters(own.join(large, scope, "left_semi"), scope, row, shared, refusals))
+
+
+def dealt_clusters(own: DataFrame, scope: str, row: str, shared: str, refusals: list[str]) -> DataFrame:
+    """(scope, row, cluster) in scopes of any size: rows meet by refusing_signals, in rounds."""
     keys = [scope, shared, *refusals]
     kinds = own.groupBy(*keys).agg(F.min(row).alias("first_"))
     signals = refusing_signals(kinds, scope, "first_", shared, refusals)
@@ -48,6 +72,91 @@ def compatible_clusters(rows: DataFrame, scope: str, row: str, shared: str, refu
     return own.hint("merge").join(kinds, keys).select(scope, row, "first_").hint("merge").join(found, [scope, "first_"]).select(scope, row, "cluster")
 
 
+def folded_clusters(own: DataFrame, scope: str, row: str, shared: str, refusals: list[str]) -> DataFrame:
+    """(scope, row, cluster) in scopes that a task can hold: a fold over partitions sorted by scope.
+
+    What a row says travels as one text. Within a scope, rows of a text are one, and texts join by the signals of
+    refusing_signals.
+    """
+    said = F.to_json(F.struct(F.col(shared).alias("shared"), F.array(*refusals).alias("refusals")))
+    schema = own.select(scope, row, F.col(row).alias("cluster")).schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(1 << 12)
+        def read(text: str) -> tuple[list, list, int]:
+            x = json.loads(text)
+            return [w for w in dict.fromkeys(x["shared"]) if w is not None], x["refusals"], sum(1 << i for i, v in enumerate(x["refusals"]) if v)
+
+        @lru_cache(1 << 12)
+        def signals(text: str, other: int) -> list[tuple]:
+            words, values, held = read(text)
+            agreed = product(*(dict.fromkeys(v) if held & other & 1 << i else ("",) for i, v in enumerate(values)))
+            return [(min(held, other), max(held, other), w, *a) for a in agreed for w in words]
+
+        def joined(kinds: dict) -> dict:
+            kinds = {t: first for t, first in kinds.items() if first is not None}
+            classes = {read(t)[2] for t in kinds}
+            sides: dict[tuple, tuple[list, list]] = {}
+            for t in kinds:
+                held = read(t)[2]
+                for other in classes:
+                    for s in signals(t, other):
+                        low, high = sides.setdefault(s, ([], []))
+                        if held <= other:
+                            low.append(t)
+                        if held >= other:
+                            high.append(t)
+            above = {t: t for t in kinds}
+
+            def top(t: str) -> str:
+                while above[t] != t:
+                    above[t] = t = above[above[t]]
+                return t
+
+            for low, high in sides.values():
+                if low and high:
+                    a = top(low[0])
+                    for t in low[1:] + high:
+                        b = top(t)
+                        if kinds[b] < kinds[a]:
+                            a, b = b, a
+                        above[b] = a
+            return {t: kinds[top(t)] for t in kinds}
+
+        arrow, current, done = None, None, []
+        held: list[tuple] = []
+        kinds: dict = {}
+
+        def close() -> None:
+            found = joined(kinds)
+            done.extend((current, r, found[t]) for r, t in held if t in found)
+            held.clear()
+            kinds.clear()
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), arrow)], names=schema.names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            arrow = [batch.schema.types[0], batch.schema.types[1], batch.schema.types[1]]
+            for s, r, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != current:
+                    close()
+                    current = s
+                held.append((r, t))
+                first = kinds.get(t)
+                if first is None or (r is not None and r < first):
+                    kinds[t] = r
+            if len(done) >= 10_000:
+                yield given()
+        close()
+        if done:
+            yield given()
+
+    return entities.spread(own.select(scope, row, said.alias("said_")), scope).sortWithinPartitions(scope).mapInArrow(fold, schema)
+
+
 def attach_weak(strong: DataFrame, weak: DataFrame, scope: str, row: str) -> DataFrame:
     """Strong members and the rows that carry nothing but the name: these join the largest cluster of their scope (the one with the smallest row on ties), or form one."""
     sizes = strong.groupBy(scope, "cluster").agg(F.count("*").alias("n_"), F.min(row).alias("first_"))

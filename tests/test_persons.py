@@ -77,6 +77,32 @@ def test_empty_clusters(spark):
     assert people.compatible_clusters(spark.createDataFrame([], SCHEMA), "scope", "row", "sig", ["roles"]).count() == 0
 
 
+def test_rows_of_small_scopes_are_shuffled_once(spark, monkeypatch):
+    """No rounds, each of which left its rows and signals on disk."""
+    rows = spark.createDataFrame([(i // 5, i, ["w", f"v{i % 3}"], ["r"] if i % 2 else [], [], []) for i in range(40)], SCHEMA)
+    monkeypatch.setattr(entities, "clusters", lambda *_: pytest.fail("rounds"))
+    got = people.compatible_clusters(rows, "scope", "row", "sig", ["roles", "places", "parens"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert got.count() == 40
+
+
+@pytest.mark.parametrize("most", [0, 200, 10_000])
+def test_folded_and_dealt_scopes_equal_union_find(spark, monkeypatch, most):
+    """One scope holds half of the rows; some texts need escapes, some arrays hold or are nulls, which agree with none or with nulls."""
+    rng = random.Random(most)
+    some = lambda what, n, most: rng.sample([f'{what}"\\{{x}} é\n{x}' for x in range(n)], rng.randint(0, most))
+    rows = [(i % 8 if i % 2 else 9, i, some("w", 7, 2), some("r", 4, 2), some("p", 3, 1), some("q", 2, 1)) for i in range(160)]
+    rows += [(s, 500 + r, *v) for s, r, *v in rows[::3]]
+    monkeypatch.setattr(people, "SCOPE_SIGNALS", most)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = people.compatible_clusters(df, "scope", "row", "sig", ["roles", "places", "parens"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_clusters(rows))
+    odd = [(1, 1, ["a", None], [None], [], []), (1, 2, ["b", None], [], [], []), (1, 3, ["a", "a"], [None, "r"], None, None), (1, 4, ["a"], ["s"], [], []), (1, 5, None, [], [], []), (None, 6, ["a"], [], [], [])]
+    odd = spark.createDataFrame(odd, SCHEMA)
+    got = people.compatible_clusters(odd, "scope", "row", "sig", ["roles", "places", "parens"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1), (1, 2, 2), (1, 3, 1), (1, 4, 4)]
+
+
 def test_weak_rows(spark):
     strong = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 3), (2, 9, 9)], "scope int, row int, cluster int")
     weak = spark.createDataFrame([(1, 7), (3, 6), (3, 5)], "scope int, row int")
